@@ -466,3 +466,28 @@ def loss_making(df: DataFrame, dim: str, profit: str = "profit") -> DataFrame:
     """Groups whose total profit is negative (HAVING), most negative first."""
     g = nonnull(df, dim).groupBy(dim).agg(dsum(profit).alias("profit"))
     return g.filter(F.col("profit") < 0).orderBy("profit", dim)
+
+
+def promo_stats(df: DataFrame, cols: SalesCols = SALES, alpha: float = 0.05,
+                with_p: bool = True) -> DataFrame:
+    """Promo Yes / No mean revenue and orders, lifts %, counts and the pooled t-test p
+    on revenue (p = 1 unless both groups have more than one row)."""
+    from .stats import two_sample_ttest
+    k = cols
+    y, n = F.col(k.promo) == "Yes", F.col(k.promo) == "No"
+    one = df.agg(
+        F.try_divide(F.sum(F.when(y, F.col(k.revenue))).cast("double"), F.count(F.when(y, F.col(k.revenue)))).alias("rev_y"),
+        F.try_divide(F.sum(F.when(n, F.col(k.revenue))).cast("double"), F.count(F.when(n, F.col(k.revenue)))).alias("rev_n"),
+        F.try_divide(F.sum(F.when(y, F.col(k.orders))).cast("double"), F.count(F.when(y, F.col(k.orders)))).alias("ord_y"),
+        F.try_divide(F.sum(F.when(n, F.col(k.orders))).cast("double"), F.count(F.when(n, F.col(k.orders)))).alias("ord_n"),
+        F.count(F.when(y, 1)).alias("count_y"), F.count(F.when(n, 1)).alias("count_n"))
+    lift = lambda a, b: F.when(F.col(b) > 0, (F.col(a) - F.col(b)) / F.col(b) * 100.0).otherwise(0.0)
+    out = one.select(
+        F.coalesce("rev_y", F.lit(0.0)).alias("rev_y"), F.coalesce("rev_n", F.lit(0.0)).alias("rev_n"),
+        lift("rev_y", "rev_n").alias("rev_lift_pct"),
+        F.coalesce("ord_y", F.lit(0.0)).alias("ord_y"), F.coalesce("ord_n", F.lit(0.0)).alias("ord_n"),
+        lift("ord_y", "ord_n").alias("ord_lift_pct"), "count_y", "count_n")
+    if with_p:
+        t = two_sample_ttest(df, k.promo, k.revenue, "Yes", "No", alpha).select("p_value", "significant")
+        out = out.crossJoin(one_row(t))
+    return out

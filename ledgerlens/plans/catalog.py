@@ -42,3 +42,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 # Importing the modules below fills REGISTRY.
 from . import q_aggregate  # noqa: E402,F401
 from . import q_rank  # noqa: E402,F401
+from . import q_stats  # noqa: E402,F401
