@@ -43,3 +43,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 from . import q_aggregate  # noqa: E402,F401
 from . import q_rank  # noqa: E402,F401
 from . import q_stats  # noqa: E402,F401
+from . import q_time  # noqa: E402,F401
