@@ -25,7 +25,7 @@ def _num(col: str) -> Column:
 
 def _clean(df: DataFrame, col: str) -> DataFrame:
     """Numeric values only (``pd.to_numeric(errors='coerce').dropna()``)."""
-    v = F.try_cast(qcol(col).cast("string"), "double") if dict(df.dtypes)[col] == "string" else _num(col)
+    v = qcol(col).cast("string").try_cast("double") if dict(df.dtypes)[col] == "string" else _num(col)
     return df.select(v.alias("v")).filter(F.col("v").isNotNull() & ~F.isnan("v"))
 
 

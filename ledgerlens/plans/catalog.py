@@ -44,3 +44,4 @@ from . import q_aggregate  # noqa: E402,F401
 from . import q_rank  # noqa: E402,F401
 from . import q_stats  # noqa: E402,F401
 from . import q_time  # noqa: E402,F401
+from . import q_clean  # noqa: E402,F401
