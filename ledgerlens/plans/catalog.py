@@ -46,3 +46,4 @@ from . import q_stats  # noqa: E402,F401
 from . import q_time  # noqa: E402,F401
 from . import q_clean  # noqa: E402,F401
 from . import q_profile  # noqa: E402,F401
+from . import q_insights  # noqa: E402,F401
