@@ -250,7 +250,7 @@ def movers(df: DataFrame, k_: int = 8, cols: SalesCols = SALES) -> DataFrame:
 _AGG = {
     "sum": lambda x: F.sum(x), "mean": lambda x: F.avg(x), "average": lambda x: F.avg(x),
     "count": lambda x: F.count(x), "count_distinct": lambda x: F.countDistinct(x),
-    "median": lambda x: F.percentile(x, 0.5), "min": lambda x: F.min(x), "max": lambda x: F.max(x),
+    "min": lambda x: F.min(x), "max": lambda x: F.max(x),
 }
 
 
@@ -265,18 +265,24 @@ class AggSpec:
 
 
 def aggregate(df: DataFrame, spec: AggSpec) -> DataFrame:
-    """One ``groupBy().agg`` for any dimension/none x sum/mean/count/count_distinct/
-    median (exact, interpolated)/min/max, sorted, optionally limited."""
-    fn = _AGG.get(spec.aggregation, _AGG["sum"])
+    """One ``groupBy().agg`` for any dimension/none x sum/mean/count/count_distinct/min/max,
+    sorted, optionally limited; medians are exact and distributed (``exact_quantiles``)."""
     m = F.col(spec.metric)
-    if spec.aggregation in ("sum", "mean", "average", "median"):
-        m = m.cast("double") if spec.aggregation != "sum" else m
-    val = fn(m)
-    if spec.aggregation == "sum":
-        val = val.cast("double")
-    if not spec.dimension:
-        return df.agg(val.alias("value")).select(F.lit(spec.metric).alias("label"), "value")
-    g = nonnull(df, spec.dimension).groupBy(spec.dimension).agg(val.alias("value"))
+    if spec.aggregation == "median":
+        from .quantiles import exact_quantiles
+        if not spec.dimension:
+            q = exact_quantiles(df, [spec.metric], [0.5])
+            return q.select(F.lit(spec.metric).alias("label"), "value")
+        g = exact_quantiles(nonnull(df, spec.dimension), [spec.metric], [0.5], by=spec.dimension) \
+            .select(spec.dimension, "value")
+    else:
+        fn = _AGG.get(spec.aggregation, _AGG["sum"])
+        val = fn(m.cast("double") if spec.aggregation in ("mean", "average") else m)
+        if spec.aggregation == "sum":
+            val = val.cast("double")
+        if not spec.dimension:
+            return df.agg(val.alias("value")).select(F.lit(spec.metric).alias("label"), "value")
+        g = nonnull(df, spec.dimension).groupBy(spec.dimension).agg(val.alias("value"))
     order = ([F.col("value").asc(), F.col(spec.dimension).asc()] if spec.sort == "asc"
              else ranked_desc("value", spec.dimension))
     g = g.orderBy(*order)

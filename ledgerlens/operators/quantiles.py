@@ -1,10 +1,18 @@
 """Exact, distributed quantiles (linear interpolation, pandas/NumPy default; trap T11).
 
 ``percentile`` keeps every distinct value of a group in one aggregation buffer, so a global
-median over a large table would end in one task. Here the values of all requested columns are
-unpivoted into (column, value), range-sorted once across the cluster, numbered with
-``positions`` and only the 2 rows around each requested rank are joined back. The work is one
-distributed sort; nothing unbounded meets in one task or on the driver.
+median of a large table would end in one task. Instead (per column, optionally per group):
+
+1. one aggregation gives the count n and a Greenwald-Khanna sketch bracket
+   ``percentile_approx(v, p -+ 3/accuracy)``; the sketch's rank error is at most n/accuracy, so
+   the exact order statistics at ranks floor/ceil((n - 1) p) lie inside the bracket;
+2. one pass counts the values below the bracket and keeps only the values inside it
+   (about 6 n / accuracy of them);
+3. only those are range-sorted and numbered (``positions``) to pick the two neighbours and
+   interpolate. If a bracket ever misses (it cannot by the sketch's guarantee) the affected
+   quantiles are recomputed by sorting all their values, so the result is always exact.
+
+Nothing unbounded meets in one task or on the driver; the sort touches a tiny subset.
 """
 
 from __future__ import annotations
@@ -15,40 +23,71 @@ from pyspark.sql import functions as F
 from ..functions.expr import qcol
 from ._common import positions
 
+DEFAULT_ACCURACY = 10000
 
-def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float],
-                    by: str | None = None) -> DataFrame:
-    """Long result ``(column, p, value[, by])`` with the interpolated quantile of each column.
 
-    Nulls and NaN are ignored (pandas ``quantile`` semantics). With ``by``, quantiles are per
-    group (the sort key becomes (column, group, value)).
-    """
+def _long(df: DataFrame, cols: list[str], by: str | None) -> DataFrame:
     parts = [F.struct(F.lit(c).alias("k"), qcol(c).cast("double").alias("v")) for c in cols]
     keep = [qcol(by).alias("_g")] if by else []
-    long = (df.select(*keep, F.explode(F.array(*parts)).alias("_s"))
+    return (df.select(*keep, F.explode(F.array(*parts)).alias("_s"))
             .select(*(["_g"] if by else []), F.col("_s.k").alias("k"), F.col("_s.v").alias("v"))
             .filter(F.col("v").isNotNull() & ~F.isnan("v")))
+
+
+def _pick(rows: DataFrame, targets: DataFrame, keys: list[str]) -> DataFrame:
+    """Exact order statistics by sorting ``rows`` (keys..., v). ``targets`` has keys..., p, lo,
+    hi, frac with 0-based ranks within each key group; returns keys..., p, value."""
+    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    order = [F.col(x).asc_nulls_first() for x in keys]
+    starts = positions(counts, order, running=("n",), name="_gpos") \
+        .select(*keys, (F.col("cum_n") - F.col("n")).alias("off"))
+    t = targets.join(starts, keys)
+    ranked = positions(rows, order + [F.col("v").asc()], name="pos").select("pos", "v")
+    lo = t.join(ranked.withColumnRenamed("v", "v_lo"), F.col("pos") == F.col("off") + F.col("lo") + 1).drop("pos")
+    both = lo.join(ranked.withColumnRenamed("v", "v_hi"), F.col("pos") == F.col("off") + F.col("hi") + 1).drop("pos")
+    val = F.when(F.col("frac") == 0, F.col("v_lo")).otherwise(
+        F.col("v_lo") + (F.col("v_hi") - F.col("v_lo")) * F.col("frac"))
+    return both.select(*keys, "p", val.alias("value"))
+
+
+def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float], by: str | None = None,
+                    accuracy: int = DEFAULT_ACCURACY) -> DataFrame:
+    """Long result ``(column, p, value[, by])`` with the interpolated quantile of each column.
+
+    Nulls and NaN are ignored (pandas ``quantile`` semantics). With ``by``, quantiles are per
+    group value.
+    """
+    long = _long(df, cols, by)
     gkeys = ["k", "_g"] if by else ["k"]
-    counts = long.groupBy(*gkeys).agg(F.count(F.lit(1)).alias("n"))
-    # one row per (column[, group]); groups come from the data, so offsets are computed with
-    # the same distributed numbering instead of a single-partition window
-    counted = positions(counts, [F.col(x).asc_nulls_first() for x in gkeys], running=("n",),
-                        name="_gpos")
-    starts = counted.select(*gkeys, "n", (F.col("cum_n") - F.col("n")).alias("off"))
-    probs_df = df.sparkSession.createDataFrame([(float(p),) for p in probs], "p double")
-    targets = starts.crossJoin(F.broadcast(probs_df)).withColumn("h", (F.col("n") - 1) * F.col("p"))
-    targets = (targets.withColumn("lo", F.floor("h").cast("long"))
-               .withColumn("hi", F.ceil("h").cast("long"))
-               .withColumn("frac", F.col("h") - F.floor("h")))
-    ranked = positions(long, [F.col(x).asc_nulls_first() for x in gkeys] + [F.col("v").asc()],
-                       name="pos").select("pos", "v")
-    lo = targets.join(ranked.withColumnRenamed("v", "v_lo"),
-                      F.col("pos") == F.col("off") + F.col("lo") + 1).drop("pos")
-    both = lo.join(ranked.withColumnRenamed("v", "v_hi"),
-                   F.col("pos") == F.col("off") + F.col("hi") + 1).drop("pos")
-    val = F.col("v_lo") + (F.col("v_hi") - F.col("v_lo")) * F.col("frac")
-    out = both.select(F.col("k").alias("column"), "p", *(["_g"] if by else []),
-                      F.when(F.col("frac") == 0, F.col("v_lo")).otherwise(val).alias("value"))
+    eps = 3.0 / accuracy
+    brackets = [max(0.0, p - eps) for p in probs] + [min(1.0, p + eps) for p in probs]
+    stats = long.groupBy(*gkeys).agg(F.count(F.lit(1)).alias("n"),
+                                     F.percentile_approx("v", brackets, accuracy).alias("ap"))
+    m = len(probs)
+    tgt = [F.struct(F.lit(float(p)).alias("p"), F.col("ap")[i].alias("b_lo"), F.col("ap")[m + i].alias("b_hi"))
+           for i, p in enumerate(probs)]
+    targets = stats.select(*gkeys, "n", F.explode(F.array(*tgt)).alias("t")).select(*gkeys, "n", "t.*")
+    h = (F.col("n") - 1) * F.col("p")
+    targets = (targets.withColumn("lo", F.floor(h).cast("long")).withColumn("hi", F.ceil(h).cast("long"))
+               .withColumn("frac", h - F.floor(h)))
+    # pass 2: values below each bracket and the values inside it
+    j = long.join(targets.select(*gkeys, "p", "b_lo", "b_hi"), gkeys)
+    inside = (F.col("v") >= F.col("b_lo")) & (F.col("v") <= F.col("b_hi"))
+    below = j.groupBy(*gkeys, "p").agg(F.count(F.when(F.col("v") < F.col("b_lo"), 1)).alias("below"),
+                                       F.count(F.when(inside, 1)).alias("win"))
+    t2 = targets.join(below, gkeys + ["p"], "left").na.fill(0, ["below", "win"])
+    ok = (F.col("below") <= F.col("lo")) & (F.col("below") + F.col("win") > F.col("hi"))
+    t2 = t2.withColumn("_ok", ok)
+    t2 = t2.checkpoint(eager=True)
+    good = t2.filter("_ok").select(*gkeys, "p", (F.col("lo") - F.col("below")).alias("lo"),
+                                   (F.col("hi") - F.col("below")).alias("hi"), "frac")
+    window_rows = j.filter(inside).select(*gkeys, "p", "v")
+    res = _pick(window_rows, good, gkeys + ["p"])
+    if t2.filter(~F.col("_ok")).limit(1).count() > 0:
+        bad = t2.filter(~F.col("_ok")).select(*gkeys, "p", "lo", "hi", "frac")
+        full_rows = long.join(bad.select(*gkeys, "p"), gkeys)
+        res = res.unionByName(_pick(full_rows, bad, gkeys + ["p"]))
+    out = res.select(F.col("k").alias("column"), "p", *(["_g"] if by else []), "value")
     return out.withColumnRenamed("_g", by) if by else out
 
 
@@ -63,4 +102,3 @@ def median_row(df: DataFrame, cols: list[str]) -> DataFrame:
     """One row: the exact median of each column, named after the column."""
     q = exact_quantiles(df, cols, [0.5])
     return q.agg(*[F.max(F.when(F.col("column") == c, F.col("value"))).alias(c) for c in cols])
-

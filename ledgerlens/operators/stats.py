@@ -106,22 +106,36 @@ def correlation_matrix(df: DataFrame, cols: list[str], wide: bool = False) -> Da
     """Pearson r for every pair, pairwise-complete, all pairs in ONE aggregation.
 
     Long form (x, y, r, n) including the diagonal (r = 1 unless constant); ``wide=True`` pivots
-    to one row per x. Constant columns give null r (pandas NaN).
+    to one row per x. Constant columns give null r (pandas NaN). A first, cheap count pass finds
+    the columns without missing values: pairs of such columns use the plain ``covar_pop`` and the
+    shared per-column ``stddev_pop`` (small generated code, one pass); only pairs touching a
+    column with gaps pay for the pairwise-complete masks.
     """
-    pairs = list(combinations(cols, 2))
-    aggs = []
-    for i, (x, y) in enumerate(pairs):
-        aggs += _pair_aggs(x, y, f"p{i}")
-    for j, x in enumerate(cols):
-        aggs += [F.stddev_pop(_num(x)).alias(f"d{j}_sx"), F.count(_num(x)).alias(f"d{j}_n")]
-    one = df.agg(*aggs)
+    vals = df.select(*[F.when(F.isnan(_num(c)), None).otherwise(_num(c)).alias(f"c{j}") for j, c in enumerate(cols)])
+    counts = vals.agg(F.count(F.lit(1)).alias("_n"), *[F.count(f"c{j}").alias(f"n{j}") for j in range(len(cols))]).first()
+    full = {j for j in range(len(cols)) if counts[f"n{j}"] == counts["_n"]}
+    pairs = list(combinations(range(len(cols)), 2))
+    aggs = [F.count(F.lit(1)).alias("_rows")]
+    for j in range(len(cols)):
+        aggs += [F.stddev_pop(f"c{j}").alias(f"d{j}_sx"), F.count(f"c{j}").alias(f"d{j}_n")]
+    for i, (a, b) in enumerate(pairs):
+        if a in full and b in full:
+            aggs.append(F.covar_pop(f"c{a}", f"c{b}").alias(f"p{i}_cov"))
+        else:
+            xa = F.when(F.col(f"c{b}").isNotNull(), F.col(f"c{a}"))
+            xb = F.when(F.col(f"c{a}").isNotNull(), F.col(f"c{b}"))
+            aggs += [F.covar_pop(xa, xb).alias(f"p{i}_cov"), F.stddev_pop(xa).alias(f"p{i}_sx"),
+                     F.stddev_pop(xb).alias(f"p{i}_sy"), F.count(xa).alias(f"p{i}_n")]
+    one = vals.agg(*aggs)
     structs = []
-    for i, (x, y) in enumerate(pairs):
-        r = F.try_divide(F.col(f"p{i}_cov"), F.col(f"p{i}_sx") * F.col(f"p{i}_sy"))
-        r = F.when(F.col(f"p{i}_sx") > 0, F.when(F.col(f"p{i}_sy") > 0, r))
-        for a, b in ((x, y), (y, x)):
-            structs.append(F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"), r.alias("r"),
-                                    F.col(f"p{i}_n").alias("n")))
+    for i, (a, b) in enumerate(pairs):
+        shared = a in full and b in full
+        sx = F.col(f"d{a}_sx") if shared else F.col(f"p{i}_sx")
+        sy = F.col(f"d{b}_sx") if shared else F.col(f"p{i}_sy")
+        n = F.col("_rows") if shared else F.col(f"p{i}_n")
+        r = F.when(sx > 0, F.when(sy > 0, F.try_divide(F.col(f"p{i}_cov"), sx * sy)))
+        for x, y in ((cols[a], cols[b]), (cols[b], cols[a])):
+            structs.append(F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"), r.alias("r"), n.alias("n")))
     for j, x in enumerate(cols):
         r = F.when(F.col(f"d{j}_sx") > 0, F.lit(1.0))
         structs.append(F.struct(F.lit(x).alias("x"), F.lit(x).alias("y"), r.alias("r"),

@@ -11,10 +11,12 @@ users who prefer ``spark.sql``.
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import table_path
+from ..session import scratch_path, table_path
 
 SALES_COLUMNS = [
     "order_id", "customer_id", "product", "category", "brand", "city", "region", "segment",
@@ -122,9 +124,45 @@ def sales_from_tables(lineitem: DataFrame, orders: DataFrame, part: DataFrame,
     )
 
 
-def sales(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The §1.4 ``sales`` view over the parquet tables of one scale-factor directory."""
-    t = {n: read_table(spark, sf_dir, n)
-         for n in ("lineitem", "orders", "part", "customer", "nation", "region")}
+SALES_SOURCES = ("lineitem", "orders", "part", "customer", "nation", "region")
+_MATERIALIZED: dict[tuple, str] = {}
+
+
+def _fingerprint(sf_dir: str) -> tuple:
+    """Sizes and modification times of the local source files (changes invalidate the copy);
+    remote paths are keyed by name only."""
+    out = []
+    for n in SALES_SOURCES:
+        p = table_path(sf_dir, n)
+        try:
+            st = os.stat(p)
+            out.append((n, st.st_size, st.st_mtime_ns))
+        except OSError:
+            out.append((n, None, None))
+    return tuple(out)
+
+
+def sales_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The joined view, unmaterialised (a plan over the six source tables)."""
+    t = {n: read_table(spark, sf_dir, n) for n in SALES_SOURCES}
     return sales_from_tables(t["lineitem"], t["orders"], t["part"], t["customer"],
                              t["nation"], t["region"])
+
+
+def sales(spark: SparkSession, sf_dir: str, materialize: bool = True) -> DataFrame:
+    """The §1.4 ``sales`` fact table of one scale-factor directory.
+
+    The five joins run once per session and source snapshot: the result is written as Parquet
+    to the shared ``spark.checkpoint.dir`` (survives executor loss, cuts lineage) and every
+    query reads that denormalised table with its own column pruning and pushed filters, like a
+    production star schema flattened by a nightly job.
+    """
+    if not materialize:
+        return sales_view(spark, sf_dir)
+    key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir), _fingerprint(sf_dir))
+    path = _MATERIALIZED.get(key)
+    if path is None:
+        path = scratch_path(spark, "sales")
+        sales_view(spark, sf_dir).write.mode("overwrite").parquet(path)
+        _MATERIALIZED[key] = path
+    return spark.read.parquet(path)
