@@ -17,7 +17,8 @@ Nothing unbounded meets in one task or on the driver; the sort touches a tiny su
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import qcol
@@ -34,13 +35,18 @@ def _long(df: DataFrame, cols: list[str], by: str | None) -> DataFrame:
             .filter(F.col("v").isNotNull() & ~F.isnan("v")))
 
 
-def _pick(rows: DataFrame, targets: DataFrame, keys: list[str]) -> DataFrame:
+def _pick(rows: DataFrame, targets: DataFrame, keys: list[str], few_keys: bool) -> DataFrame:
     """Exact order statistics by sorting ``rows`` (keys..., v). ``targets`` has keys..., p, lo,
-    hi, frac with 0-based ranks within each key group; returns keys..., p, value."""
+    hi, frac with 0-based ranks within each key group; returns keys..., p, value.
+    ``few_keys``: the key groups are (column, p) pairs only, a parameter-sized set."""
     counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     order = [F.col(x).asc_nulls_first() for x in keys]
-    starts = positions(counts, order, running=("n",), name="_gpos") \
-        .select(*keys, (F.col("cum_n") - F.col("n")).alias("off"))
+    if few_keys:
+        before = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+        starts = counts.select(*keys, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("off"))
+    else:
+        starts = positions(counts, order, running=("n",), name="_gpos") \
+            .select(*keys, (F.col("cum_n") - F.col("n")).alias("off"))
     t = targets.join(starts, keys)
     ranked = positions(rows, order + [F.col("v").asc()], name="pos").select("pos", "v")
     lo = t.join(ranked.withColumnRenamed("v", "v_lo"), F.col("pos") == F.col("off") + F.col("lo") + 1).drop("pos")
@@ -57,7 +63,9 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float], by: str
     Nulls and NaN are ignored (pandas ``quantile`` semantics). With ``by``, quantiles are per
     group value.
     """
-    long = _long(df, cols, by)
+    # the long form is scanned a few times (sketch, bracket counts, bracket rows): keep it
+    # (memory, spilling to disk) for the duration of this call only
+    long = _long(df, cols, by).persist(StorageLevel.MEMORY_AND_DISK)
     gkeys = ["k", "_g"] if by else ["k"]
     eps = 3.0 / accuracy
     brackets = [max(0.0, p - eps) for p in probs] + [min(1.0, p + eps) for p in probs]
@@ -68,8 +76,9 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float], by: str
            for i, p in enumerate(probs)]
     targets = stats.select(*gkeys, "n", F.explode(F.array(*tgt)).alias("t")).select(*gkeys, "n", "t.*")
     h = (F.col("n") - 1) * F.col("p")
+    # one row per (column[, group], p): small; checkpointed so the sketch pass runs once
     targets = (targets.withColumn("lo", F.floor(h).cast("long")).withColumn("hi", F.ceil(h).cast("long"))
-               .withColumn("frac", h - F.floor(h)))
+               .withColumn("frac", h - F.floor(h))).checkpoint(eager=True)
     # pass 2: values below each bracket and the values inside it
     j = long.join(targets.select(*gkeys, "p", "b_lo", "b_hi"), gkeys)
     inside = (F.col("v") >= F.col("b_lo")) & (F.col("v") <= F.col("b_hi"))
@@ -82,13 +91,16 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float], by: str
     good = t2.filter("_ok").select(*gkeys, "p", (F.col("lo") - F.col("below")).alias("lo"),
                                    (F.col("hi") - F.col("below")).alias("hi"), "frac")
     window_rows = j.filter(inside).select(*gkeys, "p", "v")
-    res = _pick(window_rows, good, gkeys + ["p"])
+    res = _pick(window_rows, good, gkeys + ["p"], by is None)
     if t2.filter(~F.col("_ok")).limit(1).count() > 0:
         bad = t2.filter(~F.col("_ok")).select(*gkeys, "p", "lo", "hi", "frac")
         full_rows = long.join(bad.select(*gkeys, "p"), gkeys)
-        res = res.unionByName(_pick(full_rows, bad, gkeys + ["p"]))
+        res = res.unionByName(_pick(full_rows, bad, gkeys + ["p"], by is None))
     out = res.select(F.col("k").alias("column"), "p", *(["_g"] if by else []), "value")
-    return out.withColumnRenamed("_g", by) if by else out
+    out = out.withColumnRenamed("_g", by) if by else out
+    out = out.checkpoint(eager=True)  # small result; lets the long form be released now
+    long.unpersist()
+    return out
 
 
 def quantile_row(df: DataFrame, col: str, probs: list[float], names: list[str]) -> DataFrame:
