@@ -4,10 +4,10 @@
 median of a large table would end in one task. Instead (per column, optionally per group):
 
 1. one aggregation gives the count n and a Greenwald-Khanna sketch bracket
-   ``percentile_approx(v, p -+ 3/accuracy)``; the sketch's rank error is at most n/accuracy, so
+   ``percentile_approx(v, p -+ 4/accuracy)``; the sketch's rank error is at most n/accuracy, so
    the exact order statistics at ranks floor/ceil((n - 1) p) lie inside the bracket;
 2. one pass counts the values below the bracket and keeps only the values inside it
-   (about 6 n / accuracy of them);
+   (about 8 n / accuracy of them);
 3. only those are range-sorted and numbered (``positions``) to pick the two neighbours and
    interpolate. If a bracket ever misses (it cannot by the sketch's guarantee) the affected
    quantiles are recomputed by sorting all their values, so the result is always exact.
@@ -37,7 +37,8 @@ def _long(df: DataFrame, cols: list[str], by: str | None) -> DataFrame:
 
 def _pick(rows: DataFrame, targets: DataFrame, keys: list[str], few_keys: bool) -> DataFrame:
     """Exact order statistics by sorting ``rows`` (keys..., v). ``targets`` has keys..., p, lo,
-    hi, frac with 0-based ranks within each key group; returns keys..., p, value.
+    hi, frac with 0-based ranks within each key group (``keys`` ends with "p"); returns
+    keys..., value.
     ``few_keys``: the key groups are (column, p) pairs only, a parameter-sized set."""
     counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     order = [F.col(x).asc_nulls_first() for x in keys]
@@ -53,7 +54,7 @@ def _pick(rows: DataFrame, targets: DataFrame, keys: list[str], few_keys: bool)
     both = lo.join(ranked.withColumnRenamed("v", "v_hi"), F.col("pos") == F.col("off") + F.col("hi") + 1).drop("pos")
     val = F.when(F.col("frac") == 0, F.col("v_lo")).otherwise(
         F.col("v_lo") + (F.col("v_hi") - F.col("v_lo")) * F.col("frac"))
-    return both.select(*keys, "p", val.alias("value"))
+    return both.select(*keys, val.alias("value"))
 
 
 def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float], by: str | None = None,
@@ -67,7 +68,7 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float], by: str
     # (memory, spilling to disk) for the duration of this call only
     long = _long(df, cols, by).persist(StorageLevel.MEMORY_AND_DISK)
     gkeys = ["k", "_g"] if by else ["k"]
-    eps = 3.0 / accuracy
+    eps = 4.0 / accuracy
     brackets = [max(0.0, p - eps) for p in probs] + [min(1.0, p + eps) for p in probs]
     stats = long.groupBy(*gkeys).agg(F.count(F.lit(1)).alias("n"),
                                      F.percentile_approx("v", brackets, accuracy).alias("ap"))

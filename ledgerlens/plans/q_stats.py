@@ -22,14 +22,15 @@ def _moments_sql(col: str) -> str:
 
 
 @register("g01_describe_revenue", f"""
-SELECT n, round(mean, 6) AS mean, round(median, 6) AS median, round(std, 6) AS std, round(variance, 4) AS variance,
+SELECT n, round(mean, 6) AS mean, round(median, 6) AS median, round(std, 6) AS std, round(variance, 0) AS variance,
        round(skewness, 6) AS skewness, round(kurtosis, 6) AS kurtosis
 FROM (SELECT avg(v) AS mean, quantile_cont(v, 0.5) AS median, stddev_pop(v) AS std, var_pop(v) AS variance, {_moments_sql('v')}
       FROM (SELECT CAST(revenue AS DOUBLE) AS v FROM sales))
 """)
 def g01_describe_revenue(spark, d):
     out = rnd(G.describe_measure(sales(spark, d), "revenue"), "mean", "median", "std", "skewness", "kurtosis")
-    return out.withColumn("variance", F.round("variance", 4))
+    # variances of money amounts are ~1e9: compared at 0 dp (~13 significant digits)
+    return out.withColumn("variance", F.round("variance", 0))
 
 
 @register("g02_zscore_outliers_revenue", """
@@ -109,7 +110,7 @@ WITH a AS (SELECT count(CASE WHEN promo = 'Yes' THEN revenue END) AS n_a, avg(CA
                   var_samp(CASE WHEN promo = 'Yes' THEN CAST(revenue AS DOUBLE) END) AS var_a,
                   count(CASE WHEN promo = 'No' THEN revenue END) AS n_b, avg(CASE WHEN promo = 'No' THEN CAST(revenue AS DOUBLE) END) AS mean_b,
                   var_samp(CASE WHEN promo = 'No' THEN CAST(revenue AS DOUBLE) END) AS var_b FROM sales)
-SELECT n_a, round(mean_a, 6) AS mean_a, round(var_a, 2) AS var_a, n_b, round(mean_b, 6) AS mean_b, round(var_b, 2) AS var_b,
+SELECT n_a, round(mean_a, 6) AS mean_a, round(var_a, 0) AS var_a, n_b, round(mean_b, 6) AS mean_b, round(var_b, 0) AS var_b,
        n_a + n_b - 2 AS dof,
        round(CASE WHEN n_a > 1 AND n_b > 1 THEN (mean_a - mean_b) / sqrt(((n_a - 1) * var_a + (n_b - 1) * var_b) / (n_a + n_b - 2) * (1.0 / n_a + 1.0 / n_b)) END, 6) AS t
 FROM a
@@ -119,7 +120,7 @@ FROM a
 @register("g07_ttest_revenue_by_promo", _TTEST_SQL)
 def g07_ttest_revenue_by_promo(spark, d):
     out = rnd(G.two_sample_ttest(sales(spark, d), "promo", "revenue", with_p=False), "mean_a", "mean_b", "t")
-    return out.withColumn("var_a", F.round("var_a", 2)).withColumn("var_b", F.round("var_b", 2))
+    return out.withColumn("var_a", F.round("var_a", 0)).withColumn("var_b", F.round("var_b", 0))
 
 
 @register("g07_ttest_revenue_by_promo_p")
@@ -139,7 +140,7 @@ s AS (SELECT {g}count(v) AS n, min(v) AS min, max(v) AS max, avg(v) AS mean, std
 f AS (SELECT *, q3 - q1 AS iqr, q1 - 1.5 * (q3 - q1) AS lo_fence, q3 + 1.5 * (q3 - q1) AS hi_fence FROM s),
 o AS (SELECT {g}count(CASE WHEN b.v < f.lo_fence OR b.v > f.hi_fence THEN 1 END) AS outlier_count FROM b JOIN f {join} {grp})
 SELECT {g}n, min, max, round(mean, 6) AS mean, round(CASE WHEN n > 1 THEN std ELSE 0 END, 6) AS std,
-       round(CASE WHEN n > 1 THEN variance ELSE 0 END, 2) AS variance, round(coalesce(skew, 0), 6) AS skew,
+       round(CASE WHEN n > 1 THEN variance ELSE 0 END, 0) AS variance, round(coalesce(skew, 0), 6) AS skew,
        round(q1, 6) AS q1, round(median, 6) AS median, round(q3, 6) AS q3, round(iqr, 6) AS iqr,
        round(lo_fence, 6) AS lo_fence, round(hi_fence, 6) AS hi_fence, outlier_count,
        round(outlier_count * 100.0 / n, 6) AS outlier_pct
@@ -150,7 +151,7 @@ FROM f JOIN o {join}
 def _box_round(df):
     df = rnd(df, *[c for c in ("mean", "std", "skew", "q1", "median", "q3", "iqr", "lo_fence", "hi_fence",
                                "outlier_pct") if c in df.columns])
-    return df.withColumn("variance", F.round("variance", 2))
+    return df.withColumn("variance", F.round("variance", 0))
 
 
 @register("g08_boxplot_revenue", _box_sql("revenue"))
