@@ -48,3 +48,4 @@ from . import q_clean  # noqa: E402,F401
 from . import q_profile  # noqa: E402,F401
 from . import q_insights  # noqa: E402,F401
 from . import q_sources  # noqa: E402,F401
+from . import q_plans  # noqa: E402,F401
