@@ -47,17 +47,20 @@ def _missing(f: T.StructField):
 
 def _table_catalogue(name: str, df: DataFrame, approx: bool = False) -> DataFrame:
     fields = df.schema.fields
-    aggs = [F.count(F.lit(1)).alias("_rows")]
+    # Two one-row aggregations: the plain statistics in one pass, the exact distinct counts in
+    # another. Mixing them makes Spark carry every plain aggregate through the Expand that
+    # exact multi-column distinct counting needs (about twice slower than two passes).
+    plain = [F.count(F.lit(1)).alias("_rows")]
+    distinct = []
     for i, f in enumerate(fields):
         c = nan_to_null(qcol(f.name)) if is_float(f.dataType) else qcol(f.name)
-        aggs.append(F.count(F.when(_missing(f), 1)).alias(f"m{i}"))
-        distinct = F.approx_count_distinct(c) if approx else F.countDistinct(c)
-        aggs.append(distinct.alias(f"u{i}"))
+        plain.append(F.count(F.when(_missing(f), 1)).alias(f"m{i}"))
+        distinct.append((F.approx_count_distinct(c) if approx else F.countDistinct(c)).alias(f"u{i}"))
         if kind_of(f.dataType) == "numeric":
             v = c.cast("double")
-            aggs += [F.min(v).alias(f"lo{i}"), F.max(v).alias(f"hi{i}"), F.avg(v).alias(f"av{i}"),
-                     F.count(F.when(v < 0, 1)).alias(f"ng{i}")]
-    wide = df.agg(*aggs)
+            plain += [F.min(v).alias(f"lo{i}"), F.max(v).alias(f"hi{i}"), F.avg(v).alias(f"av{i}"),
+                      F.count(F.when(v < 0, 1)).alias(f"ng{i}")]
+    wide = df.agg(*plain).crossJoin(F.broadcast(df.agg(*distinct)))
     null_d = F.lit(None).cast("double")
     null_l = F.lit(None).cast("long")
     structs = []
