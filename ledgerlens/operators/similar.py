@@ -15,14 +15,12 @@ Spark plan, exact and without all-pairs:
    plus the length bound 2 min / sum >= t;
 3. the true ratio (Arrow UDF) only on those candidates; top n-1 per value by a partitioned
    ``row_number`` (group limit applied before the shuffle);
-4. the greedy walk only interacts inside a connected component of the match graph, so
-   components are labelled by distributed min-label propagation and each component is walked
-   independently with ``applyInPandas``.
+4. the greedy walk is resolved in rounds of joins (``greedy_leaders``): a value leads a group
+   unless a smaller leading value lists it among its matches.
 """
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,35 +38,44 @@ def _tokens(vals: DataFrame) -> DataFrame:
         .select("k", "v", "tok")
 
 
-def connected_components(edges: DataFrame, src: str = "a", dst: str = "b") -> DataFrame:
-    """Min-label propagation over an undirected edge list; returns (node, comp). Runs until no
-    label changes (iterations = graph diameter); labels are checkpointed each round."""
-    ensure_checkpoint_dir(edges.sparkSession)
-    und = edges.select(F.col(src).alias("s"), F.col(dst).alias("d")).unionByName(
-        edges.select(F.col(dst).alias("s"), F.col(src).alias("d"))).distinct().checkpoint(eager=True)
-    labels = und.select(F.col("s").alias("node")).distinct().withColumn("comp", F.col("node")).checkpoint(eager=True)
-    while True:
-        prop = und.join(labels.withColumnRenamed("node", "s"), "s").groupBy("d").agg(F.min("comp").alias("nc"))
-        new = (labels.join(prop.withColumnRenamed("d", "node"), "node", "left")
-               .select("node", F.least("comp", F.coalesce("nc", "comp")).alias("comp"),
-                       (F.coalesce("nc", "comp") < F.col("comp")).alias("_chg"))).checkpoint(eager=True)
-        changed = new.filter("_chg").limit(1).count()
-        labels = new.drop("_chg")
-        if changed == 0:
-            return labels
-
+def greedy_leaders(close: DataFrame) -> DataFrame:
+    """Resolve the ordered greedy walk without a sequential scan.
 
-def _greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-    close = {v: list(c) for v, c in zip(pdf["v"], pdf["close"])}
-    seen: set = set()
-    rows = []
-    for v in sorted(close):
-        if v in seen:
-            continue
-        members = sorted({v, *close[v]})
-        seen.update(members)
-        rows.append((pdf["k"].iloc[0], v, members, len(members)))
-    return pd.DataFrame(rows, columns=["column", "leader", "members", "size"])
+    ``close``: (k, word, x) match edges. A value v *leads* a group iff it has matches and no
+    smaller value u that leads a group lists v among its matches (that is exactly "v not seen
+    yet" in the walk). Statuses are settled in rounds: a value whose smaller in-neighbours are
+    all settled is decided (leader when none of them leads); each round is one join and one
+    aggregation over the edges, and the number of rounds is the longest chain of dependent
+    values, not the data size. Returns (k, v, leader: boolean).
+    """
+    ensure_checkpoint_dir(close.sparkSession)
+    nodes = (close.select("k", F.col("word").alias("v")).unionByName(close.select("k", F.col("x").alias("v")))
+             .distinct())
+    has_out = close.select("k", F.col("word").alias("v")).distinct().withColumn("_out", F.lit(True))
+    dep = close.filter(F.col("word") < F.col("x")).select("k", F.col("word").alias("u"), F.col("x").alias("v"))
+    status = (nodes.join(has_out, ["k", "v"], "left")
+              .select("k", "v", F.coalesce("_out", F.lit(False)).alias("out"),
+                      F.lit(None).cast("boolean").alias("leader")).checkpoint(eager=True))
+    dep = dep.checkpoint(eager=True)
+    while True:
+        s_u = status.select("k", F.col("v").alias("u"), F.col("leader").alias("lu"))
+        inc = dep.join(s_u, ["k", "u"]).groupBy("k", "v").agg(
+            F.max(F.col("lu").cast("int")).alias("any_leader"),
+            F.min(F.col("lu").isNotNull().cast("int")).alias("all_settled"))
+        nxt = status.join(inc, ["k", "v"], "left")
+        decided = (F.when(F.col("leader").isNotNull(), F.col("leader"))
+                   .when(~F.col("out"), F.lit(False))
+                   .when(F.col("any_leader") == 1, F.lit(False))
+                   .when(F.col("all_settled").isNull() | (F.col("all_settled") == 1), F.lit(True)))
+        nxt = nxt.select("k", "v", "out", decided.alias("leader"),
+                         (F.col("leader").isNull() & decided.isNotNull()).alias("_new")).checkpoint(eager=True)
+        progressed = nxt.filter("_new").limit(1).count()
+        status = nxt.drop("_new")
+        if progressed == 0:
+            pending = status.filter(F.col("leader").isNull()).limit(1).count()
+            if pending:
+                raise RuntimeError("greedy grouping did not settle")  # cannot happen: dependencies are acyclic
+            return status.select("k", "v", "leader")
 
 
 def similar_values(df: DataFrame, cols: list[str] | str, cutoff: float = 0.85, n: int = 4) -> DataFrame:
@@ -98,9 +105,9 @@ def similar_values(df: DataFrame, cols: list[str] | str, cutoff: float = 0.85, n
     if top.limit(1).count() == 0:
         return spark.createDataFrame([], schema)
     top = top.checkpoint(eager=True)
-    edges = top.select(F.concat_ws("\u0000", "k", "word").alias("a"), F.concat_ws("\u0000", "k", "x").alias("b"))
-    comps = connected_components(edges)
-    lists = top.groupBy("k", "word").agg(F.collect_list("x").alias("close"))
-    keyed = lists.withColumn("node", F.concat_ws("\u0000", "k", "word")).join(comps, "node") \
-        .select("comp", "k", F.col("word").alias("v"), "close")
-    return keyed.groupBy("comp").applyInPandas(_greedy, schema)
+    leaders = greedy_leaders(top.select("k", "word", "x")).filter("leader")
+    groups = (top.join(leaders.select("k", F.col("v").alias("word")), ["k", "word"])
+              .groupBy("k", "word").agg(F.collect_list("x").alias("close")))
+    members = F.array_sort(F.array_distinct(F.concat(F.array(F.col("word")), F.col("close"))))
+    return groups.select(F.col("k").alias("column"), F.col("word").alias("leader"), members.alias("members"),
+                         F.size(members).alias("size"))
