@@ -181,12 +181,17 @@ def dimension_performance(df: DataFrame, dim: str, sort_by: str = "revenue",
 
 def product_performance(df: DataFrame, metric: str = "revenue", n: int = 10,
                         cols: SalesCols = SALES) -> DataFrame:
-    """E10 by product plus its modal category (ties -> smallest), top n by ``metric``."""
+    """E10 by product plus its modal category (ties -> smallest), top n by ``metric``.
+    The mode is a two-stage aggregation (count per (product, category), then ``min_by``), so
+    no product's category values are held in one buffer."""
     k = cols
-    g = (nonnull(df, k.product).groupBy(k.product)
+    base = nonnull(df, k.product)
+    g = (base.groupBy(k.product)
          .agg(dsum(k.revenue).alias("revenue"), dsum(k.profit).alias("profit"),
-              F.sum(k.orders).cast("long").alias("orders"),
-              F.mode(k.category, True).alias("category")))
+              F.sum(k.orders).cast("long").alias("orders")))
+    cnt = base.filter(F.col(k.category).isNotNull()).groupBy(k.product, k.category).agg(F.count(F.lit(1)).alias("_c"))
+    mode = cnt.groupBy(k.product).agg(F.min_by(k.category, F.struct(-F.col("_c"), F.col(k.category))).alias("category"))
+    g = g.join(mode, k.product, "left")
     g = g.withColumn("margin", F.when(F.col("revenue") > 0, F.col("profit") / F.col("revenue") * 100.0)
                      .otherwise(F.lit(0.0)))
     return g.orderBy(*ranked_desc(metric, k.product)).limit(n)
