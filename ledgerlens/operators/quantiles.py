@@ -25,6 +25,9 @@ from ..functions.expr import qcol
 from ._common import positions
 
 DEFAULT_ACCURACY = 10000
+# Inputs with at most this many values use Spark's exact ``percentile`` directly: the count
+# is checked first, so the buffer it builds is bounded (about 16 bytes per value).
+SMALL_INPUT_VALUES = 1_000_000
 
 
 def _long(df: DataFrame, cols: list[str], by: str | None) -> DataFrame:
@@ -68,6 +71,14 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float], by: str
     # (memory, spilling to disk) for the duration of this call only
     long = _long(df, cols, by).persist(StorageLevel.MEMORY_AND_DISK)
     gkeys = ["k", "_g"] if by else ["k"]
+    if long.count() <= SMALL_INPUT_VALUES:
+        exact = long.groupBy(*gkeys).agg(F.percentile("v", [float(p) for p in probs]).alias("_q"))
+        pairs = F.arrays_zip(F.array(*[F.lit(float(p)) for p in probs]).alias("p"), F.col("_q").alias("value"))
+        small = exact.select(*gkeys, F.explode(pairs).alias("z")).select(
+            F.col("k").alias("column"), F.col("z.p").alias("p"), *(["_g"] if by else []), F.col("z.value").alias("value"))
+        small = (small.withColumnRenamed("_g", by) if by else small).checkpoint(eager=True)
+        long.unpersist()
+        return small
     eps = 4.0 / accuracy
     brackets = [max(0.0, p - eps) for p in probs] + [min(1.0, p + eps) for p in probs]
     stats = long.groupBy(*gkeys).agg(F.count(F.lit(1)).alias("n"),

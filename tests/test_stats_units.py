@@ -41,8 +41,12 @@ def test_pvalues_match_linear_regression(spark):
     assert p_t == pytest.approx(m2.summary.pValues[0], rel=1e-6)
 
 
-@pytest.mark.parametrize("parts", [1, 3, 11])
-def test_exact_quantiles_match_numpy(spark, parts):
+@pytest.mark.parametrize("parts,bracketed", [(1, False), (3, True), (11, True)])
+def test_exact_quantiles_match_numpy(spark, parts, bracketed, monkeypatch):
+    """Both paths: the bounded exact ``percentile`` and the sketch-bracket + partial sort."""
+    from ledgerlens.operators import quantiles
+    if bracketed:
+        monkeypatch.setattr(quantiles, "SMALL_INPUT_VALUES", 0)
     rnd = random.Random(parts)
     vals = [float(rnd.choice([1, 2, 2, 3, 5, 8, 13])) + (rnd.random() if rnd.random() < .5 else 0) for _ in range(3001)]
     groups = ["a" if i % 3 else "b" for i in range(len(vals))]
