@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import checkpointed
 from ..functions.expr import c
 
 
@@ -83,7 +84,7 @@ def positions(df: DataFrame, order: list[Column], running: tuple[str, ...] = (),
     take the in-partition index from ``monotonically_increasing_id`` and add per-partition
     offsets computed from a table with one row per partition (bounded by the partition count).
     """
-    sorted_df = df.orderBy(*order).checkpoint(eager=True)
+    sorted_df = checkpointed(df.orderBy(*order))
     ided = (sorted_df.withColumn("_pid", F.spark_partition_id())
             .withColumn("_mid", F.monotonically_increasing_id()))
     ided = ided.withColumn("_lid", F.col("_mid") - F.shiftleft(F.col("_pid").cast("long"), 33))

@@ -21,6 +21,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import checkpointed
 from ..functions.expr import qcol
 from ._common import positions
 
@@ -76,7 +77,7 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float], by: str
         pairs = F.arrays_zip(F.array(*[F.lit(float(p)) for p in probs]).alias("p"), F.col("_q").alias("value"))
         small = exact.select(*gkeys, F.explode(pairs).alias("z")).select(
             F.col("k").alias("column"), F.col("z.p").alias("p"), *(["_g"] if by else []), F.col("z.value").alias("value"))
-        small = (small.withColumnRenamed("_g", by) if by else small).checkpoint(eager=True)
+        small = checkpointed(small.withColumnRenamed("_g", by) if by else small)
         long.unpersist()
         return small
     eps = 4.0 / accuracy
@@ -89,8 +90,8 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float], by: str
     targets = stats.select(*gkeys, "n", F.explode(F.array(*tgt)).alias("t")).select(*gkeys, "n", "t.*")
     h = (F.col("n") - 1) * F.col("p")
     # one row per (column[, group], p): small; checkpointed so the sketch pass runs once
-    targets = (targets.withColumn("lo", F.floor(h).cast("long")).withColumn("hi", F.ceil(h).cast("long"))
-               .withColumn("frac", h - F.floor(h))).checkpoint(eager=True)
+    targets = checkpointed(targets.withColumn("lo", F.floor(h).cast("long")).withColumn("hi", F.ceil(h).cast("long"))
+                           .withColumn("frac", h - F.floor(h)))
     # pass 2: values below each bracket and the values inside it
     j = long.join(targets.select(*gkeys, "p", "b_lo", "b_hi"), gkeys)
     inside = (F.col("v") >= F.col("b_lo")) & (F.col("v") <= F.col("b_hi"))
@@ -99,7 +100,7 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float], by: str
     t2 = targets.join(below, gkeys + ["p"], "left").na.fill(0, ["below", "win"])
     ok = (F.col("below") <= F.col("lo")) & (F.col("below") + F.col("win") > F.col("hi"))
     t2 = t2.withColumn("_ok", ok)
-    t2 = t2.checkpoint(eager=True)
+    t2 = checkpointed(t2)
     good = t2.filter("_ok").select(*gkeys, "p", (F.col("lo") - F.col("below")).alias("lo"),
                                    (F.col("hi") - F.col("below")).alias("hi"), "frac")
     window_rows = j.filter(inside).select(*gkeys, "p", "v")
@@ -110,7 +111,7 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float], by: str
         res = res.unionByName(_pick(full_rows, bad, gkeys + ["p"], by is None))
     out = res.select(F.col("k").alias("column"), "p", *(["_g"] if by else []), "value")
     out = out.withColumnRenamed("_g", by) if by else out
-    out = out.checkpoint(eager=True)  # small result; lets the long form be released now
+    out = checkpointed(out)  # small result; lets the long form be released now
     long.unpersist()
     return out
 

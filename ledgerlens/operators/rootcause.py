@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import checkpointed
 from ..functions.expr import qcol
 from ._common import one_row
 from .quantiles import exact_quantiles
@@ -65,8 +66,8 @@ def drill_down(df: DataFrame, dims: list[str], metric: str, how: str = "sum", ma
     if how in ADDITIVE:
         # keep the native sum type (exact for decimals) until the final value
         val = F.sum(qcol(metric)) if how == "sum" else F.count(qcol(metric))
-        base = df.groupBy(*[qcol(d) for d in ordered]).agg(val.alias("_m"), F.count(F.lit(1)).alias("_rows")) \
-            .checkpoint(eager=True)
+        base = checkpointed(df.groupBy(*[qcol(d) for d in ordered]).agg(val.alias("_m"),
+                                                                          F.count(F.lit(1)).alias("_rows")))
         rows_expr, level_agg = F.sum("_rows"), F.sum("_m").cast("double")
     else:
         base, rows_expr, level_agg = df, F.count(F.lit(1)), None

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expr import qcol
 from ..functions.similarity import sequence_ratio
-from ..session import ensure_checkpoint_dir
+from ..session import checkpointed, ensure_checkpoint_dir
 
 
 def _tokens(vals: DataFrame) -> DataFrame:
@@ -53,10 +53,10 @@ def greedy_leaders(close: DataFrame) -> DataFrame:
              .distinct())
     has_out = close.select("k", F.col("word").alias("v")).distinct().withColumn("_out", F.lit(True))
     dep = close.filter(F.col("word") < F.col("x")).select("k", F.col("word").alias("u"), F.col("x").alias("v"))
-    status = (nodes.join(has_out, ["k", "v"], "left")
-              .select("k", "v", F.coalesce("_out", F.lit(False)).alias("out"),
-                      F.lit(None).cast("boolean").alias("leader")).checkpoint(eager=True))
-    dep = dep.checkpoint(eager=True)
+    status = checkpointed(nodes.join(has_out, ["k", "v"], "left")
+                          .select("k", "v", F.coalesce("_out", F.lit(False)).alias("out"),
+                                  F.lit(None).cast("boolean").alias("leader")))
+    dep = checkpointed(dep)
     while True:
         s_u = status.select("k", F.col("v").alias("u"), F.col("leader").alias("lu"))
         inc = dep.join(s_u, ["k", "u"]).groupBy("k", "v").agg(
@@ -67,8 +67,8 @@ def greedy_leaders(close: DataFrame) -> DataFrame:
                    .when(~F.col("out"), F.lit(False))
                    .when(F.col("any_leader") == 1, F.lit(False))
                    .when(F.col("all_settled").isNull() | (F.col("all_settled") == 1), F.lit(True)))
-        nxt = nxt.select("k", "v", "out", decided.alias("leader"),
-                         (F.col("leader").isNull() & decided.isNotNull()).alias("_new")).checkpoint(eager=True)
+        nxt = checkpointed(nxt.select("k", "v", "out", decided.alias("leader"),
+                                      (F.col("leader").isNull() & decided.isNotNull()).alias("_new")))
         progressed = nxt.filter("_new").limit(1).count()
         status = nxt.drop("_new")
         if progressed == 0:
@@ -104,7 +104,7 @@ def similar_values(df: DataFrame, cols: list[str] | str, cutoff: float = 0.85, n
     schema = "column string, leader string, members array<string>, size int"
     if top.limit(1).count() == 0:
         return spark.createDataFrame([], schema)
-    top = top.checkpoint(eager=True)
+    top = checkpointed(top)
     leaders = greedy_leaders(top.select("k", "word", "x")).filter("leader")
     groups = (top.join(leaders.select("k", F.col("v").alias("word")), ["k", "word"])
               .groupBy("k", "word").agg(F.collect_list("x").alias("close")))

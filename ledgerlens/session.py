@@ -66,3 +66,10 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
 
 def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint into the shared checkpoint folder (set from the session's
+    ``spark.checkpoint.dir`` when the context has none yet); never a local checkpoint."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

@@ -57,7 +57,8 @@ def windowed_sla(events: DataFrame, ts: str, duration: str, promise: float = 10.
 
 
 def run_to_table(stream: DataFrame, name: str, output_mode: str = "update", path: str | None = None,
-                 checkpoint: str | None = None, available_now: bool = True) -> DataFrame:
+                 checkpoint: str | None = None, available_now: bool = True,
+                 state_partitions: int | None = None) -> DataFrame:
     """Run ``stream`` (until the available input is processed when ``available_now``) writing
     each micro-batch to Parquet under the shared checkpoint folder; returns the result table.
 
@@ -74,7 +75,15 @@ def run_to_table(stream: DataFrame, name: str, output_mode: str = "update", path
             batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
     w = stream.writeStream.outputMode(output_mode).option("checkpointLocation", ckpt).foreachBatch(sink)
-    q = (w.trigger(availableNow=True) if available_now else w).start()
+    # the state-store partition count is fixed when a checkpoint is first created; by default
+    # size it to the cluster's parallelism instead of the batch shuffle setting
+    parts = state_partitions or spark.sparkContext.defaultParallelism
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    try:
+        q = (w.trigger(availableNow=True) if available_now else w).start()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
     if available_now:
         q.awaitTermination()
     else:
