@@ -333,3 +333,28 @@ def top_categories_with_other(df: DataFrame, col: str, k: int = 6) -> DataFrame:
     out = j.groupBy(label.alias(col)).agg(F.sum("count").alias("count"))
     total = out.agg(F.sum("count").alias("_t"))
     return out.crossJoin(one_row(total)).withColumn("share_pct", F.col("count") * 100.0 / F.col("_t")).drop("_t")
+
+
+# Preferred measure and grouping columns of the distribution views.
+PREFERRED_MEASURES = ["Total Revenue", "Profit", "Profit Margin", "Orders", "Discount", "Original Price",
+                      "Current Price", "Delivery Time", "Delivery Cost"]
+PREFERRED_GROUPERS = ["City", "Category", "Product Name", "Influencer Active", "Delivery Partner", "Price Tier",
+                      "Customer Segment"]
+
+
+def numeric_columns(df: DataFrame, preferred: list[str] | None = None) -> list[str]:
+    """Preferred measures that exist, then the other numeric columns in table order."""
+    pref = [c for c in (preferred or PREFERRED_MEASURES) if c in df.columns]
+    nums = [f.name for f in df.schema.fields if f.dataType.typeName() in
+            ("integer", "long", "double", "float", "short", "byte", "decimal")]
+    return pref + [c for c in nums if c not in pref]
+
+
+def group_columns(df: DataFrame, preferred: list[str] | None = None) -> list[str]:
+    """Preferred grouping columns that exist and have more than one distinct value (one
+    aggregation for all candidates)."""
+    cands = [c for c in (preferred or PREFERRED_GROUPERS) if c in df.columns]
+    if not cands:
+        return []
+    row = df.agg(*[F.countDistinct(qcol(c)).alias(f"_{i}") for i, c in enumerate(cands)]).first()
+    return [c for i, c in enumerate(cands) if row[f"_{i}"] > 1]

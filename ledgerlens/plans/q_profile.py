@@ -291,3 +291,17 @@ def d23_derived_metrics(spark, d):
     out = P.derived_metrics(sales(spark, d).select("revenue", "profit", "orders", "city"))
     return out.withColumn("value", F.when(F.col("metric").isin("total_revenue", "profit"), F.round("value", 2))
                           .when(F.col("metric") == "total_orders", F.col("value")).otherwise(F.round("value", 6)))
+
+
+@register("k09_suggest_fixes")
+def k09_suggest_fixes(spark, d):
+    ref = _reference_named(spark, d)
+    return Q.suggest_fixes(Q.quality_findings(ref), {"Product": "Product Name"})
+
+
+@register("k11_distribution_columns")
+def k11_distribution_columns(spark, d):
+    from ..operators.stats import group_columns, numeric_columns
+    ref = _reference_named(spark, d)
+    rows = [("numeric", c) for c in numeric_columns(ref)] + [("group", c) for c in group_columns(ref)]
+    return spark.createDataFrame(rows, "kind string, column string")
