@@ -74,17 +74,28 @@ def field_type(df: DataFrame, name: str) -> T.DataType:
     return df.schema[name].dataType
 
 
+# Results with at most this many rows (checked by a count) are numbered by one ordered window.
+SMALL_RESULT_ROWS = 1_000_000
+
+
 def positions(df: DataFrame, order: list[Column], running: tuple[str, ...] = (),
               name: str = "position") -> DataFrame:
-    """Global 1-based position in ``order`` plus running sums ``cum_<col>``, fully distributed.
-
-    A window over the whole result would pull every group into one task, and group counts grow
-    with the data (products, customers). Instead: range-sort, checkpoint (to the shared
-    ``spark.checkpoint.dir``; keeps the partition layout deterministic for the two uses below),
-    take the in-partition index from ``monotonically_increasing_id`` and add per-partition
-    offsets computed from a table with one row per partition (bounded by the partition count).
+    """Global 1-based position in ``order`` plus running sums ``cum_<col>``.
+
+    The input is checkpointed (shared ``spark.checkpoint.dir``) and counted. Up to
+    ``SMALL_RESULT_ROWS`` rows (a checked bound) one ordered window numbers them. Above that a
+    window over the whole result would pull every row into one task, so instead: range-sort,
+    checkpoint (keeps the partition layout deterministic for the two uses below), take the
+    in-partition index from ``monotonically_increasing_id`` and add per-partition offsets
+    computed from a table with one row per partition (bounded by the partition count).
     """
-    sorted_df = checkpointed(df.orderBy(*order))
+    base = checkpointed(df)
+    if base.count() <= SMALL_RESULT_ROWS:
+        w = Window.orderBy(*order)
+        run = w.rowsBetween(Window.unboundedPreceding, 0)
+        return base.select("*", F.row_number().over(w).cast("long").alias(name),
+                           *[F.sum(c(r)).over(run).alias(f"cum_{r}") for r in running])
+    sorted_df = checkpointed(base.orderBy(*order))
     ided = (sorted_df.withColumn("_pid", F.spark_partition_id())
             .withColumn("_mid", F.monotonically_increasing_id()))
     ided = ided.withColumn("_lid", F.col("_mid") - F.shiftleft(F.col("_pid").cast("long"), 33))

@@ -88,8 +88,11 @@ def test_stream_equals_batch(spark):
     assert got == exp
 
 
-@pytest.mark.parametrize("parts", [1, 4, 37])
-def test_positions_distributed_equals_row_number(spark, parts):
+@pytest.mark.parametrize("parts,distributed", [(1, True), (4, True), (37, True), (5, False)])
+def test_positions_distributed_equals_row_number(spark, parts, distributed, monkeypatch):
+    from ledgerlens.operators import _common
+    if distributed:
+        monkeypatch.setattr(_common, "SMALL_RESULT_ROWS", 0)
     df = spark.range(0, 5000).select((F.col("id") * 7919 % 1000).alias("v"), F.col("id").alias("k")) \
         .repartition(parts)
     got = positions(df, [F.col("v").desc(), F.col("k")], running=("v",))
