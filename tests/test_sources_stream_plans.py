@@ -133,3 +133,25 @@ def test_filters_reach_the_scan(spark):
     plan = _plan(B.filter_sales(s, city="NATION_3", category="SMALL").select("revenue"))
     assert "PushedFilters: [IsNotNull(city), IsNotNull(category), EqualTo(city,NATION_3), EqualTo(category,SMALL)]" in plan
     assert "ReadSchema: struct<category:string,city:string,revenue:decimal(12,2)>" in plan
+
+
+def _final_plan(df):
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan()
+    text = plan.toString()
+    final = text.split("+- == Initial Plan ==")[0] if "Initial Plan" in text else text
+    return final
+
+
+def test_correlation_matrix_one_aggregation(spark):
+    from ledgerlens.operators import stats as G
+    s = sales(spark, SF_SMALL)
+    plan = _final_plan(G.correlation_matrix(s, ["revenue", "orders", "discount", "current_price"]))
+    assert plan.count("FileScan parquet") == 1 and plan.count("HashAggregate") == 2
+
+
+def test_catalogue_two_passes_per_table(spark):
+    from ledgerlens.operators import profile as P
+    o = spark.read.parquet(f"{SF_SMALL}/orders.parquet")
+    plan = _final_plan(P.column_catalogue({"orders": o}))
+    assert plan.count("FileScan parquet") == 2 and "Expand" in plan
