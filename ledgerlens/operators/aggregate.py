@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expr import c, safe_div
+from ..functions.expr import safe_div
 from ._common import SALES, SalesCols, dmean, dsum, nonnull, one_row, positions, ranked_desc
 
 
