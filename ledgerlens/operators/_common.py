@@ -48,6 +48,15 @@ def one_row(df: DataFrame) -> DataFrame:
     return F.broadcast(df)
 
 
+BROADCAST_MAX_ROWS = 100_000
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+    """Broadcast a per-group lookup only after checking its row count (call it on small,
+    materialised inputs); larger ones join by shuffle, where AQE can still split skew."""
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
 @dataclass(frozen=True)
 class SalesCols:
     """Column names of the sales vocabulary; override to run on any schema."""

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from ..session import checkpointed
 from ..functions.expr import qcol
-from ._common import positions
+from ._common import broadcast_if_small, positions
 
 DEFAULT_ACCURACY = 10000
 # Inputs with at most this many values use Spark's exact ``percentile`` directly: the count
@@ -93,7 +93,8 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float], by: str
     targets = checkpointed(targets.withColumn("lo", F.floor(h).cast("long")).withColumn("hi", F.ceil(h).cast("long"))
                            .withColumn("frac", h - F.floor(h)))
     # pass 2: values below each bracket and the values inside it
-    j = long.join(targets.select(*gkeys, "p", "b_lo", "b_hi"), gkeys)
+    # one target row per (column[, group], p): broadcast when the checked count is small
+    j = long.join(broadcast_if_small(targets.select(*gkeys, "p", "b_lo", "b_hi")), gkeys)
     inside = (F.col("v") >= F.col("b_lo")) & (F.col("v") <= F.col("b_hi"))
     below = j.groupBy(*gkeys, "p").agg(F.count(F.when(F.col("v") < F.col("b_lo"), 1)).alias("below"),
                                        F.count(F.when(inside, 1)).alias("win"))

@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from ..functions.expr import qcol
 from ..functions.pvalues import t_pvalue
-from ._common import nonnull, one_row
+from ..session import checkpointed
+from ._common import broadcast_if_small, nonnull, one_row
 from .quantiles import exact_quantiles
 
 
@@ -246,7 +247,9 @@ def boxplot_stats(df: DataFrame, col: str, by: str | None = None) -> DataFrame:
           .withColumn("skew", F.coalesce(adjusted_skew(F.col("_g1"), F.col("n").cast("double")), F.lit(0.0)))
           .drop("_g1"))
     fences = st.select(*keys, "lo_fence", "hi_fence")
-    joined = base.join(F.broadcast(fences), keys) if keys else base.crossJoin(one_row(fences))
+    if keys:
+        fences = broadcast_if_small(checkpointed(fences))  # one row per group: size checked
+    joined = base.join(fences, keys) if keys else base.crossJoin(one_row(fences))
     outl = (joined.groupBy(*keys) if keys else joined.groupBy()).agg(
         F.count(F.when((F.col("v") < F.col("lo_fence")) | (F.col("v") > F.col("hi_fence")), 1))
         .alias("outlier_count"))
