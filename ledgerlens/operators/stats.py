@@ -309,19 +309,19 @@ def histogram(df: DataFrame, col: str, bins: int = 20) -> DataFrame:
                       F.col("count").cast("long").alias("count")).orderBy("bin")
 
 
-def numeric_distribution(df: DataFrame, col: str) -> DataFrame:
+def numeric_distribution(df: DataFrame, col: str, stats: DataFrame | None = None) -> DataFrame:
     """q1, median, q3 and the adjusted skewness with its shape word (|skew| < .5
-    symmetric); needs >= 5 values."""
-    st = boxplot_stats(df, col)
+    symmetric); needs >= 5 values. ``stats``: precomputed G08 row to reuse."""
+    st = stats if stats is not None else boxplot_stats(df, col)
     shape = (F.when(F.abs("skew") < 0.5, "fairly symmetric").when(F.col("skew") >= 0.5, "right-skewed")
              .otherwise("left-skewed"))
     return st.select("n", "q1", "median", "q3", "skew", shape.alias("shape"),
                      (F.col("n") >= 5).alias("enough_data"))
 
 
-def numeric_spread(df: DataFrame, col: str) -> DataFrame:
+def numeric_spread(df: DataFrame, col: str, stats: DataFrame | None = None) -> DataFrame:
     """Median, q1, q3 and the 1.5 IQR outlier count; needs >= 5 values."""
-    st = boxplot_stats(df, col)
+    st = stats if stats is not None else boxplot_stats(df, col)
     return st.select("n", "median", "q1", "q3", "outlier_count", (F.col("n") >= 5).alias("enough_data"))
 
 
