@@ -310,25 +310,49 @@ def report_kpis(df: DataFrame, revenue: str = "revenue", profit: str | None = "p
                 orders: str | None = "orders", date: str | None = "order_date", cogs: str | None = None) -> DataFrame:
     """Revenue, profit (column, else revenue - cogs), orders (sum, else row count), AOV,
     margin and revenue growth for the current half vs the previous half of the date range
-    (H12); change % on |previous|; direction."""
-    from .timeseries import split_periods
-    base = split_periods(df, date) if date else df.withColumn("period_half", F.lit("current"))
-    types = dict(base.dtypes)
+    (H12 rules); change % on |previous|; direction.
+
+    Two scans: the date range (one row), then every sum per side AND over all rows in one
+    aggregation; whether the split is usable (>= 4 dated rows, a non-empty range, >= 2 rows per
+    side) is decided on that one row: unusable -> current = all rows, no previous."""
+    from ..functions.expr import parse_dates
+    types = dict(df.dtypes)
     num = lambda c: qcol(c).try_cast("double") if types[c] == "string" else qcol(c)
+    if date:
+        x = df.withColumn("_dt", parse_dates(qcol(date), df.schema[date].dataType))
+        r = x.agg(F.min("_dt").alias("_lo"), F.max("_dt").alias("_hi"), F.count("_dt").alias("_nv"))
+        mid = F.timestamp_seconds((F.unix_timestamp(F.col("_lo").cast("timestamp")) +
+                                   F.unix_timestamp(F.col("_hi").cast("timestamp"))) / 2.0)
+        r = r.withColumn("_mid", mid.cast(x.schema["_dt"].dataType))
+        base = x.crossJoin(one_row(r)).withColumn(
+            "period_half", F.when(F.col("_dt") >= F.col("_mid"), "current").when(F.col("_dt") < F.col("_mid"), "previous"))
+    else:
+        base = df.withColumn("period_half", F.lit("current"))
 
     def s(c, side):
-        # native (exact for decimals) sum, converted once at the end
-        return F.coalesce(F.sum(F.when(F.col("period_half") == side, num(c))), F.lit(0)).cast("double")
-    aggs = [F.count(F.when(F.col("period_half") == "previous", 1)).alias("_np")]
-    for side in ("current", "previous"):
-        aggs.append(s(revenue, side).alias(f"revenue_{side}"))
+        # native (exact for decimals) sum, converted once at the end; side None = all rows
+        v = num(c) if side is None else F.when(F.col("period_half") == side, num(c))
+        return F.coalesce(F.sum(v), F.lit(0)).cast("double")
+
+    def n(side):
+        return F.count(F.lit(1) if side is None else F.when(F.col("period_half") == side, 1)).cast("double")
+    aggs = [F.count(F.when(F.col("period_half") == "current", 1)).alias("_nc"),
+            F.count(F.when(F.col("period_half") == "previous", 1)).alias("_np")]
+    if date:
+        aggs += [F.first("_lo").alias("_lo"), F.first("_hi").alias("_hi"), F.first("_nv").alias("_nv")]
+    for side, tag in (("current", "current"), ("previous", "previous"), (None, "all")):
+        aggs.append(s(revenue, side).alias(f"revenue_{tag}"))
         if profit:
-            aggs.append(s(profit, side).alias(f"profit_{side}"))
+            aggs.append(s(profit, side).alias(f"profit_{tag}"))
         elif cogs:
-            aggs.append((s(revenue, side) - s(cogs, side)).alias(f"profit_{side}"))
-        aggs.append((s(orders, side) if orders else F.count(F.when(F.col("period_half") == side, 1)).cast("double"))
-                    .alias(f"orders_{side}"))
+            aggs.append((s(revenue, side) - s(cogs, side)).alias(f"profit_{tag}"))
+        aggs.append((s(orders, side) if orders else n(side)).alias(f"orders_{tag}"))
     one = base.agg(*aggs)
+    valid = ((F.col("_nv") >= 4) & (F.col("_lo") != F.col("_hi")) & (F.col("_nc") >= 2) & (F.col("_np") >= 2)) \
+        if date else F.lit(False)
+    for m in ["revenue", "orders"] + (["profit"] if (profit or cogs) else []):
+        one = one.withColumn(f"{m}_current", F.when(valid, F.col(f"{m}_current")).otherwise(F.col(f"{m}_all")))
+    one = one.withColumn("_np", F.when(valid, F.col("_np")).otherwise(F.lit(0)))
     rows = []
     has_prev = F.col("_np") > 0
     for name in ["revenue"] + (["profit"] if (profit or cogs) else []) + ["orders"]:

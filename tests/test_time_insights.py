@@ -77,3 +77,14 @@ def test_facts_equal_components(spark):
     assert facts["weakest_city_gap"]["value"] == pytest.approx(gap["gap_pct"])
     ins = {r["fact"]: r for r in I.insights(s).collect()}
     assert 0 <= ins["promo_p_value"]["value"] <= 1
+
+
+def test_report_kpis_split_rules(spark):
+    rows = [(dt.datetime(2024, 1, d), 10.0 * d, 1.0, 1) for d in (1, 2, 3, 10, 11, 12)] + [(None, 100.0, 5.0, 1)]
+    df = spark.createDataFrame(rows, "d timestamp, rev double, pro double, n int")
+    k = {r["metric"]: r for r in I.report_kpis(df, "rev", "pro", "n", "d").collect()}
+    # midpoint 6.5 Jan: current = 10, 11, 12 (undated row excluded), previous = 1, 2, 3
+    assert k["revenue"]["current"] == 330.0 and k["revenue"]["previous"] == 60.0
+    one_day = spark.createDataFrame([(dt.datetime(2024, 1, 1), 5.0, 1.0, 1)] * 5, "d timestamp, rev double, pro double, n int")
+    k1 = {r["metric"]: r for r in I.report_kpis(one_day, "rev", "pro", "n", "d").collect()}
+    assert k1["revenue"]["current"] == 25.0 and k1["revenue"]["previous"] is None and k1["growth"]["current"] is None
