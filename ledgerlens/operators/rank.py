@@ -27,8 +27,9 @@ def rank_with_share(df: DataFrame, dim: str, measure: str = "revenue") -> DataFr
     """per group value, 1-based position (value desc, key asc), share of total % and
     distance from the mean group value %."""
     g = group_values(df, dim, measure)
-    tot = g.agg(F.sum("value").alias("_t"), F.avg("value").alias("_m"))
     ranked = positions(g, ranked_desc("value", dim))
+    # totals from the numbered (checkpointed) groups: no second scan of the input
+    tot = ranked.agg(F.sum("value").alias("_t"), F.avg("value").alias("_m"))
     return (ranked.crossJoin(one_row(tot))
             .withColumn("share_pct", safe_div(F.col("value") * 100.0, F.col("_t")))
             .withColumn("vs_avg_pct", safe_div((F.col("value") - F.col("_m")) * 100.0, F.col("_m")))
@@ -54,7 +55,7 @@ def pareto(df: DataFrame, dim: str, measure: str = "revenue", threshold: float =
     is and the value they carry."""
     g = group_values(df, dim, measure)
     ranked = positions(g, ranked_desc("value", dim), running=("value",))
-    tot = g.agg(F.sum("value").alias("_t"), F.count(F.lit(1)).alias("groups"))
+    tot = ranked.agg(F.sum("value").alias("_t"), F.count(F.lit(1)).alias("groups"))
     r = ranked.crossJoin(one_row(tot)).withColumn("cum_pct", safe_div(F.col("cum_value") * 100.0, F.col("_t")))
     cut = r.agg(F.min(F.when(F.col("cum_pct") >= threshold, F.col("position"))).alias("_c"),
                 F.max("position").alias("_last"))
