@@ -400,11 +400,8 @@ def region_vs_prior(df: DataFrame, region: str = "region", revenue: str = "reven
                     date: str = "order_date", k: int = 10) -> DataFrame:
     """Top k regions of the current half with share of the current total and growth vs the
     same region in the previous half (like-for-like; documented deviation)."""
-    from .timeseries import split_periods
-    s = split_periods(df, date).filter(qcol(region).isNotNull())
-    g = s.groupBy(region).agg(
-        F.coalesce(F.sum(F.when(F.col("period_half") == "current", qcol(revenue))), F.lit(0)).cast("double").alias("current"),
-        F.coalesce(F.sum(F.when(F.col("period_half") == "previous", qcol(revenue))), F.lit(0)).cast("double").alias("previous"))
+    from .timeseries import half_group_sums
+    g = half_group_sums(df, date, region, revenue)
     tot = g.agg(F.sum("current").alias("_t"))
     top = g.orderBy(F.col("current").desc(), qcol(region)).limit(k)
     return top.crossJoin(one_row(tot)).select(

@@ -110,13 +110,10 @@ def contributors(current: DataFrame, previous: DataFrame, dim: str, metric: str,
 
 
 def contributors_by_half(df: DataFrame, date: str, dim: str, metric: str, n: int = 5) -> DataFrame:
-    """I04 in one scan: split the rows into halves (H12) and sum each side conditionally."""
-    from .timeseries import split_periods
-    s = split_periods(df, date)
-    g = s.filter(qcol(dim).isNotNull()).groupBy(dim).agg(
-        F.coalesce(F.sum(F.when(F.col("period_half") == "current", qcol(metric))), F.lit(0)).cast("double").alias("current"),
-        F.coalesce(F.sum(F.when(F.col("period_half") == "previous", qcol(metric))), F.lit(0)).cast("double").alias("previous"))
-    g = g.withColumn("change", F.col("current") - F.col("previous"))
+    """I04 with the halves of the date range (H12) as the two periods: conditional sums in one
+    grouped pass after the date-range pass (``half_group_sums``)."""
+    from .timeseries import half_group_sums
+    g = half_group_sums(df, date, dim, metric).withColumn("change", F.col("current") - F.col("previous"))
     net = g.agg(F.sum("change").alias("_net"))
     top = g.orderBy(F.abs("change").desc(), qcol(dim).asc()).limit(n)
     return top.crossJoin(one_row(net)).withColumn(

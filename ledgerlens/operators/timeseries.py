@@ -258,3 +258,31 @@ def daily_trend(df: DataFrame, date: str, measure: str) -> DataFrame:
 
 def period_label(month_start: Column) -> Column:
     return F.date_format(month_start, "yyyy-MM")
+
+
+def half_group_sums(df: DataFrame, date: str, dim: str, metric: str) -> DataFrame:
+    """Per ``dim`` value the metric summed over the current and the previous half (H12 rules) in
+    two scans: the date range, then one grouped aggregation that also carries the per-side row
+    counts (null keys included, dropped afterwards) from which the split's validity is decided.
+    Unusable split -> current = all rows, previous = 0. Returns (dim, current, previous)."""
+    from ..session import checkpointed
+    x = df.withColumn("_dt", parse_dates(qcol(date), df.schema[date].dataType))
+    r = x.agg(F.min("_dt").alias("_lo"), F.max("_dt").alias("_hi"), F.count("_dt").alias("_nv"))
+    mid = F.timestamp_seconds((F.unix_timestamp(F.col("_lo").cast("timestamp")) +
+                               F.unix_timestamp(F.col("_hi").cast("timestamp"))) / 2.0)
+    r = r.withColumn("_mid", mid.cast(x.schema["_dt"].dataType))
+    j = x.crossJoin(one_row(r))
+    cur, prev = F.col("_dt") >= F.col("_mid"), F.col("_dt") < F.col("_mid")
+
+    def side_sum(cond):
+        return F.coalesce(F.sum(F.when(cond, qcol(metric)) if cond is not None else qcol(metric)), F.lit(0)).cast("double")
+    g = checkpointed(j.groupBy(qcol(dim).alias("_k")).agg(
+        side_sum(cur).alias("_cur"), side_sum(prev).alias("_prev"), side_sum(None).alias("_all"),
+        F.count(F.when(cur, 1)).alias("_nc"), F.count(F.when(prev, 1)).alias("_np"),
+        F.first("_lo").alias("_lo"), F.first("_hi").alias("_hi"), F.first("_nv").alias("_nv")))
+    flags = g.agg(F.sum("_nc").alias("_tc"), F.sum("_np").alias("_tp"), F.first("_lo").alias("_flo"),
+                  F.first("_hi").alias("_fhi"), F.first("_nv").alias("_fnv"))
+    valid = ((F.col("_fnv") >= 4) & (F.col("_flo") != F.col("_fhi")) & (F.col("_tc") >= 2) & (F.col("_tp") >= 2))
+    out = g.filter(F.col("_k").isNotNull()).crossJoin(one_row(flags))
+    return out.select(F.col("_k").alias(dim), F.when(valid, F.col("_cur")).otherwise(F.col("_all")).alias("current"),
+                      F.when(valid, F.col("_prev")).otherwise(F.lit(0.0)).alias("previous"))
