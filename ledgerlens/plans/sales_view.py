@@ -161,6 +161,8 @@ def sales(spark: SparkSession, sf_dir: str, materialize: bool = True) -> DataFra
         return sales_view(spark, sf_dir)
     key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir), _fingerprint(sf_dir))
     path = _MATERIALIZED.get(key)
+    if path is not None and "://" not in path and not path.startswith("file:") and not os.path.exists(path):
+        path = None  # the local copy was removed: rebuild it
     if path is None:
         path = scratch_path(spark, "sales")
         sales_view(spark, sf_dir).write.mode("overwrite").parquet(path)
