@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, simhash_dedup, toxicity
+from . import exact_dedup, line_dedup, simhash_dedup, toxicity
 from .tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -50,3 +50,9 @@ def exact_dedup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op8_toxicity")
 def toxicity_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@register("op10_line_dedup")
+def line_dedup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.deduplicate_lines(table(spark, sf_dir, "documents"), k=2, min_chars=40)
+    return out.select("doc_id", "line_report.*", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
