@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .tables import salted_lookup, stage
+from .tables import salt_count, salted_lookup, stage
 
 BITMAP_BITS = 1 << 26  # 8 MB as a broadcast table, whatever the size of the data
 COUNTED = ("abcdefghijklm", "nopqrstuvwxyz")  # letters counted in crowded buckets, modulo 16
@@ -203,11 +203,20 @@ def line_links(lines: DataFrame, repeated: DataFrame, k: int, crowded: int) -> D
     texts = _distinct_texts(lines, repeated)
     pairs = stage(_pairs(texts, k, crowded), "line-candidates")
     ends = pairs.select(F.col("a").alias("h")).unionByName(pairs.select(F.col("b").alias("h"))).distinct()
-    bodies = _marked(texts, ends).filter("wanted").select("h", "line").join(ends, "h", "left_semi")
-    bodies = stage(bodies.select("h", F.unhex(F.md5("line")).alias("id"), F.split("line", "").alias("chars")), "candidate-lines")
-    left = bodies.select(F.col("h").alias("a"), F.col("id").alias("u"), F.col("chars").alias("x"))
-    right = bodies.select(F.col("h").alias("b"), F.col("id").alias("v"), F.col("chars").alias("y"))
-    return pairs.join(left, "a").join(right, "b").filter(within_edits(F.col("x"), F.col("y"), k)).select("u", "v")
+    bodies = _marked(texts, ends).filter("wanted").select("h", "n", "line").join(ends, "h", "left_semi")
+    bodies = stage(bodies.withColumn("id", F.unhex(F.md5("line"))).withColumns(
+        {f"c{i}": _letter_counts(F.col("line"), F.col("n"), x) for i, x in enumerate(COUNTED)}), "candidate-lines")
+    counts = bodies.select("h", "c0", "c1")
+    close = F.lit(0)
+    for i, letters in enumerate(COUNTED):
+        close = close + _count_distance(F.col(f"p.c{i}"), F.col(f"i.c{i}"), letters)
+    few = pairs.join(counts.withColumnRenamed("h", "a").alias("p"), "a").join(
+        counts.withColumnRenamed("h", "b").alias("i"), "b").filter(close <= 2 * k).select("a", "b").distinct()
+    left = bodies.select(F.col("h").alias("a"), F.col("id").alias("u"), F.split("line", "").alias("x"))
+    right = bodies.select(F.col("h").alias("b"), F.col("id").alias("v"), F.split("line", "").alias("y"))
+    ends = few.join(left, "a").join(right, "b").select("u", "v", "x", "y")
+    ends = stage(ends.repartition(salt_count(pairs.sparkSession), "u", "v"), "line-verification")
+    return ends.filter(within_edits(F.col("x"), F.col("y"), k)).select("u", "v")
 
 
 def line_classes(docs: DataFrame, k: int = 2, min_chars: int = 40, crowded: int = 16) -> DataFrame:
