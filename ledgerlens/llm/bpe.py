@@ -12,13 +12,12 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
-from collections.abc import Iterator
 from itertools import chain
 
-import pandas as pd
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+
+from .tables import per_text
 
 CACHE_WORDS = 400_000
 #: The byte-level split pattern (a fixed value); white space is Unicode's.
@@ -124,28 +123,20 @@ def codec(path: str) -> Codec:
 
 def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, ids array<int>) per input row."""
-    source = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        c = codec(tokenizer_path)
-        for b in batches:
-            yield pd.DataFrame({"id": b["id"], "ids": [c.encode(t) for t in b["text"]]})
+    def make():
+        of = codec(tokenizer_path).encode
+        return lambda text: (of(text),)
 
-    kind = source.schema["id"].dataType.simpleString()
-    return source.mapInPandas(run, f"id {kind}, ids array<int>").withColumnRenamed("id", id_col)
+    return per_text(docs, "ids array<int>", make, id_col, text_col).withColumnRenamed("id", id_col)
 
 
 def decode(rows: DataFrame, tokenizer_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """(id, text) per input row; null ids decode as no ids."""
-    source = rows.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{ids_col}`").alias("ids"))
+    def make():
+        of = codec(tokenizer_path).decode
+        return lambda ids: (of(ids or []),)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        c = codec(tokenizer_path)
-        for b in batches:
-            yield pd.DataFrame({"id": b["id"], "text": [c.decode([] if x is None else list(x)) for x in b["ids"]]})
-
-    kind = source.schema["id"].dataType.simpleString()
-    return source.mapInPandas(run, f"id {kind}, text string").withColumnRenamed("id", id_col)
+    return per_text(rows, "text string", make, id_col, ids_col).withColumnRenamed("id", id_col)
 
 
 def round_trip(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -154,18 +145,16 @@ def round_trip(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", tex
 
     Null texts are empty, and have no ids. Repeated rows give repeated rows, null ids stay null, an empty
     table gives an empty result, further columns are ignored."""
-    source = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    def sha(text: str) -> str:
+        return hashlib.sha256(text.encode("utf-8")).hexdigest()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():
         c = codec(tokenizer_path)
-        for b in batches:
-            out = []
-            for ident, text in zip(b["id"], b["text"]):
-                ids = c.encode(text)
-                out.append((ident, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(),
-                            hashlib.sha256(c.decode(ids).encode("utf-8")).hexdigest()))
-            yield pd.DataFrame(out, columns=["id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    kind = source.schema["id"].dataType.simpleString()
-    schema = f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return source.mapInPandas(run, schema).withColumnRenamed("id", id_col)
+
+        def of(text):
+            ids = c.encode(text)
+            return len(ids), sha(",".join(map(str, ids))), sha(c.decode(ids))
+        return of
+
+    columns = "n_tokens long, ids_sha256 string, decoded_sha256 string"
+    return per_text(docs, columns, make, id_col, text_col).withColumnRenamed("id", id_col)

@@ -16,10 +16,12 @@ from array import array
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from .tables import salt_of, stage
 
@@ -103,25 +105,27 @@ def pieces(docs: DataFrame, tokenizer_path: str, size: int = SIZE, id_col: str =
            with_ids: bool = False) -> DataFrame:
     """(id, start, length, ids_crc32, doc_tokens[, ids]) per piece of the whole text's ids and the end id."""
     source = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    columns = "start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * with_ids
+    schema = StructType([source.schema["id"], *StructType.fromDDL(columns)])
+    arrow = to_arrow_schema(schema)
     end = array("I", [END_ID]).tobytes()
     wide = 4 * size
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = tokenizer_at(tokenizer_path)
         for b in batches:
-            out = []
-            for ident, text in zip(b["id"], b["text"]):
+            rows, of = [], []
+            for i, text in enumerate(b.column(1).to_pylist()):
                 data = tokenizer.ids(text) + end
                 for at in range(0, len(data), wide):
                     part = data[at:at + wide]
-                    row = (ident, at // 4, len(part) // 4, zlib.crc32(part), len(data) // 4)
-                    out.append(row + (np.frombuffer(part, "<u4").astype(np.int32),) if with_ids else row)
-            names = ["id", "start", "length", "ids_crc32", "doc_tokens"] + ["ids"] * with_ids
-            yield pd.DataFrame(out, columns=names)
-
-    kind = source.schema["id"].dataType.simpleString()
-    schema = f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * with_ids
-    return source.mapInPandas(run, schema)
+                    row = (at // 4, len(part) // 4, zlib.crc32(part), len(data) // 4)
+                    rows.append(row + (np.frombuffer(part, "<u4").astype(np.int32),) if with_ids else row)
+                    of.append(i)
+            values = [pa.array([r[i] for r in rows], f.type) for i, f in enumerate(list(arrow)[1:])]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(of, pa.int64())), *values], schema=arrow)
+
+    return source.mapInArrow(run, schema)
 
 
 def shortest_pack_first(histogram: dict[int, int], size: int) -> list[tuple[int, tuple[int, ...]]]:

@@ -12,8 +12,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, line_dedup, packing, simhash_dedup, toxicity
-from .tables import table
+from . import bpe, exact_dedup, fingerprints, line_dedup, packing, simhash_dedup, toxicity
+from .tables import stage, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, tuple[Query, str | None]] = {}
@@ -63,6 +63,15 @@ def toxicity_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@register("op9_fingerprints")
+def fingerprints_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fingerprints.compare_with_next(table(spark, sf_dir, "documents"))
+    asked = F.coalesce(F.col("doc_id") % 20 == 0, F.lit(False))
+    out = fingerprints.count_neighbours(stage(rows, "fingerprint-rows"), asked, radius=3, blocks=5)
+    return out.select("doc_id", "n_chars", "edited_sha256", unsigned_hex("fp").alias("fingerprint"),
+                      unsigned_hex("edited_fp").alias("edited_fingerprint"), "near_edited", "near_next", "n_near")
+
+
 @register("op10_line_dedup")
 def line_dedup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.deduplicate_lines(table(spark, sf_dir, "documents"), k=2, min_chars=40)

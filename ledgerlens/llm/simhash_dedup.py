@@ -15,29 +15,21 @@ has such a point, so the classes are the same, at a cost in proportion to the bu
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from itertools import combinations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
 from .hashing import majority_fingerprint
-from .tables import salted_lookup, stage
+from .tables import per_text, salted_lookup, stage
 
 BITS = 64
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fp): the majority fingerprint of every whole text, as a signed long."""
-    source = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame({"id": b["id"], "fp": [majority_fingerprint(t, shingle) for t in b["text"]]})
-
-    return source.mapInPandas(run, schema=f"id {source.schema['id'].dataType.simpleString()}, fp long")
+    return per_text(docs, "fp long", lambda: lambda text: (majority_fingerprint(text, shingle),), id_col, text_col)
 
 
 def _segments(count: int) -> list[tuple[int, int]]:

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
+
 from ..session import materialize
 
 
@@ -39,3 +45,22 @@ def salted_lookup(rows: DataFrame, lookup: DataFrame, key: str, spread: str) ->
     salted = rows.withColumn("_salt", salt_of(spark, spread))
     parts = salted.select(key, "_salt").distinct().join(lookup, key, "left")
     return salted.join(parts, [key, "_salt"], "left").drop("_salt")
+
+
+def per_text(docs: DataFrame, columns: str, make: Callable[[], Callable[[list], list]],
+             id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, ``columns``): values computed in tasks from each whole text, ids untouched.
+
+    ``make`` is called once per task and gives the function from a text to a row's values."""
+    source = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    schema = StructType([source.schema["id"], *StructType.fromDDL(columns)])
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = make()
+        for b in batches:
+            rows = [of(t) for t in b.column(1).to_pylist()]
+            values = [pa.array([r[i] for r in rows], f.type) for i, f in enumerate(list(arrow)[1:])]
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(arrow[0].type), *values], schema=arrow)
+
+    return source.mapInArrow(run, schema)

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .tables import stage
+from .tables import per_text, stage
 
 WORD = re.compile(r"\w+")
 PREFIXES = (4, 5, 6)
@@ -203,17 +203,13 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) ->
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, score) per input row, from the whole text alone; null and empty texts score the bias."""
-    source = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     index, weights, bias, scale = model.index, model.weights, model.bias, model.scale
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():
         of = Numbers(index).of
-        for b in batches:
-            sums = np.array([weights[of(t)].sum() for t in b["text"]], float)
-            yield pd.DataFrame({"id": b["id"], "score": _sigmoid(scale * (bias + sums))})
+        return lambda text: (float(_sigmoid(scale * (bias + weights[of(text)].sum()))),)
 
-    kind = source.schema["id"].dataType.simpleString()
-    return source.mapInPandas(run, f"id {kind}, score double").withColumnRenamed("id", id_col)
+    return per_text(docs, "score double", make, id_col, text_col).withColumnRenamed("id", id_col)
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> DataFrame:
