@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, fingerprints, line_dedup, packing, simhash_dedup, toxicity
+from . import bpe, exact_dedup, fingerprints, license_scan, line_dedup, packing, simhash_dedup, toxicity
 from .tables import stage, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,6 +31,12 @@ def unsigned_hex(col: str) -> Column:
     return F.lpad(F.lower(F.hex(F.col(col))), 16, "0")
 
 
+@register("op1_license_scan")
+def license_scan_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = license_scan.scan(table(spark, sf_dir, "documents"))
+    return out.withColumn("n_notices", F.size("notices").cast("long")).drop("notices")
+
+
 @register("op3_packing")
 def packing_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), size=2048)
