@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, fingerprints, license_scan, line_dedup, packing, simhash_dedup, toxicity
+from . import bpe, exact_dedup, fingerprints, license_scan, line_dedup, packing, simhash_dedup, toxicity, warc
 from .tables import stage, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,6 +37,12 @@ def license_scan_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("n_notices", F.size("notices").cast("long")).drop("notices")
 
 
+@register("op2_warc")
+def warc_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = warc.round_trip(table(spark, sf_dir, "pages"), least_bytes=0)
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 @register("op3_packing")
 def packing_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), size=2048)
