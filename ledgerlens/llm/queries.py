@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, fingerprints, license_scan, line_dedup, packing, simhash_dedup, toxicity, warc
+from . import bpe, exact_dedup, fingerprints, license_scan, line_dedup, packing, simhash_dedup, tool_calls, toxicity, warc
 from .tables import stage, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -48,6 +48,14 @@ def packing_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), size=2048)
 
 
+@register("op4_tool_calls")
+def tool_calls_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = tool_calls.link(*tool_calls.calls_of(table(spark, sf_dir, "conversations")))
+    return out.select("conv_id", "call_id", "turn", "wave", "status", "name", "valid",
+                      F.array_join("problems", "; ").alias("problems"), "n_results",
+                      F.sha2("canonical", 256).alias("canonical_sha256"))
+
+
 @register("op5_simhash_near_dedup")
 def simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash_dedup.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, radius=3)
