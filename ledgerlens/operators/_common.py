@@ -48,15 +48,6 @@ def one_row(df: DataFrame) -> DataFrame:
     return F.broadcast(df)
 
 
-BROADCAST_MAX_ROWS = 100_000
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast a per-group lookup only after checking its row count (call it on small,
-    materialised inputs); larger ones join by shuffle, where AQE can still split skew."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
-
-
 @dataclass(frozen=True)
 class SalesCols:
     """Column names of the sales vocabulary; override to run on any schema."""
@@ -83,28 +74,16 @@ def field_type(df: DataFrame, name: str) -> T.DataType:
     return df.schema[name].dataType
 
 
-# Results with at most this many rows (checked by a count) are numbered by one ordered window.
-SMALL_RESULT_ROWS = 1_000_000
-
-
 def positions(df: DataFrame, order: list[Column], running: tuple[str, ...] = (),
               name: str = "position") -> DataFrame:
     """Global 1-based position in ``order`` plus running sums ``cum_<col>``.
 
-    The input is checkpointed (shared ``spark.checkpoint.dir``) and counted. Up to
-    ``SMALL_RESULT_ROWS`` rows (a checked bound) one ordered window numbers them. Above that a
-    window over the whole result would pull every row into one task, so instead: range-sort,
-    checkpoint (keeps the partition layout deterministic for the two uses below), take the
-    in-partition index from ``monotonically_increasing_id`` and add per-partition offsets
-    computed from a table with one row per partition (bounded by the partition count).
+    The rows are range-sorted into the shared checkpoint folder, which fixes the partition layout
+    for the two uses below. A row's place in its partition comes from
+    ``monotonically_increasing_id``; the partitions' offsets come from a table with one row per
+    partition. No window ever covers more than one partition's rows or that table.
     """
-    base = checkpointed(df)
-    if base.count() <= SMALL_RESULT_ROWS:
-        w = Window.orderBy(*order)
-        run = w.rowsBetween(Window.unboundedPreceding, 0)
-        return base.select("*", F.row_number().over(w).cast("long").alias(name),
-                           *[F.sum(c(r)).over(run).alias(f"cum_{r}") for r in running])
-    sorted_df = checkpointed(base.orderBy(*order))
+    sorted_df = checkpointed(df.orderBy(*order))
     ided = (sorted_df.withColumn("_pid", F.spark_partition_id())
             .withColumn("_mid", F.monotonically_increasing_id()))
     ided = ided.withColumn("_lid", F.col("_mid") - F.shiftleft(F.col("_pid").cast("long"), 33))
@@ -115,7 +94,7 @@ def positions(df: DataFrame, order: list[Column], running: tuple[str, ...] = (),
         "_pid",
         F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"),
         *[F.coalesce(F.sum(f"_s_{r}").over(before), F.lit(0)).alias(f"_o_{r}") for r in running])
-    out = ided.join(F.broadcast(offsets), "_pid")
+    out = ided.join(F.broadcast(offsets), "_pid")  # one row per partition
     cols = [F.col("*"), (F.col("_off") + F.col("_lid") + 1).alias(name)]
     if running:
         local = Window.partitionBy("_pid").orderBy("_lid").rowsBetween(Window.unboundedPreceding, 0)

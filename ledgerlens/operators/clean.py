@@ -55,18 +55,23 @@ def coerce_numeric(df: DataFrame, cols: list[str]) -> DataFrame:
 
 def impute_median(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """Fill missing (null / NaN) numeric values with the column's exact interpolated median;
-    all medians come from one distributed sort (``exact_quantiles``)."""
+    all medians come from one distributed sort (``exact_quantiles``). An integer or decimal
+    column with missing values becomes double, as its median may lie between two values."""
     cols = cols if cols is not None else [f.name for f in df.schema.fields if is_numeric(f.dataType)]
     if not cols:
         return df
     med = median_row(df, cols).select(*[F.col(c).alias(f"_med_{i}") for i, c in enumerate(cols)])
     j = df.crossJoin(one_row(med))
     idx = {c: i for i, c in enumerate(cols)}
+    whole = [f.name for f in df.schema.fields if f.name in idx and not is_float(f.dataType)]
+    some = df.agg(*[F.coalesce(F.max(qcol(c).isNull()), F.lit(False)) for c in whole]).first() if whole else ()
+    widened = {c for c, missing in zip(whole, some) if missing}
     out = []
     for f in df.schema.fields:
         if f.name in idx:
             v = nan_to_null(qcol(f.name)) if is_float(f.dataType) else qcol(f.name)
-            out.append(F.coalesce(v, F.col(f"_med_{idx[f.name]}").cast(f.dataType)).alias(f.name))
+            kind = T.DoubleType() if f.name in widened else f.dataType
+            out.append(F.coalesce(v.cast(kind), F.col(f"_med_{idx[f.name]}").cast(kind)).alias(f.name))
         else:
             out.append(qcol(f.name))
     return j.select(*out)

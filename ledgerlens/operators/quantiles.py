@@ -1,34 +1,31 @@
 """Exact, distributed quantiles (linear interpolation, pandas/NumPy default; trap T11).
 
 ``percentile`` keeps every distinct value of a group in one aggregation buffer, so a global
-median of a large table would end in one task. Instead (per column, optionally per group):
+median of a large table would end in one task. Instead (per column, optionally per group), at
+every size alike:
 
 1. one aggregation gives the count n and a Greenwald-Khanna sketch bracket
    ``percentile_approx(v, p -+ 4/accuracy)``; the sketch's rank error is at most n/accuracy, so
    the exact order statistics at ranks floor/ceil((n - 1) p) lie inside the bracket;
-2. one pass counts the values below the bracket and keeps only the values inside it
-   (about 8 n / accuracy of them);
-3. only those are range-sorted and numbered (``positions``) to pick the two neighbours and
-   interpolate. If a bracket ever misses (it cannot by the sketch's guarantee) the affected
-   quantiles are recomputed by sorting all their values, so the result is always exact.
+2. one pass counts equal values inside the bracket, and all values below it as one row. Counting
+   happens before the shuffle, so ties, however many, are one row per task;
+3. those counts are range-sorted with a running sum (``positions``); the two neighbours of the
+   wanted rank are the values whose running counts enclose it.
 
-Nothing unbounded meets in one task or on the driver; the sort touches a tiny subset.
+If a bracket ever missed (it cannot by the sketch's guarantee) the affected quantiles are
+recomputed without a bracket, so the result is always exact.
 """
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import checkpointed
+from ..session import checkpointed, materialize
 from ..functions.expr import qcol
-from ._common import broadcast_if_small, positions
+from ._common import positions
 
 DEFAULT_ACCURACY = 10000
-# Inputs with at most this many values use Spark's exact ``percentile`` directly: the count
-# is checked first, so the buffer it builds is bounded (about 16 bytes per value).
-SMALL_INPUT_VALUES = 1_000_000
 
 
 def _long(df: DataFrame, cols: list[str], by: str | None) -> DataFrame:
@@ -39,23 +36,20 @@ def _long(df: DataFrame, cols: list[str], by: str | None) -> DataFrame:
             .filter(F.col("v").isNotNull() & ~F.isnan("v")))
 
 
-def _pick(rows: DataFrame, targets: DataFrame, keys: list[str], few_keys: bool) -> DataFrame:
-    """Exact order statistics by sorting ``rows`` (keys..., v). ``targets`` has keys..., p, lo,
-    hi, frac with 0-based ranks within each key group (``keys`` ends with "p"); returns
-    keys..., value.
-    ``few_keys``: the key groups are (column, p) pairs only, a parameter-sized set."""
-    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    order = [F.col(x).asc_nulls_first() for x in keys]
-    if few_keys:
-        before = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-        starts = counts.select(*keys, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("off"))
-    else:
-        starts = positions(counts, order, running=("n",), name="_gpos") \
-            .select(*keys, (F.col("cum_n") - F.col("n")).alias("off"))
-    t = targets.join(starts, keys)
-    ranked = positions(rows, order + [F.col("v").asc()], name="pos").select("pos", "v")
-    lo = t.join(ranked.withColumnRenamed("v", "v_lo"), F.col("pos") == F.col("off") + F.col("lo") + 1).drop("pos")
-    both = lo.join(ranked.withColumnRenamed("v", "v_hi"), F.col("pos") == F.col("off") + F.col("hi") + 1).drop("pos")
+def _pick(rows: DataFrame, targets: DataFrame, keys: list[str]) -> DataFrame:
+    """Exact order statistics of ``rows`` (keys..., v, c: how often; v null: below the bracket).
+    ``targets`` has keys..., lo, hi, frac with 0-based ranks per key group (``keys`` ends with "p");
+    returns keys..., value (null if the bracket missed)."""
+    order = [F.col(x).asc_nulls_first() for x in keys] + [F.col("v").asc_nulls_first()]
+    numbered = positions(rows, order, running=("c",), name="_pos").select(
+        *keys, "v", F.col("cum_c").alias("end"), (F.col("cum_c") - F.col("c")).alias("start"))
+    first = numbered.groupBy(*keys).agg(F.min("start").alias("first"))
+    t = targets.join(first, keys).select(*keys, "frac", (F.col("first") + F.col("lo")).alias("lo"),
+                                         (F.col("first") + F.col("hi")).alias("hi"))
+    near = numbered.join(t, keys).filter((F.col("end") > F.col("lo")) & (F.col("start") <= F.col("hi")))
+    v_lo = F.max(F.when((F.col("start") <= F.col("lo")) & (F.col("end") > F.col("lo")), F.col("v")))
+    v_hi = F.max(F.when((F.col("start") <= F.col("hi")) & (F.col("end") > F.col("hi")), F.col("v")))
+    both = near.groupBy(*keys, "frac").agg(v_lo.alias("v_lo"), v_hi.alias("v_hi"))
     val = F.when(F.col("frac") == 0, F.col("v_lo")).otherwise(
         F.col("v_lo") + (F.col("v_hi") - F.col("v_lo")) * F.col("frac"))
     return both.select(*keys, val.alias("value"))
@@ -68,18 +62,8 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float], by: str
     Nulls and NaN are ignored (pandas ``quantile`` semantics). With ``by``, quantiles are per
     group value.
     """
-    # the long form is scanned a few times (sketch, bracket counts, bracket rows): keep it
-    # (memory, spilling to disk) for the duration of this call only
-    long = _long(df, cols, by).persist(StorageLevel.MEMORY_AND_DISK)
+    long = _long(df, cols, by)
     gkeys = ["k", "_g"] if by else ["k"]
-    if long.count() <= SMALL_INPUT_VALUES:
-        exact = long.groupBy(*gkeys).agg(F.percentile("v", [float(p) for p in probs]).alias("_q"))
-        pairs = F.arrays_zip(F.array(*[F.lit(float(p)) for p in probs]).alias("p"), F.col("_q").alias("value"))
-        small = exact.select(*gkeys, F.explode(pairs).alias("z")).select(
-            F.col("k").alias("column"), F.col("z.p").alias("p"), *(["_g"] if by else []), F.col("z.value").alias("value"))
-        small = checkpointed(small.withColumnRenamed("_g", by) if by else small)
-        long.unpersist()
-        return small
     eps = 4.0 / accuracy
     brackets = [max(0.0, p - eps) for p in probs] + [min(1.0, p + eps) for p in probs]
     stats = long.groupBy(*gkeys).agg(F.count(F.lit(1)).alias("n"),
@@ -89,32 +73,21 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float], by: str
            for i, p in enumerate(probs)]
     targets = stats.select(*gkeys, "n", F.explode(F.array(*tgt)).alias("t")).select(*gkeys, "n", "t.*")
     h = (F.col("n") - 1) * F.col("p")
-    # one row per (column[, group], p): small; checkpointed so the sketch pass runs once
-    targets = checkpointed(targets.withColumn("lo", F.floor(h).cast("long")).withColumn("hi", F.ceil(h).cast("long"))
-                           .withColumn("frac", h - F.floor(h)))
-    # pass 2: values below each bracket and the values inside it
-    # one target row per (column[, group], p): broadcast when the checked count is small
-    j = long.join(broadcast_if_small(targets.select(*gkeys, "p", "b_lo", "b_hi")), gkeys)
-    inside = (F.col("v") >= F.col("b_lo")) & (F.col("v") <= F.col("b_hi"))
-    below = j.groupBy(*gkeys, "p").agg(F.count(F.when(F.col("v") < F.col("b_lo"), 1)).alias("below"),
-                                       F.count(F.when(inside, 1)).alias("win"))
-    t2 = targets.join(below, gkeys + ["p"], "left").na.fill(0, ["below", "win"])
-    ok = (F.col("below") <= F.col("lo")) & (F.col("below") + F.col("win") > F.col("hi"))
-    t2 = t2.withColumn("_ok", ok)
-    t2 = checkpointed(t2)
-    good = t2.filter("_ok").select(*gkeys, "p", (F.col("lo") - F.col("below")).alias("lo"),
-                                   (F.col("hi") - F.col("below")).alias("hi"), "frac")
-    window_rows = j.filter(inside).select(*gkeys, "p", "v")
-    res = _pick(window_rows, good, gkeys + ["p"], by is None)
-    if t2.filter(~F.col("_ok")).limit(1).count() > 0:
-        bad = t2.filter(~F.col("_ok")).select(*gkeys, "p", "lo", "hi", "frac")
-        full_rows = long.join(bad.select(*gkeys, "p"), gkeys)
-        res = res.unionByName(_pick(full_rows, bad, gkeys + ["p"], by is None))
+    # one row per (column[, group], p), written so that the planner knows its size
+    targets = materialize(targets.withColumn("lo", F.floor(h).cast("long")).withColumn("hi", F.ceil(h).cast("long"))
+                          .withColumn("frac", h - F.floor(h)), "quantile-targets")
+    j = long.join(targets.select(*gkeys, "p", "b_lo", "b_hi"), gkeys).filter(F.col("v") <= F.col("b_hi"))
+    inside = F.when(F.col("v") >= F.col("b_lo"), F.col("v")).alias("v")
+    counts = j.select(*gkeys, "p", inside).groupBy(*gkeys, "p", "v").agg(F.count(F.lit(1)).alias("c"))
+    wanted = targets.select(*gkeys, "p", "lo", "hi", "frac")
+    res = checkpointed(_pick(counts, wanted, gkeys + ["p"]))  # one row per (column[, group], p)
+    missed = res.filter(F.col("value").isNull())
+    if not missed.isEmpty():
+        again = wanted.join(missed.select(*gkeys, "p"), gkeys + ["p"], "left_semi")
+        rows = long.join(again.select(*gkeys, "p"), gkeys).groupBy(*gkeys, "p", "v").agg(F.count(F.lit(1)).alias("c"))
+        res = res.filter(F.col("value").isNotNull()).unionByName(_pick(rows, again, gkeys + ["p"]))
     out = res.select(F.col("k").alias("column"), "p", *(["_g"] if by else []), "value")
-    out = out.withColumnRenamed("_g", by) if by else out
-    out = checkpointed(out)  # small result; lets the long form be released now
-    long.unpersist()
-    return out
+    return out.withColumnRenamed("_g", by) if by else out
 
 
 def quantile_row(df: DataFrame, col: str, probs: list[float], names: list[str]) -> DataFrame:

@@ -90,7 +90,8 @@ def similar_values(df: DataFrame, cols: list[str] | str, cutoff: float = 0.85, n
         "r", F.row_number().over(Window.partitionBy("k", "v").orderBy("f", "tok")))
     lens = vals.withColumn("L", F.length("v"))
     t = float(cutoff)
-    need = F.ceil(F.col("L") * (t / (2 - t)))
+    # Shared characters a partner needs; the margin keeps rounding from asking for one too many.
+    need = F.ceil(F.col("L") * (t / (2 - t)) - 1e-9)
     prefix = ranked.join(lens, ["k", "v"]).filter(F.col("r") <= F.col("L") - need + 1).select("k", "v", "tok", "L")
     a = prefix.select("k", F.col("v").alias("word"), "tok", F.col("L").alias("Lw"))
     b = prefix.select("k", F.col("v").alias("x"), "tok", F.col("L").alias("Lx"))

@@ -13,10 +13,10 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.expr import qcol
+from ..functions.expr import qcol, safe_div
 from ..functions.pvalues import t_pvalue
-from ..session import checkpointed
-from ._common import broadcast_if_small, nonnull, one_row
+from ..session import materialize
+from ._common import nonnull, one_row
 from .quantiles import exact_quantiles
 
 
@@ -248,13 +248,13 @@ def boxplot_stats(df: DataFrame, col: str, by: str | None = None) -> DataFrame:
           .drop("_g1"))
     fences = st.select(*keys, "lo_fence", "hi_fence")
     if keys:
-        fences = broadcast_if_small(checkpointed(fences))  # one row per group: size checked
+        fences = materialize(fences, "fences")  # written, so that the planner knows its size
     joined = base.join(fences, keys) if keys else base.crossJoin(one_row(fences))
     outl = (joined.groupBy(*keys) if keys else joined.groupBy()).agg(
         F.count(F.when((F.col("v") < F.col("lo_fence")) | (F.col("v") > F.col("hi_fence")), 1))
         .alias("outlier_count"))
     st = st.join(outl, keys) if keys else st.crossJoin(one_row(outl))
-    return st.withColumn("outlier_pct", F.col("outlier_count") * 100.0 / F.col("n"))
+    return st.withColumn("outlier_pct", safe_div(F.col("outlier_count") * 100.0, F.col("n")))
 
 
 def iqr_outliers(df: DataFrame, col: str) -> DataFrame:

@@ -150,7 +150,8 @@ LEVEL_FORMATS = {"Day": ("day", "dd MMM yyyy"), "Month": ("month", "MMM yyyy"),
 
 def time_table(df: DataFrame, date: str, level: str = "Month", revenue: str = "revenue",
                profit: str = "profit", orders: str = "orders") -> DataFrame:
-    """Revenue, profit, orders, AOV, margin % and revenue growth % per day / month / year."""
+    """Revenue, profit, orders, AOV, margin % and revenue growth % per day / month / year.
+    Growth after a period without revenue is null."""
     unit, fmt = LEVEL_FORMATS[level]
     d = _dates(df, date).withColumn("_p", F.date_trunc(unit, "_dt"))
     g = d.groupBy("_p").agg(dsum(revenue).alias("revenue"), dsum(profit).alias("profit"),
@@ -161,8 +162,8 @@ def time_table(df: DataFrame, date: str, level: str = "Month", revenue: str = "r
                  F.when(F.col("revenue") > 0, F.col("profit") / F.col("revenue") * 100.0).otherwise(0.0)
                  .alias("margin"))
     w = Window.orderBy("period")
-    return g.withColumn("growth_pct", (F.col("revenue") / F.lag("revenue").over(w) - 1) * 100.0) \
-        .orderBy("period")
+    before = F.lag("revenue").over(w)
+    return g.withColumn("growth_pct", (F.try_divide(F.col("revenue"), before) - 1) * 100.0).orderBy("period")
 
 
 def time_extremes(tt: DataFrame) -> DataFrame:

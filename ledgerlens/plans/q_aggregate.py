@@ -59,12 +59,14 @@ def e03_bottom_products(spark, d):
 
 
 @register("e04_pivot_category_city", """
-SELECT category, coalesce(COLUMNS(* EXCLUDE (category)), 0.0) FROM (
-  PIVOT (SELECT category, city, revenue FROM sales WHERE category IS NOT NULL AND city IS NOT NULL)
-  ON city USING CAST(sum(revenue) AS DOUBLE) GROUP BY category)
+WITH s AS (SELECT category, city, revenue FROM sales WHERE category IS NOT NULL AND city IS NOT NULL),
+cells AS (SELECT category, city FROM (SELECT DISTINCT category FROM s), (SELECT DISTINCT city FROM s))
+SELECT c.category, c.city, CAST(coalesce(sum(s.revenue), 0) AS DOUBLE) AS revenue
+FROM cells c LEFT JOIN s ON s.category = c.category AND s.city = c.city GROUP BY c.category, c.city
 """)
 def e04_pivot_category_city(spark, d):
-    return A.pivot_sum(sales(spark, d), "category", "city", "revenue")
+    wide = A.pivot_sum(sales(spark, d), "category", "city", "revenue")
+    return wide.unpivot("category", [f"`{c}`" for c in wide.columns if c != "category"], "city", "revenue")
 
 
 @register("e05_promo_impact", """

@@ -110,12 +110,15 @@ def h08_forecast_monthly(spark, d):
 
 @register("h09_category_by_month", """
 WITH s AS (SELECT category, strftime(order_date, '%Y-%m') AS ym, revenue FROM sales WHERE order_date IS NOT NULL AND category IS NOT NULL),
-m AS (SELECT DISTINCT ym FROM s ORDER BY ym DESC LIMIT 12)
-SELECT category, coalesce(COLUMNS(* EXCLUDE (category)), 0.0) FROM (
-  PIVOT (SELECT category, ym, revenue FROM s WHERE ym IN (SELECT ym FROM m)) ON ym USING CAST(sum(revenue) AS DOUBLE) GROUP BY category)
+m AS (SELECT DISTINCT ym FROM s ORDER BY ym DESC LIMIT 12),
+k AS (SELECT * FROM s WHERE ym IN (SELECT ym FROM m)),
+cells AS (SELECT category, ym FROM (SELECT DISTINCT category FROM k), m)
+SELECT c.category, c.ym AS year_month, CAST(coalesce(sum(k.revenue), 0) AS DOUBLE) AS revenue
+FROM cells c LEFT JOIN k ON k.category = c.category AND k.ym = c.ym GROUP BY c.category, c.ym
 """)
 def h09_category_by_month(spark, d):
-    return H.category_by_month(sales(spark, d), "order_date", "category", "revenue")
+    wide = H.category_by_month(sales(spark, d), "order_date", "category", "revenue")
+    return wide.unpivot("category", [f"`{c}`" for c in wide.columns if c != "category"], "year_month", "revenue")
 
 
 def _tt_sql(unit: str, fmt: str) -> str:
