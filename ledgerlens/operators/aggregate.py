@@ -317,8 +317,7 @@ def aggregate_insight(series: DataFrame, label: str, value: str = "value",
 # ---------------------------------------------------------------- E17, E18, E19
 
 def measure_totals(df: DataFrame, measures: list[str]) -> DataFrame:
-    """Sum and mean of up to 8 measures from one wide aggregation, unpivoted."""
-    measures = measures[:8]
+    """Sum and mean of every given measure from one wide aggregation, unpivoted."""
     aggs = []
     for m in measures:
         aggs += [F.sum(m).cast("double").alias(f"{m}__sum"), dmean(m).alias(f"{m}__mean")]
@@ -328,12 +327,11 @@ def measure_totals(df: DataFrame, measures: list[str]) -> DataFrame:
 
 
 def breakdowns(df: DataFrame, dims: list[str], measure: str, k: int = 12) -> DataFrame:
-    """Top k groups of ``measure`` for each of the first four dimensions.
+    """Top k groups of ``measure`` for each given dimension.
 
     One ``GROUPING SETS`` pass over the data, then a per-set ``row_number`` whose group limit is
     applied before the shuffle (WindowGroupLimit), so each set ships at most k rows per task.
     """
-    dims = dims[:4]
     sel = [F.col(d).cast("string").alias(f"_d{i}") for i, d in enumerate(dims)]
     base = df.select(*sel, F.col(measure).alias("_m"))
     g = base.groupingSets([[f"_d{i}"] for i in range(len(dims))], *[f"_d{i}" for i in range(len(dims))]) \

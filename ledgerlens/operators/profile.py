@@ -96,21 +96,16 @@ def _contains_any(col, words: list[str]):
     return reduce(lambda a, b: a | b, [low.contains(w) for w in words])
 
 
-def detect_date_columns(df: DataFrame, sample: int = 20, threshold: float = 0.7) -> list[str]:
+def detect_date_columns(df: DataFrame, threshold: float = 0.7) -> list[str]:
     """timestamp/date columns, plus text columns whose name hints at a date and more than
-    70 % of their first ``sample`` non-null values parse (the reference's 20-value sniff).
-    One job: the per-column samples are unioned and parsed together."""
+    70 % of whose non-null values parse, all of them counted in one aggregation."""
     found = [f.name for f in df.schema.fields if is_temporal(f.dataType)]
     hinted = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)
               and any(h in f.name.lower() for h in DATE_NAME_HINTS)]
     if hinted:
-        samples = [df.select(F.lit(c).alias("col"), qcol(c).alias("v")).filter(F.col("v").isNotNull()).limit(sample)
-                   for c in hinted]
-        u = reduce(lambda a, b: a.unionByName(b), samples)
-        ok = (u.groupBy("col").agg(F.avg(parse_dates(F.col("v"), T.StringType()).isNotNull().cast("double"))
-                                   .alias("r")).filter(F.col("r") > threshold).collect())
-        good = {r["col"] for r in ok}
-        found += [c for c in hinted if c in good]
+        parsed = [F.avg(F.when(qcol(c).isNotNull(), parse_dates(qcol(c), T.StringType()).isNotNull().cast("double")))
+                  for c in hinted]
+        found += [c for c, share in zip(hinted, df.agg(*parsed).first()) if share is not None and share > threshold]
     order = {c: i for i, c in enumerate(df.columns)}
     return sorted(found, key=order.get)
 

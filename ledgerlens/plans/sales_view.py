@@ -94,9 +94,10 @@ def sales_from_tables(lineitem: DataFrame, orders: DataFrame, part: DataFrame,
                  F.col("n_regionkey") == F.col("r_regionkey")))
     cust = (customer.select("c_custkey", "c_nationkey", "c_mktsegment")
             .join(F.broadcast(geo), F.col("c_nationkey") == F.col("n_nationkey")))
-    joined = (li.join(od, F.col("l_orderkey") == F.col("o_orderkey"))
-              .join(pt, F.col("l_partkey") == F.col("p_partkey"))
-              .join(cust, F.col("o_custkey") == F.col("c_custkey")))
+    # Orders meet their customers first, so that the line items move only twice: by order and by part.
+    placed = od.join(cust, F.col("o_custkey") == F.col("c_custkey"))
+    joined = (li.join(placed, F.col("l_orderkey") == F.col("o_orderkey"))
+              .join(pt, F.col("l_partkey") == F.col("p_partkey")))
     revenue = F.col("l_extendedprice").cast("decimal(12,2)")
     orders_c = F.col("l_quantity").cast("int")
     original = F.col("p_retailprice").cast("decimal(12,2)")
@@ -128,17 +129,17 @@ SALES_SOURCES = ("lineitem", "orders", "part", "customer", "nation", "region")
 _MATERIALIZED: dict[tuple, str] = {}
 
 
-def _fingerprint(sf_dir: str) -> tuple:
-    """Sizes and modification times of the local source files (changes invalidate the copy);
-    remote paths are keyed by name only."""
+def _fingerprint(spark: SparkSession, sf_dir: str) -> tuple:
+    """Sizes and modification times of the source tables' files, read through Hadoop so that it
+    works on any storage (changes invalidate the copy)."""
+    path_of = spark._jvm.org.apache.hadoop.fs.Path
+    conf = spark._jsc.hadoopConfiguration()
     out = []
     for n in SALES_SOURCES:
-        p = table_path(sf_dir, n)
-        try:
-            st = os.stat(p)
-            out.append((n, st.st_size, st.st_mtime_ns))
-        except OSError:
-            out.append((n, None, None))
+        path = path_of(table_path(sf_dir, n))
+        fs = path.getFileSystem(conf)
+        files = fs.listStatus(path)
+        out.append((n, *sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in files)))
     return tuple(out)
 
 
@@ -159,10 +160,12 @@ def sales(spark: SparkSession, sf_dir: str, materialize: bool = True) -> DataFra
     """
     if not materialize:
         return sales_view(spark, sf_dir)
-    key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir), _fingerprint(sf_dir))
+    key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir), _fingerprint(spark, sf_dir))
     path = _MATERIALIZED.get(key)
-    if path is not None and "://" not in path and not path.startswith("file:") and not os.path.exists(path):
-        path = None  # the local copy was removed: rebuild it
+    if path is not None:
+        copy = spark._jvm.org.apache.hadoop.fs.Path(path)
+        if not copy.getFileSystem(spark._jsc.hadoopConfiguration()).exists(copy):
+            path = None  # the copy was removed: rebuild it
     if path is None:
         path = scratch_path(spark, "sales")
         sales_view(spark, sf_dir).write.mode("overwrite").parquet(path)

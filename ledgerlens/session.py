@@ -36,9 +36,12 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
 
 
 def ensure_checkpoint_dir(spark: SparkSession, fallback: str = "/tmp/ledgerlens-checkpoints") -> str:
-    """Use the cluster's shared ``spark.checkpoint.dir``; set a fallback only when unset (tests)."""
+    """Use the cluster's shared ``spark.checkpoint.dir``; a local master (tests) falls back to a
+    folder of this machine, a cluster without the setting is an error."""
     cur = spark.conf.get("spark.checkpoint.dir", None)
     if not cur:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         cur = fallback
         spark.conf.set("spark.checkpoint.dir", cur)
     if spark.sparkContext.getCheckpointDir() is None:

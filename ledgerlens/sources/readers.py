@@ -68,7 +68,7 @@ def classify_files(spark: SparkSession, directory: str, recursive: bool = True)
 
 
 def _head_text(spark: SparkSession, path: str, nbytes: int = SNIFF_BYTES) -> str:
-    lines = spark.read.text(path).limit(256).collect()
+    lines = spark.read.text(path).select(F.substring("value", 1, nbytes)).limit(256).collect()
     out, size = [], 0
     for r in lines:
         line = r[0] or ""
