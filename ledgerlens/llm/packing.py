@@ -64,7 +64,7 @@ class WordTokenizer:
         got = self.seen.get(word)
         if got is None:
             letters = self.letters
-            spelled = word if word.isascii() else "".join([letters[b] for b in word.encode()])
+            spelled = word if word.isascii() and word.isprintable() else "".join([letters[b] for b in word.encode()])
             got = self.seen[word] = array("I", [t.id for t in self.lib.model.tokenize(spelled)]).tobytes()
         return got
 
