@@ -158,50 +158,60 @@ def _distinct_texts(lines: DataFrame, repeated: DataFrame) -> DataFrame:
 def _pairs(texts: DataFrame, k: int, crowded: int) -> DataFrame:
     """Distinct candidate pairs (a, b) of line digests, a < b."""
     line, n = F.col("line"), F.col("n")
-    index = texts.select("h", "n", "line", F.explode(_keys(line, n, k, range(1), True)).alias("s"))
-    probe = texts.select("h", "n", "line", F.explode(_keys(line, n, k, range(k + 1), False)).alias("s"))
-    index_keys, probe_keys = index.select("h", "s.key"), probe.select("h", "s.key")
-    counts = index_keys.groupBy("key").count()
-    full = stage(counts.filter(F.col("count") > crowded).select("key"), "crowded-segments")
+    own = _keys(line, n, k, range(1), True)
+    probes = _keys(line, n, k, range(k + 1), False)
+    index = stage(texts.select("h", F.explode(own["key"]).alias("key")), "line-index")
+    probe = texts.select("h", F.explode(probes["key"]).alias("key"))
+    full = stage(index.groupBy("key").count().filter(F.col("count") > crowded).select("key"), "crowded-segments")
+    open_index = index.join(full, "key", "left_anti")
+    # A probe into a crowded bucket meets one row that stands for the bucket, and is noted with b null.
+    buckets = open_index.unionByName(full.select(F.lit(None).cast("long").alias("h"), "key")).alias("i")
+    p = probe.alias("p")
+    met = p.join(buckets, (F.col("p.key") == F.col("i.key")) & (F.col("i.h").isNull() | (F.col("p.h") != F.col("i.h")))).select(
+        F.when(F.col("i.h").isNull(), F.col("p.h")).otherwise(F.least("p.h", "i.h")).alias("a"),
+        F.when(F.col("i.h").isNotNull(), F.greatest("p.h", "i.h")).alias("b"))
+    met = stage(met.unionByName(_same(open_index, F.lit(True))).distinct(), "line-candidates")
+    found = met.filter("b is not null")
     if full.isEmpty():
-        return _meet(index_keys, probe_keys, F.lit(True)).distinct()
-    found = _meet(index_keys.join(full, "key", "left_anti"), probe_keys, F.lit(True))
-
-    def finer(rows: DataFrame, deltas: range, own: bool) -> DataFrame:
-        """Keys of the shared segment together with a segment of the rest of the line."""
-        held = rows.select("h", "n", "line", F.col("s.key").alias("key"), F.col("s.at").alias("at"),
-                           F.col("s.len").alias("len")).join(full, "key")
+        return found
+    # Lines that stand in a crowded bucket or probe one, cut again beside the shared segment.
+    inside = index.join(full, "key", "left_semi").select("h")
+    some = inside.unionByName(met.filter("b is null").select(F.col("a").alias("h"))).distinct()
+    lines = stage(_marked(texts, some).filter("wanted").select("h", "n", "line").join(some, "h", "left_semi"), "crowded-lines")
+
+    def finer(first: Column, deltas: range, second_own: bool) -> DataFrame:
+        """Keys of a shared segment together with a segment of the rest of the line."""
+        held = lines.select("h", "n", "line", F.explode(first).alias("s")).select(
+            "h", "n", "line", "s.key", "s.at", "s.len").join(full, "key")
         rest = F.concat(F.substring(line, F.lit(1), F.col("at")), F.substring(line, F.col("at") + F.col("len") + 1, n))
         held = held.select("h", "key", rest.alias("rest"), (n - F.col("len")).alias("left"),
                            *[_letter_counts(line, n, x).alias(f"c{i}") for i, x in enumerate(COUNTED)])
-        again = F.explode(_keys(F.col("rest"), F.col("left"), k, deltas, own)).alias("s")
+        again = F.explode(_keys(F.col("rest"), F.col("left"), k, deltas, second_own)).alias("s")
         return held.select("h", "c0", "c1", "key", again).select("h", "c0", "c1", F.xxhash64("key", "s.key").alias("key"))
 
     # A line's own segments meet as before; a shifted probe may leave a rest of equal length.
-    own = finer(index, range(1), True)
-    other = finer(index, range(k + 1), False).unionByName(
-        finer(probe, range(1), True)).unionByName(finer(probe, range(k + 1), False))
-    apart = F.lit(0)
+    base = finer(own, range(1), True)
+    other = finer(own, range(k + 1), False).unionByName(finer(probes, range(1), True)).unionByName(
+        finer(probes, range(k + 1), False))
+    close = F.lit(0)
     for i, letters in enumerate(COUNTED):
-        apart = apart + _count_distance(F.col(f"p.c{i}"), F.col(f"i.c{i}"), letters)
-    return found.unionByName(_meet(own, other, apart <= 2 * k)).distinct()
+        close = close + _count_distance(F.col(f"p.c{i}"), F.col(f"i.c{i}"), letters)
+    near = other.alias("p").join(base.alias("i"), (F.col("p.key") == F.col("i.key")) & (
+        F.col("p.h") != F.col("i.h")) & (close <= 2 * k)).select(
+        F.least("p.h", "i.h").alias("a"), F.greatest("p.h", "i.h").alias("b"))
+    return found.unionByName(near).unionByName(_same(base, close <= 2 * k)).distinct()
 
 
-def _meet(index: DataFrame, probe: DataFrame, close: Column) -> DataFrame:
-    """Pairs of different lines (a < b) that meet in a key of the index; ``close`` is a further
-    condition on the two rows, p and i."""
-    i, p = index.alias("i"), probe.alias("p")
-    same = index.alias("p").join(i, (F.col("i.key") == F.col("p.key")) & (F.col("p.h") < F.col("i.h")) & close).select(
-        F.col("p.h").alias("a"), F.col("i.h").alias("b"))
-    near = p.join(i, (F.col("p.key") == F.col("i.key")) & (F.col("p.h") != F.col("i.h")) & close).select(
-        F.least("p.h", "i.h").alias("a"), F.greatest("p.h", "i.h").alias("b"))
-    return same.unionByName(near)
+def _same(index: DataFrame, close: Column) -> DataFrame:
+    """Pairs of different lines (a < b) under one key; ``close`` is a further condition on rows p and i."""
+    return index.alias("p").join(index.alias("i"), (F.col("i.key") == F.col("p.key")) & (
+        F.col("p.h") < F.col("i.h")) & close).select(F.col("p.h").alias("a"), F.col("i.h").alias("b"))
 
 
 def line_links(lines: DataFrame, repeated: DataFrame, k: int, crowded: int) -> DataFrame:
     """(u, v) digests of different lines at most k edits apart, all of them."""
     texts = _distinct_texts(lines, repeated)
-    pairs = stage(_pairs(texts, k, crowded), "line-candidates")
+    pairs = stage(_pairs(texts, k, crowded), "line-pairs")
     ends = pairs.select(F.col("a").alias("h")).unionByName(pairs.select(F.col("b").alias("h"))).distinct()
     bodies = _marked(texts, ends).filter("wanted").select("h", "n", "line").join(ends, "h", "left_semi")
     bodies = stage(bodies.withColumn("id", F.unhex(F.md5("line"))).withColumns(
