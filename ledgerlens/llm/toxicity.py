@@ -1,7 +1,7 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
-Confirmed toxic texts (P) and unlabelled text (U) train a linear numpy classifier on words and
-word beginnings. Its risk is corrected by the class prior pi: pi * R_P(+) + max(0, R_U(-) - pi *
+Confirmed toxic texts (P) and unlabelled text (U) train a linear numpy classifier on words, word
+beginnings and how frequent these are. Its risk is corrected by the class prior pi: pi * R_P(+) + max(0, R_U(-) - pi *
 R_P(-)); where the second part turns negative, which is over-fitting, that part is stepped back.
 Nothing but the text enters a score. Fitting uses bounded, documented samples (``Settings``);
 feature counts over them are made by Spark tasks and summed by shuffle, the driver gets the chosen
@@ -17,6 +17,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +25,7 @@ from .tables import per_text, stage
 
 WORD = re.compile(r"\w+")
 PREFIXES = (4, 5, 6)
+LEVELS = (4, 5, 6, 7)
 LONGEST_WORD = 32
 CACHE_WORDS = 400_000
 
@@ -55,28 +57,54 @@ def word_features(word: str) -> list[str]:
     return out + [word[:k] + "*" for k in PREFIXES if len(word) > k]
 
 
+def words_in(text: str | None) -> Counter:
+    return Counter(WORD.findall((text or "").lower()))
+
+
+def reaches(times: int, level: int, words: int) -> bool:
+    """Whether a beginning that occurs ``times`` (at least twice) makes up 1 / 2 ** level of all words."""
+    return times > 1 and times << level >= words
+
+
 def text_features(text: str | None) -> set[str]:
-    return {f for w in set(WORD.findall((text or "").lower())) for f in word_features(w)}
+    """Words and beginnings in the text, and ``beginning@level`` for those that are frequent in it."""
+    words = words_in(text)
+    times: Counter = Counter()
+    for w, n in words.items():
+        for f in word_features(w):
+            times[f] += n
+    out, total = set(times), words.total()
+    for f, n in times.items():
+        if f[-1] == "*":
+            out.update(f"{f}@{level}" for level in LEVELS if reaches(n, level, total))
+    return out
 
 
 class Numbers:
     """Feature numbers of whole texts, remembering words already seen (a bounded memory)."""
 
     def __init__(self, index: dict[str, int]):
-        self.index, self.seen = index, {}
+        self.variants: dict[str, list[tuple[int | None, int]]] = {}
+        for name, number in index.items():
+            base, _, level = name.partition("@")
+            self.variants.setdefault(base, []).append((int(level) if level else None, number))
+        self.seen: dict[str, tuple[str, ...]] = {}
 
     def of(self, text: str | None) -> list[int]:
-        found: set[int] = set()
-        seen, index = self.seen, self.index
-        for w in set(WORD.findall((text or "").lower())):
+        words = words_in(text)
+        seen, variants = self.seen, self.variants
+        times: Counter = Counter()
+        for w, n in words.items():
             got = seen.get(w)
             if got is None:
                 if len(seen) >= CACHE_WORDS:
                     seen.clear()
-                got = seen[w] = tuple(index[f] for f in word_features(w) if f in index)
-            if got:
-                found.update(got)
-        return sorted(found)
+                got = seen[w] = tuple(f for f in word_features(w) if f in variants)
+            for f in got:
+                times[f] += n
+        total = words.total() if times else 0
+        return sorted(number for f, n in times.items() for level, number in variants[f]
+                      if level is None or reaches(n, level, total))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -84,13 +112,17 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(False))
 
 
-def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+_COUNTS = "feature string, side int, n long"
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         sums: dict[int, Counter] = {0: Counter(), 1: Counter()}
-        for side, text in zip(b["side"], b["text"]):
+        for side, text in zip(b.column("side").to_pylist(), b.column("text").to_pylist()):
             sums[side].update(text_features(text))
         for side, c in sums.items():
-            yield pd.DataFrame({"feature": list(c.keys()), "side": side, "n": list(c.values())})
+            yield pa.RecordBatch.from_arrays([pa.array(c.keys(), pa.string()), pa.array([side] * len(c), pa.int32()),
+                                              pa.array(c.values(), pa.int64())], names=["feature", "side", "n"])
 
 
 def _sample(docs: DataFrame, labels: DataFrame, s: Settings) -> tuple[DataFrame, float]:
@@ -111,7 +143,7 @@ def _sample(docs: DataFrame, labels: DataFrame, s: Settings) -> tuple[DataFrame,
 
 def _choose(sample: DataFrame, s: Settings) -> list[str]:
     """Features more frequent in P than in U, by the strength of that difference (G squared)."""
-    counts = sample.mapInPandas(_count, "feature string, side int, n long").groupBy("feature").agg(
+    counts = sample.mapInArrow(_count, _COUNTS).groupBy("feature").agg(
         F.sum(F.when(F.col("side") == 1, F.col("n")).otherwise(0)).alias("p"),
         F.sum(F.when(F.col("side") == 0, F.col("n")).otherwise(0)).alias("u"))
     sizes = {r[0]: r[1] for r in sample.groupBy("side").count().collect()}
@@ -186,13 +218,12 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) ->
         return Model()
     index = {f: i for i, f in enumerate(names)}
 
-    def numbers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():
         of = Numbers(index).of
-        for b in batches:
-            yield pd.DataFrame({"side": b["side"], "id": b["id"].astype(str), "cols": [of(t) for t in b["text"]]})
+        return lambda text: (of(text),)
 
-    rows = sorted((r[0], r[1], r[2]) for r in sample.mapInPandas(numbers, "side int, id string, cols array<int>").collect())
-    pos, unl = [list(r[2]) for r in rows if r[0] == 1], [list(r[2]) for r in rows if r[0] == 0]
+    found = [per_text(sample.filter(F.col("side") == side), "cols array<int>", make, "id") for side in (1, 0)]
+    pos, unl = ([list(r["cols"]) for r in sorted(rows.collect(), key=lambda r: (r["id"], r["cols"]))] for rows in found)
     w, b = train(pos, unl, len(names), prior, settings)
     margins = [_Rows(x).times(w) + b for x in (pos, unl)]
     cut = _cut(*margins, prior)
