@@ -262,29 +262,30 @@ def deduplicate_lines(docs: DataFrame, k: int = 2, min_chars: int = 40, crowded:
     gone = line_classes(docs.select("doc_id", "text"), k, min_chars, crowded).filter(
         (F.col("doc") != F.col("keep_doc")) | (F.col("pos") != F.col("keep_pos")))
     per_doc = gone.groupBy("doc", "version").agg(
-        F.collect_set("pos").alias("_gone"), F.array_sort(F.collect_set("keep_doc")).alias("_kept_in"))
-    text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.withColumn("_doc", F.col("doc_id")).withColumn("_version", F.xxhash64(text))
-    per_doc = per_doc.select(F.col("doc").alias("_doc"), F.col("version").alias("_version"), "_gone", "_kept_in")
-    rows = rows.join(per_doc, ["_doc", "_version"], "left")
-    parts = F.split(F.col("text"), "\n")
-    # Positions as map keys: one lookup per line, also in texts of very many lines.
-    lost = F.map_from_arrays("_gone", "_gone")
-    stays = F.filter(parts, lambda x, i: ~F.map_contains_key(lost, i))
-    size = F.coalesce(F.size(parts), F.lit(0))
-    compared = F.coalesce(F.size(F.filter(parts, lambda x: F.char_length(x) >= min_chars)), F.lit(0))
-    new = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(stays, "\n"))
-    removed = F.coalesce(F.size("_gone"), F.lit(0))
-    chars = F.coalesce(F.char_length("text") - F.char_length(new), F.lit(0))
+        F.collect_set("pos").alias("gone"), F.array_sort(F.collect_set("keep_doc")).alias("kept_in"))
+    # The row as one value: its columns can have any name.
+    row, text = F.col("row"), F.col("row.text")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("doc"),
+                       F.xxhash64(F.coalesce("text", F.lit(""))).alias("version"))
+    rows = rows.join(per_doc, ["doc", "version"], "left").withColumn("parts", F.split(text, "\n"))
+    # Both as columns of their own: inside a lambda an expression would be evaluated for every line.
+    stay = F.array_except(F.sequence(F.lit(0), F.size("parts") - 1), "gone")
+    rows = rows.withColumn("stay", stay)
+    new = F.when(F.col("gone").isNull(), text).otherwise(
+        F.array_join(F.transform("stay", lambda i: F.get("parts", i)), "\n"))
+    compared = F.size(F.filter("parts", lambda x: F.char_length(x) >= min_chars))
+    none = F.array().cast(f"array<{docs.schema['doc_id'].dataType.simpleString()}>")
+
+    def number(of: Column) -> Column:
+        return F.when(text.isNull(), 0).otherwise(F.coalesce(of, F.lit(0))).cast("long")
+
     report = F.struct(
-        F.when(F.col("text").isNull(), 0).otherwise(size).cast("long").alias("lines"),
-        F.when(F.col("text").isNull(), 0).otherwise(compared).cast("long").alias("compared"),
-        removed.cast("long").alias("removed"), chars.cast("long").alias("removed_chars"),
-        F.coalesce(F.col("_kept_in"), F.array().cast(f"array<{docs.schema['doc_id'].dataType.simpleString()}>")).alias("kept_in"))
-    keep = [F.col(f"`{c}`") for c in docs.columns if c not in ("text", "line_report")]
-    order = [c for c in docs.columns if c != "line_report"]
-    return rows.select(*keep, new.alias("text"), report.alias("line_report")).select(
-        *[F.col(f"`{c}`") for c in order], "line_report")
+        number(F.size("parts")).alias("lines"), number(compared).alias("compared"),
+        number(F.when(F.col("gone").isNotNull(), F.size("gone"))).alias("removed"),
+        number(F.char_length(text) - F.char_length(new)).alias("removed_chars"),
+        F.coalesce("kept_in", none).alias("kept_in"))
+    same = [new.alias("text") if c == "text" else row.getField(c).alias(c) for c in docs.columns if c != "line_report"]
+    return rows.select(*same, report.alias("line_report"))
 
 
 def drop_repeating(docs: DataFrame, share: float = 0.8, **settings) -> DataFrame:
@@ -292,7 +293,8 @@ def drop_repeating(docs: DataFrame, share: float = 0.8, **settings) -> DataFrame
 
     A document that lost every compared line, and with them at least ``share`` of its characters,
     repeats others throughout and goes; all other documents stay."""
-    out = deduplicate_lines(docs, **settings).withColumn("_before", F.char_length("text") + F.col("line_report.removed_chars"))
+    out = deduplicate_lines(docs, **settings)
     r = F.col("line_report")
-    repeats = (r["removed"] > 0) & (r["removed"] == r["compared"]) & (r["removed_chars"] >= share * F.col("_before"))
+    before = F.char_length("text") + r["removed_chars"]
+    repeats = (r["removed"] > 0) & (r["removed"] == r["compared"]) & (r["removed_chars"] >= share * before)
     return out.filter(~F.coalesce(repeats, F.lit(False))).select(*[F.col(f"`{c}`") for c in docs.columns])
