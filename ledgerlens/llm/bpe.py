@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 
 from .tables import per_text
 
-CACHE_WORDS = 400_000
+CACHE_WORDS = 300_000
 #: The byte-level split pattern (a fixed value); white space is Unicode's.
 WORDS = regex.compile(
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+"

@@ -27,7 +27,7 @@ from .tables import salt_of, stage
 
 SIZE = 2048
 END_ID = 1
-CACHE_CHUNKS = 500_000
+CACHE_CHUNKS = 300_000
 BEYOND_LATIN = regex.compile("[^\\x00-\u024f]|\u0130")
 #: White space of str.split that the tokenizer's pattern takes for punctuation.
 ODD_SPACE = ("\x1c", "\x1d", "\x1e", "\x1f")

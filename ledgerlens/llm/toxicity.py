@@ -27,7 +27,7 @@ WORD = re.compile(r"\w+")
 PREFIXES = (4, 5, 6)
 LEVELS = (4, 5, 6, 7)
 LONGEST_WORD = 32
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 
 
 @dataclass(frozen=True)
