@@ -1,7 +1,8 @@
 """Line deduplication by a segment-partition edit join (DataFrame functions only).
 
-Lines of at least ``min_chars`` code points are compared; two are linked if at most ``k`` edits
-(insert, delete, substitute a code point) turn one into the other, and linked lines form classes.
+Two lines of at least ``min_chars`` code points are linked if at most ``k`` edits (insert, delete,
+substitute a code point) turn one into the other, and linked lines form classes. Shorter lines, from
+``equal_chars`` code points on, form a class only with their equals.
 The first occurrence of a class, by document id and position, stays; the others are removed.
 
 * Equal lines are one node (their 128-bit digest); copies are counted, never paired.
@@ -31,14 +32,14 @@ BITMAP_BITS = 1 << 26  # 8 MB as a broadcast table, whatever the size of the dat
 COUNTED = ("abcdefghijklm", "nopqrstuvwxyz")  # letters counted in crowded buckets, modulo 16
 
 
-def lines_of(docs: DataFrame, min_chars: int) -> DataFrame:
-    """(doc, version, pos, line, n, h, id) per compared line; version tells different texts of one
+def lines_of(docs: DataFrame, least: int) -> DataFrame:
+    """(doc, version, pos, line, n, h, id) per line of at least ``least`` code points; version tells different texts of one
     repeated document id apart."""
     text = F.coalesce(F.col("text"), F.lit(""))
     out = docs.filter(F.col("doc_id").isNotNull()).select(
         F.col("doc_id").alias("doc"), F.xxhash64(text).alias("version"),
         F.posexplode(F.split(text, "\n")).alias("pos", "line"))
-    out = out.withColumn("n", F.char_length("line")).filter(F.col("n") >= min_chars)
+    out = out.withColumn("n", F.char_length("line")).filter(F.col("n") >= least)
     return out.withColumn("h", F.xxhash64("line")).withColumn("id", F.unhex(F.md5("line")))
 
 
@@ -229,16 +230,25 @@ def line_links(lines: DataFrame, repeated: DataFrame, k: int, crowded: int) -> D
     return ends.filter(within_edits(F.col("x"), F.col("y"), k)).select("u", "v")
 
 
-def line_classes(docs: DataFrame, k: int = 2, min_chars: int = 40, crowded: int = 16) -> DataFrame:
+def _least(min_chars: int, equal_chars: int | None) -> int:
+    """Code points from which lines are compared at all: never fewer than 1, never more than min_chars."""
+    return min_chars if equal_chars is None else max(1, min(equal_chars, min_chars))
+
+
+def line_classes(docs: DataFrame, k: int = 2, min_chars: int = 40, crowded: int = 16,
+                 equal_chars: int | None = None) -> DataFrame:
     """(doc, version, pos, n, keep_doc, keep_pos) per line occurrence whose class occurs more than
     once; the occurrence with doc = keep_doc and pos = keep_pos is the one that stays."""
     if k < 1 or min_chars <= 2 * (k + 1):
         raise ValueError("k must be at least 1 and min_chars over 2 * (k + 1)")
-    lines = lines_of(docs, min_chars)
+    least = _least(min_chars, equal_chars)
+    lines = lines_of(docs, least)
     places = stage(lines.select("doc", "version", "pos", "n", "h", "id"), "lines")
     nodes = stage(places.groupBy("id").agg(
-        F.first("h").alias("h"), F.min(F.struct("doc", "pos")).alias("least"), F.count(F.lit(1)).alias("times")), "distinct-lines")
-    links = line_links(lines, nodes.filter("times > 1").select("h"), k, crowded)
+        F.first("h").alias("h"), F.first("n").alias("n"), F.min(F.struct("doc", "pos")).alias("least"),
+        F.count(F.lit(1)).alias("times")), "distinct-lines")
+    long = F.col("n") >= min_chars
+    links = line_links(lines.filter(long), nodes.filter(long & (F.col("times") > 1)).select("h"), k, crowded)
     roots = components(links)
     rooted = nodes.join(roots, nodes["id"] == roots["node"], "left").select(
         "id", "least", "times", F.coalesce("root", "id").alias("root"))
@@ -249,17 +259,19 @@ def line_classes(docs: DataFrame, k: int = 2, min_chars: int = 40, crowded: int
         F.col("keep_doc").isNotNull()).select("doc", "version", "pos", "n", "keep_doc", "keep_pos")
 
 
-def deduplicate_lines(docs: DataFrame, k: int = 2, min_chars: int = 40, crowded: int = 16) -> DataFrame:
+def deduplicate_lines(docs: DataFrame, k: int = 2, min_chars: int = 40, crowded: int = 16,
+                      equal_chars: int | None = None) -> DataFrame:
     """The input rows with the text less its removed lines, all other columns unchanged, and with
     ``line_report``: struct(lines, compared, removed, removed_chars, kept_in).
 
-    ``lines`` counts all lines, ``compared`` those of at least min_chars, ``removed`` those taken
+    Lines of at least min_chars meet up to k edits, shorter ones of at least equal_chars (by default
+    none) only if equal. ``lines`` counts all lines, ``compared`` those of either kind, ``removed`` those taken
     out; ``kept_in`` lists the ids of the documents that hold the occurrences kept for them, in
     order. Null texts stay null and have no lines; an empty text is one empty line. Rows with a
     null doc_id stay as they are. Rows repeated with one id and text are one document and
     come out alike. Of ties the smallest document id, then the first position stays. An empty
     table gives an empty result. A column named line_report is replaced."""
-    gone = line_classes(docs.select("doc_id", "text"), k, min_chars, crowded).filter(
+    gone = line_classes(docs.select("doc_id", "text"), k, min_chars, crowded, equal_chars).filter(
         (F.col("doc") != F.col("keep_doc")) | (F.col("pos") != F.col("keep_pos")))
     per_doc = gone.groupBy("doc", "version").agg(
         F.collect_set("pos").alias("gone"), F.array_sort(F.collect_set("keep_doc")).alias("kept_in"))
@@ -273,7 +285,8 @@ def deduplicate_lines(docs: DataFrame, k: int = 2, min_chars: int = 40, crowded:
     rows = rows.withColumn("stay", stay)
     new = F.when(F.col("gone").isNull(), text).otherwise(
         F.array_join(F.transform("stay", lambda i: F.get("parts", i)), "\n"))
-    compared = F.size(F.filter("parts", lambda x: F.char_length(x) >= min_chars))
+    least = _least(min_chars, equal_chars)
+    compared = F.size(F.filter("parts", lambda x: F.char_length(x) >= least))
     none = F.array().cast(f"array<{docs.schema['doc_id'].dataType.simpleString()}>")
 
     def number(of: Column) -> Column:

@@ -94,5 +94,5 @@ def fingerprints_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("op10_line_dedup")
 def line_dedup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = line_dedup.deduplicate_lines(table(spark, sf_dir, "documents"), k=2, min_chars=40)
+    out = line_dedup.deduplicate_lines(table(spark, sf_dir, "documents"), k=2, min_chars=20, equal_chars=1)
     return out.select("doc_id", "line_report.*", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))

@@ -187,6 +187,22 @@ def test_line_dedup_awkward(spark):
     assert sorted(r.doc_id for r in kept.filter("doc_id is not null").collect()) == [1, 1, 3, 4, 5, 7]
 
 
+def test_short_lines_meet_their_equals(spark):
+    long = "a line of more than twenty characters"
+    rows = [(1, f"MIT License.\n\n{long}\nown"), (2, f"MIT License.\n\n{long[:-1]}\nMIT License"), (3, "own\nMIT License.")]
+    out = line_dedup.deduplicate_lines(docs(spark, rows), k=2, min_chars=20, equal_chars=1)
+    got = {r.doc_id: (r.text, r.line_report.compared, r.line_report.removed) for r in out.collect()}
+    assert got == {1: (rows[0][1], 3, 0), 2: ("\nMIT License", 3, 2), 3: ("", 2, 2)}
+
+
+def test_production_compares_all_lines(spark, tmp_path):
+    from ledgerlens.llm.queries import REGISTRY
+    rows = [(1, "MIT License.\n\nown words"), (2, "MIT License.\nother words")]
+    docs(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    out = REGISTRY["op10_line_dedup"][0](spark, str(tmp_path)).collect()
+    assert {r.doc_id: (r.compared, r.removed) for r in out} == {1: (2, 0), 2: (2, 1)}
+
+
 def test_operators_stay_native(spark):
     frame = docs(spark, AWKWARD)
     for out in (exact_dedup.exact_groups(frame), line_dedup.deduplicate_lines(frame)):
