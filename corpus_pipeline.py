@@ -21,7 +21,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts less non-empty lines that occur earlier (from 20 characters on up to 2 edits); documents
-    that repeat others throughout go."""
+    of which nothing is left go."""
     return line_dedup.drop_repeating(docs, k=2, min_chars=20, equal_chars=1)
 
 

@@ -301,13 +301,11 @@ def deduplicate_lines(docs: DataFrame, k: int = 2, min_chars: int = 40, crowded:
     return rows.select(*same, report.alias("line_report"))
 
 
-def drop_repeating(docs: DataFrame, share: float = 0.8, **settings) -> DataFrame:
+def drop_repeating(docs: DataFrame, **settings) -> DataFrame:
     """Documents with their removed lines taken out, in the columns of ``docs``.
 
-    A document that lost every compared line, and with them at least ``share`` of its characters,
-    repeats others throughout and goes; all other documents stay."""
+    A document goes only if lines were removed from it and nothing but white space is left; all
+    other documents stay with the lines they have left."""
     out = deduplicate_lines(docs, **settings)
-    r = F.col("line_report")
-    before = F.char_length("text") + r["removed_chars"]
-    repeats = (r["removed"] > 0) & (r["removed"] == r["compared"]) & (r["removed_chars"] >= share * before)
-    return out.filter(~F.coalesce(repeats, F.lit(False))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    emptied = (F.col("line_report.removed") > 0) & ~F.col("text").rlike(r"\S")
+    return out.filter(~F.coalesce(emptied, F.lit(False))).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -203,6 +203,13 @@ def test_production_compares_all_lines(spark, tmp_path):
     assert {r.doc_id: (r.compared, r.removed) for r in out} == {1: (2, 0), 2: (2, 1)}
 
 
+def test_documents_with_text_left_stay(spark):
+    long = "a line that is long enough to be compared with others " * 4
+    rows = [(1, long), (2, f"{long}\nnowhere else"), (3, f"{long}\n \n")]
+    kept = line_dedup.drop_repeating(docs(spark, rows).drop("line_report"))
+    assert sorted((r.doc_id, r.text) for r in kept.collect()) == [(1, long), (2, "nowhere else")]
+
+
 def test_operators_stay_native(spark):
     frame = docs(spark, AWKWARD)
     for out in (exact_dedup.exact_groups(frame), line_dedup.deduplicate_lines(frame)):
