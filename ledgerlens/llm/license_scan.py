@@ -53,7 +53,8 @@ class Notice:
     words: bytes
     edits: int
     seeds: tuple[tuple[int, bytes], ...]  # (offset in the notice, exact piece)
-    pattern: regex.Pattern
+    first: regex.Pattern  # any variant, from the left
+    best: regex.Pattern  # the variant with the fewest edits
 
     @staticmethod
     def of(label: str, words: str) -> Notice:
@@ -61,8 +62,8 @@ class Notice:
         edits = max(1, len(raw) // 10)
         cuts = [len(raw) * i // (edits + 1) for i in range(edits + 2)]
         seeds = tuple((a, raw[a:b]) for a, b in zip(cuts, cuts[1:]))
-        fuzzy = regex.compile(rb"(?b)(?<![^ ])(?:%s){e<=%d}(?![^ ])" % (regex.escape(raw, literal_spaces=True), edits))
-        return Notice(label, raw, edits, seeds, fuzzy)
+        fuzzy = rb"(?<![^ ])(?:%s){e<=%d}(?![^ ])" % (regex.escape(raw, literal_spaces=True), edits)
+        return Notice(label, raw, edits, seeds, regex.compile(fuzzy), regex.compile(rb"(?b)" + fuzzy))
 
 
 def normalised(text: str | None) -> bytes:
@@ -100,17 +101,48 @@ def _windows(words: bytes, notice: Notice) -> list[tuple[int, int]]:
     return out
 
 
+def _word_end(words: bytes, at: int) -> int:
+    """The end of the word at a place."""
+    end = words.find(b" ", at) if at < len(words) else -1
+    return end if end >= 0 else len(words)
+
+
+def _variants(words: bytes, notice: Notice, a: int, b: int) -> list[tuple[int, int, int]]:
+    """(start, end, edits) of the variants in a stretch of whole words, without overlaps; of variants
+    that overlap, the one with the fewest edits, then the first.
+
+    The best search returns the best of all it is given, so it is given what can overlap the leftmost
+    variant, and again what can overlap the one it found, until none there has fewer edits; the
+    stretch before that one is searched again."""
+    out = []
+    reach = len(notice.words) + notice.edits
+    while a < b:
+        left = notice.first.search(words, a, b)
+        if left is None:
+            break
+        start, stop, place = left.start(), left.end(), None
+        while True:
+            m = notice.best.search(words, start, min(b, _word_end(words, stop + reach)))
+            if m is None or m.span() == place:
+                break
+            place, stop = m.span(), m.end()
+            found = (*place, sum(m.fuzzy_counts))
+        if place is None:  # the leftmost variant itself lies in the stretch
+            found = (*left.span(), sum(left.fuzzy_counts))
+        out += _variants(words, notice, start, found[0]) + [found]
+        a = _word_end(words, found[1]) + 1
+    return out
+
+
 def notice_spans(words: bytes, notice: Notice) -> list[tuple[int, int, int]]:
     """(start byte, end byte, edits) of the notice's variants, in order and without overlaps."""
     out, end = [], 0
     for a, b in _windows(words, notice):
         # Whole words at both ends, so that the pattern sees the true neighbours.
-        a = words.rfind(b" ", 0, max(a, end)) + 1 if a else 0
-        b = words.find(b" ", b) if b < len(words) and words.find(b" ", b) >= 0 else len(words)
-        for m in notice.pattern.finditer(words, max(a, end), b):
-            if m.end() > m.start():
-                out.append((m.start(), m.end(), sum(m.fuzzy_counts)))
-                end = m.end()
+        a = max(words.rfind(b" ", 0, max(a, end)) + 1 if a else 0, end)
+        found = _variants(words, notice, a, _word_end(words, b))
+        out += found
+        end = found[-1][1] + 1 if found else end
     return out
 
 

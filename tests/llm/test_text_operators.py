@@ -132,6 +132,19 @@ def test_license_fuzzy_spans(spark):
         assert license_scan.notice_spans(("x " + "".join(s) + " y").encode(), notice)
 
 
+@pytest.mark.parametrize("edited", ["gnu genral public license", "gnu generl publc license", "gnu general public license"])
+def test_license_notices_close_together(edited):
+    """Every notice of a window is found, wherever the one with the fewest edits stands."""
+    notice = license_scan.Notice.of("gpl", "gnu general public license")
+    exact = "gnu general public license"
+    for parts in ([edited, exact], [exact, edited], [edited, "gnu generl publc license", exact, edited], [edited] * 400):
+        words, spans, at = " or ".join(parts).encode(), [], 0
+        for p in parts:
+            spans.append((at, at + len(p)))
+            at += len(p) + 4
+        assert [x[:2] for x in license_scan.notice_spans(words, notice)] == spans
+
+
 def test_license_overlapping_places():
     assert license_scan.phrase_places(b"cc by cc by by cc by", b"cc by") == [0, 2, 5]
     assert license_scan.phrase_places(b"a a a", b"a a") == [0, 1]
