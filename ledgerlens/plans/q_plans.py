@@ -39,8 +39,7 @@ def i19_business_report(spark, d):
 @register("d24_run_engine")
 def d24_run_engine(spark, d):
     from .q_profile import lake
-    tabs = {k: v for k, v in lake(spark, d).items() if k in ("region", "nation", "customer", "orders")}
-    res = RP.run_engine(tabs)
+    res = RP.run_engine(lake(spark, d))
     rows = [(n, t["quality"].first()["score"], len(t["roles"])) for n, t in res["tables"].items()]
     out = spark.createDataFrame(rows, "table string, score int, columns int")
     return out.withColumn("overall", F.lit(float(res["overall_score"]))) \

@@ -125,6 +125,19 @@ def test_context_bundle_is_one_scan(spark):
     assert plan.count("FileScan parquet") == 1 and "Expand" in plan
 
 
+def test_engine_query_takes_every_table(spark, monkeypatch):
+    from ledgerlens.plans import q_plans, q_profile
+    taken = {}
+
+    def engine(tables):
+        taken.update(tables)
+        return dict(tables={}, overall_score=0, best_domain="x", ready=False)
+
+    monkeypatch.setattr(q_plans.RP, "run_engine", engine)
+    q_plans.d24_run_engine(spark, SF_SMALL)
+    assert sorted(taken) == sorted(q_profile.LAKE)
+
+
 def test_filters_reach_the_scan(spark):
     s = sales(spark, SF_SMALL)
     plan = _plan(B.filter_sales(s, city="NATION_3", category="SMALL").select("revenue"))
