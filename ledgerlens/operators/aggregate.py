@@ -357,7 +357,7 @@ def context_bundle(df: DataFrame, cols: SalesCols = SALES) -> DataFrame:
     """Every shared group-by of the dashboard assistant in ONE grouping-sets job.
 
     Long form: (grouping, key, revenue, orders, profit, lines, avg_row_margin_pct,
-    avg_discount, avg_revenue, avg_orders, distinct products/cities/categories on the total row).
+    avg_discount, avg_revenue, avg_orders). ``context_totals`` derives the distinct counts and lifts.
     """
     k = cols
     keys = {"category": k.category, "city": k.city, "product": k.product, "promo": k.promo,
@@ -365,8 +365,7 @@ def context_bundle(df: DataFrame, cols: SalesCols = SALES) -> DataFrame:
     base = df.select(*[F.col(v).cast("string").alias(f"_{n}") for n, v in keys.items()],
                      F.col(k.revenue).alias("_rev"), F.col(k.orders).alias("_ord"),
                      F.col(k.profit).alias("_pro"), F.col(k.margin).alias("_mar"),
-                     F.col(k.discount).alias("_dis"), F.col(k.product).alias("_p"),
-                     F.col(k.city).alias("_c"), F.col(k.category).alias("_k"))
+                     F.col(k.discount).alias("_dis"))
     names = list(keys)
     g = base.groupingSets([[]] + [[f"_{n}"] for n in names], *[f"_{n}" for n in names]).agg(
         F.grouping_id().alias("_gid"), dsum("_rev").alias("revenue"),
@@ -387,6 +386,24 @@ def context_bundle(df: DataFrame, cols: SalesCols = SALES) -> DataFrame:
     return out.filter((F.col("grouping") == "total") | F.col("key").isNotNull())
 
 
+def context_totals(bundle: DataFrame) -> DataFrame:
+    """(n_products, n_cities, n_categories, rev_lift_pct, ord_lift_pct), one row from the context
+    bundle: its rows per key are the distinct values, its promo rows hold the means that the lifts compare."""
+    def rows(name):
+        return F.count(F.when(F.col("grouping") == name, 1))
+
+    def mean(value, key):
+        return F.max(F.when((F.col("grouping") == "promo") & (F.col("key") == key), F.col(value)))
+
+    one = bundle.agg(rows("product").alias("n_products"), rows("city").alias("n_cities"),
+                     rows("category").alias("n_categories"), mean("avg_revenue", "Yes").alias("rev_y"),
+                     mean("avg_revenue", "No").alias("rev_n"), mean("avg_orders", "Yes").alias("ord_y"),
+                     mean("avg_orders", "No").alias("ord_n"))
+    lift = lambda a, b: F.when(F.col(b) > 0, (F.col(a) - F.col(b)) / F.col(b) * 100.0).otherwise(0.0)
+    return one.select("n_products", "n_cities", "n_categories", lift("rev_y", "rev_n").alias("rev_lift_pct"),
+                      lift("ord_y", "ord_n").alias("ord_lift_pct"))
+
+
 # ---------------------------------------------------------------- E20 - E25
 
 # Cost shares of mean revenue per order used by the unit-economics view.

@@ -283,6 +283,22 @@ def e19_context_bundle(spark, d):
     return rnd(A.context_bundle(sales(spark, d)), "avg_row_margin_pct")
 
 
+@register("e19_context_totals", """
+WITH m AS (SELECT count(DISTINCT product) AS n_products, count(DISTINCT city) AS n_cities, count(DISTINCT category) AS n_categories,
+  CAST(sum(revenue) FILTER (WHERE promo = 'Yes') AS DOUBLE) / count(revenue) FILTER (WHERE promo = 'Yes') AS rev_y,
+  CAST(sum(revenue) FILTER (WHERE promo = 'No') AS DOUBLE) / count(revenue) FILTER (WHERE promo = 'No') AS rev_n,
+  CAST(sum(orders) FILTER (WHERE promo = 'Yes') AS DOUBLE) / count(orders) FILTER (WHERE promo = 'Yes') AS ord_y,
+  CAST(sum(orders) FILTER (WHERE promo = 'No') AS DOUBLE) / count(orders) FILTER (WHERE promo = 'No') AS ord_n
+FROM sales)
+SELECT n_products, n_cities, n_categories,
+       round(CASE WHEN rev_n > 0 THEN (rev_y - rev_n) / rev_n * 100 ELSE 0 END, 6) AS rev_lift_pct,
+       round(CASE WHEN ord_n > 0 THEN (ord_y - ord_n) / ord_n * 100 ELSE 0 END, 6) AS ord_lift_pct
+FROM m
+""")
+def e19_context_totals(spark, d):
+    return rnd(A.context_totals(A.context_bundle(sales(spark, d))))
+
+
 @register("e20_unit_economics", """
 WITH t AS (SELECT CAST(sum(revenue) AS DOUBLE) / count(revenue) AS avg_revenue, CAST(sum(revenue) AS DOUBLE) AS total_revenue,
                   CAST(sum(orders) AS BIGINT) AS total_orders FROM sales)

@@ -125,6 +125,13 @@ def test_context_bundle_is_one_scan(spark):
     assert plan.count("FileScan parquet") == 1 and "Expand" in plan
 
 
+def test_context_totals_hold_distinct_counts_and_lifts(spark, duck):
+    from ledgerlens.plans.catalog import REGISTRY
+    build, sql = REGISTRY["e19_context_totals"]
+    got, want = tuple(build(spark, SF_SMALL).first()), duck.execute(sql).fetchone()
+    assert got == pytest.approx(want, abs=1e-6) and min(got[:3]) > 1
+
+
 def test_engine_query_takes_every_table(spark, monkeypatch):
     from ledgerlens.plans import q_plans, q_profile
     taken = {}
