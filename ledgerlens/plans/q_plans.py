@@ -6,6 +6,7 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.expr import change_label, fmt_inr, fmt_pct
 from ..operators.aggregate import revenue_by
@@ -17,7 +18,15 @@ from .sales_view import sales
 
 
 def _sections(spark, tables):
-    parts = [df.agg(F.count(F.lit(1)).alias("rows")).withColumn("section", F.lit(name)) for name, df in tables.items()]
+    """(section, key, metric, value): every number of every section; the key is the row's other columns."""
+    parts = []
+    for name, df in tables.items():
+        numeric = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.NumericType, T.BooleanType))]
+        others = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in df.columns if c not in numeric]
+        values = [F.struct(F.lit(c).alias("metric"), F.col(f"`{c}`").cast("double").alias("value")) for c in numeric]
+        values = values or [F.struct(F.lit(None).cast("string").alias("metric"), F.lit(None).cast("double").alias("value"))]
+        long = df.select(F.concat_ws(" | ", *others).alias("key"), F.explode(F.array(*values)).alias("v"))
+        parts.append(long.select(F.lit(name).alias("section"), "key", "v.metric", "v.value"))
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
@@ -43,7 +52,10 @@ def d24_run_engine(spark, d):
     rows = [(n, t["quality"].first()["score"], len(t["roles"])) for n, t in res["tables"].items()]
     out = spark.createDataFrame(rows, "table string, score int, columns int")
     return out.withColumn("overall", F.lit(float(res["overall_score"]))) \
-        .withColumn("best_domain", F.lit(res["best_domain"])).withColumn("ready", F.lit(bool(res["ready"])))
+        .withColumn("best_domain", F.lit(res["best_domain"])).withColumn("ready", F.lit(bool(res["ready"]))) \
+        .withColumn("total_rows", F.lit(res["rows"]).cast("long")) \
+        .withColumn("domain_confidence", F.lit(res["domain_confidence"])) \
+        .withColumn("recommended_sections", F.lit("; ".join(res["recommended_sections"])))
 
 
 @register("a08_load_sales_roundtrip", """

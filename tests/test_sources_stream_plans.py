@@ -138,13 +138,39 @@ def test_engine_query_takes_every_table(spark, monkeypatch):
 
     def engine(tables):
         taken.update(tables)
-        return dict(tables={}, overall_score=0, best_domain="x", ready=False)
+        return dict(tables={}, overall_score=0, best_domain="x", ready=False, rows=0, domain_confidence=0.0,
+                    recommended_sections=[])
 
     monkeypatch.setattr(q_plans.RP, "run_engine", engine)
     q_plans.d24_run_engine(spark, SF_SMALL)
     assert sorted(taken) == sorted(q_profile.LAKE)
 
 
+def test_validation_lists_its_issues(spark):
+    from ledgerlens.plans import report
+    quality = spark.createDataFrame([(3,)], "total_records long")
+    kpis = spark.createDataFrame([("revenue", float("nan"), 1.0), ("orders", 2.0, None)], "metric string, current double, previous double")
+    ranks = spark.createDataFrame([("regions", "a")], "ranking string, key string")
+    trend = spark.createDataFrame([(1, 2.0)], "month int, value double")
+    out = report.validate_metrics(dict(kpis=kpis, rankings=ranks, trend=trend, quality=quality), ("regions", "top_products"))
+    assert sorted(out) == ["issues", "kpis", "quality", "rankings"]
+    assert [r.level for r in out["issues"].collect()] == ["warning", "info", "info"]
+    assert {r.metric: r.current for r in out["kpis"].collect()} == {"revenue": 0.0, "orders": 2.0}
+    empty = spark.createDataFrame([], "Revenue double, City string")
+    assert [tuple(r) for r in report.business_report(empty)["issues"].collect()] == [("error", "Dataset has zero rows.")]
+
+
+def test_engine_result_and_long_form_sections(spark):
+    from ledgerlens.plans import q_plans, report
+    table = spark.createDataFrame([(float(i), "x", i % 3) for i in range(12)], "revenue double, delivery_zone string, stock int")
+    res = report.run_engine({"sales": table})
+    assert res["rows"] == 12 and 0 <= res["domain_confidence"] <= 1
+    assert res["recommended_sections"][:2] == ["Executive Overview", "Data Explorer"]
+    assert {"Delivery Analytics", "Inventory Intelligence", "Finance"} <= set(res["recommended_sections"])
+    long = q_plans._sections(spark, {"a": table.limit(1), "b": table.limit(1).select("delivery_zone")}).collect()
+    assert {tuple(r) for r in long} == {("a", "x", "revenue", 0.0), ("a", "x", "stock", 0.0), ("b", "x", None, None)}
+
+
 def test_filters_reach_the_scan(spark):
     s = sales(spark, SF_SMALL)
     plan = _plan(B.filter_sales(s, city="NATION_3", category="SMALL").select("revenue"))
