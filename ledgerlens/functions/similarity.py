@@ -13,6 +13,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .expr import c
+
 
 @F.pandas_udf(T.DoubleType())
 def _ratio_udf(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -25,6 +27,6 @@ def _ratio_udf(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(out, dtype="float64")
 
 
-def sequence_ratio(a: Column, b: Column) -> Column:
+def sequence_ratio(a: Column | str, b: Column | str) -> Column:
     """``SequenceMatcher(None, a, b).ratio()`` (not symmetric in general: a is sequence 1)."""
-    return _ratio_udf(a.cast("string"), b.cast("string"))
+    return _ratio_udf(c(a).cast("string"), c(b).cast("string"))

@@ -8,20 +8,24 @@ order, which Spark tables do not have), each value not yet seen forms the group
 
 Spark plan, exact and without all-pairs:
 1. distinct (column, value) pairs;
-2. characters as multiset tokens ("c#k" = k-th occurrence of c); ratio <= 2 |A n B| / (|A| + |B|),
-   so a qualifying pair shares at least ceil(t |A| / (2 - t)) tokens and, under one global token
-   order (rarest first), their prefixes of length |A| - that + 1 must intersect (prefix
-   filtering, as in set-similarity joins). Candidates come from an equi-join on prefix tokens
-   plus the length bound 2 min / sum >= t;
-3. the true ratio (Arrow UDF) only on those candidates; top n-1 per value by a partitioned
-   ``row_number`` (group limit applied before the shuffle);
-4. the greedy walk is resolved in rounds of joins (``greedy_leaders``): a value leads a group
+2. a ratio of t means that M >= t (|A| + |B|) / 2 characters match in order, and so that at least
+   (2q - 1) M - (q - 1)(|A| + |B| + 1) q-grams are common (an unmatched character spoils q grams of its own value and
+   q - 1 of the other). Grams are numbered per value ("gram#k" = k-th occurrence) and ordered rarest first;
+3. a pair with c common grams has its first l common ones within the first n - c + l grams of either value, for every
+   l <= c. Keys start at l = 1. A key that more than ``crowded`` values have is split: its values get keys of one more
+   gram each, up to four, so that long buckets break up until they are short (``candidate_pairs``);
+4. the pairs that remain are counted against c, and only those that have c common grams get the true ratio (Arrow
+   UDF); top n-1 per value by a partitioned ``row_number`` (group limit applied before the shuffle);
+5. the greedy walk is resolved in rounds of joins (``greedy_leaders``): a value leads a group
    unless a smaller leading value lists it among its matches.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import qcol
@@ -29,13 +33,104 @@ from ..functions.similarity import sequence_ratio
 from ..session import checkpointed, ensure_checkpoint_dir
 
 
-def _tokens(vals: DataFrame) -> DataFrame:
-    chars = vals.select("k", "v", F.posexplode(
-        F.transform(F.sequence(F.lit(1), F.greatest(F.length("v"), F.lit(1))), lambda i: F.substring("v", i, 1)))
-        .alias("pos", "ch")).filter(F.length("ch") > 0)
-    w = Window.partitionBy("k", "v", "ch").orderBy("pos")
-    return chars.withColumn("tok", F.concat("ch", F.lit("#"), F.row_number().over(w).cast("string"))) \
-        .select("k", "v", "tok")
+CROWDED = 8
+LEVELS = 4
+
+
+def least_matches(total: int, cutoff: float) -> int:
+    """Characters that match in a pair of ``total`` characters whose ratio is at least the cutoff; the margin keeps
+    rounding from asking for one too many."""
+    return math.ceil(total * cutoff / 2 - 1e-9)
+
+
+def common_grams(total: int, cutoff: float, q: int) -> int:
+    return (2 * q - 1) * least_matches(total, cutoff) - (q - 1) * (total + 1)
+
+
+def gram_size(cutoff: float) -> int:
+    """2 where every pair of values of two characters or more that reaches the cutoff has a common pair of characters, else
+    single characters. Beyond 200 characters the bound grows with the length wherever it does before."""
+    pairs = ((a, b) for a in range(2, 101) for b in range(a, 101) if least_matches(a + b, cutoff) <= a)
+    return 2 if cutoff > 0.7 and all(common_grams(a + b, cutoff, 2) >= 1 for a, b in pairs) else 1
+
+
+def _needed(left: Column, right: Column, cutoff: float, q: int) -> Column:
+    """``common_grams`` of two lengths."""
+    total = left + right
+    return ((2 * q - 1) * F.ceil(total * (cutoff / 2) - 1e-9) - (q - 1) * (total + 1)).cast("int")
+
+
+def _can_match(left: Column, right: Column, cutoff: float) -> Column:
+    return F.least(left, right) >= F.ceil((left + right) * (cutoff / 2) - 1e-9)
+
+
+def gram_table(vals: DataFrame, cutoff: float, q: int) -> DataFrame:
+    """(k, v, vid, L, n, c, grams) per distinct value: its numbered grams, rarest in its column first, and the fewest that
+    it has in common with any value it matches. Written to the shared folder, which fixes the numbers ``vid``."""
+    at = F.sequence(F.lit(1), F.greatest(F.length("v") - (q - 1), F.lit(1)))
+    grams = vals.select("k", "v", F.explode(F.transform(at, lambda i: F.substring("v", i, q))).alias("g"))
+    counted = grams.groupBy("k", "v", "g").count()
+    numbered = counted.select("k", "v", F.explode(F.transform(
+        F.sequence(F.lit(1).cast("long"), F.col("count")), lambda i: F.xxhash64("g", i))).alias("tok"))
+    often = numbered.groupBy("k", "tok").agg(F.count(F.lit(1)).alias("f"))
+    ordered = numbered.join(often, ["k", "tok"]).groupBy("k", "v").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("f", "tok"))), lambda s: s["tok"]).alias("grams"))
+    out = ordered.withColumn("L", F.length("v")).withColumn("n", F.size("grams"))
+    partners = F.filter(F.sequence(F.floor(F.col("L") * (cutoff / 2)).cast("int"), F.ceil(F.col("L") * (2 / cutoff)).cast("int")),
+                        lambda m: (m >= 1) & _can_match(F.col("L"), m, cutoff))
+    fewest = F.array_min(F.transform(partners, lambda m: _needed(F.col("L"), m, cutoff, q)))
+    out = out.withColumn("c", F.greatest(fewest, F.lit(1)))
+    return checkpointed(out.withColumn("vid", F.monotonically_increasing_id()))
+
+
+def candidate_pairs(table: DataFrame, cutoff: float, q: int, crowded: int = CROWDED, levels: int = LEVELS) -> DataFrame:
+    """(a, b) numbers of values, a < b, without repeats: every pair that has the common grams it needs is among them.
+
+    Rows (key, value) of one level share ``level`` grams with their key. In a key of at most ``crowded`` values all
+    pairs of fitting lengths are candidates; in longer ones only pairs that need no more than ``level`` common grams, as
+    these have all of them, and the others meet again under keys of one more gram. At the last level all pairs of
+    fitting lengths are candidates."""
+    size = F.col("n") - F.col("c")
+    rows = table.select("vid", "L", "n", "c", "grams", F.xxhash64("k").alias("key"), F.lit(0).alias("at"))
+    found, level = [], 0
+    while True:
+        level += 1
+        # The next gram after the last one, within the first n - c + level.
+        more = F.sequence(F.col("at") + 1, F.least(F.col("n"), size + level))
+        rows = rows.filter(F.least(F.col("n"), size + level) > F.col("at")).withColumn("next", F.explode(more)).select(
+            "vid", "L", "n", "c", "grams", F.xxhash64("key", F.element_at("grams", F.col("next"))).alias("key"),
+            F.col("next").alias("at"))
+        rows = checkpointed(rows)
+        full = checkpointed(rows.groupBy("key").count().filter(
+            (F.col("count") > crowded) & F.lit(level < levels)).select("key"))
+        short = rows.join(full, "key", "left_anti").select("key", "vid", "L")
+        left, right = short.alias("x"), short.alias("y")
+        fits = _can_match(F.col("x.L"), F.col("y.L"), cutoff)
+        found.append(left.join(right, (F.col("x.key") == F.col("y.key")) & (F.col("x.vid") < F.col("y.vid")) & fits).select(
+            F.col("x.vid").alias("a"), F.col("y.vid").alias("b")))
+        if full.isEmpty():
+            break
+        rows = checkpointed(rows.join(full, "key", "left_semi"))
+        # Pairs of the crowded keys that have all the grams they need, by the lengths for which that is so.
+        done = rows.filter(F.col("c") <= level).select("key", "vid", "L", F.explode(F.filter(
+            F.sequence(F.floor(F.col("L") * (cutoff / 2)).cast("int"), F.ceil(F.col("L") * (2 / cutoff)).cast("int")),
+            lambda m: (m >= 1) & _can_match(F.col("L"), m, cutoff) & (_needed(F.col("L"), m, cutoff, q) <= level))).alias("M"))
+        left, right = done.alias("x"), rows.select("key", "vid", "L").alias("y")
+        found.append(left.join(right, (F.col("x.key") == F.col("y.key")) & (F.col("x.M") == F.col("y.L")) & (
+            F.col("x.vid") < F.col("y.vid"))).select(F.col("x.vid").alias("a"), F.col("y.vid").alias("b")))
+    return reduce(lambda x, y: x.unionByName(y), found).distinct()
+
+
+def close_pairs(table: DataFrame, cutoff: float, q: int, crowded: int = CROWDED) -> DataFrame:
+    """(k, word, x): both directions of the candidates that have the common grams they need."""
+    pairs = candidate_pairs(table, cutoff, q, crowded)
+    one = table.select("k", F.col("vid").alias("a"), F.col("v").alias("va"), F.col("L").alias("la"), F.col("grams").alias("ga"))
+    two = table.select(F.col("vid").alias("b"), F.col("v").alias("vb"), F.col("L").alias("lb"), F.col("grams").alias("gb"))
+    both = pairs.join(one, "a").join(two, "b")
+    enough = F.size(F.array_intersect("ga", "gb")) >= _needed(F.col("la"), F.col("lb"), cutoff, q)
+    kept = both.filter(enough)
+    way = F.array(F.struct(F.col("va").alias("word"), F.col("vb").alias("x")), F.struct(F.col("vb").alias("word"), F.col("va").alias("x")))
+    return kept.select("k", F.explode(way).alias("s")).select("k", "s.word", "s.x")
 
 
 def greedy_leaders(close: DataFrame) -> DataFrame:
@@ -78,26 +173,17 @@ def greedy_leaders(close: DataFrame) -> DataFrame:
             return status.select("k", "v", "leader")
 
 
-def similar_values(df: DataFrame, cols: list[str] | str, cutoff: float = 0.85, n: int = 4) -> DataFrame:
-    """Groups of similar spellings per column: (column, leader, members, size)."""
+def similar_values(df: DataFrame, cols: list[str] | str, cutoff: float = 0.85, n: int = 4,
+                   crowded: int = CROWDED) -> DataFrame:
+    """Groups of similar spellings per column: (column, leader, members, size). ``crowded`` (values of a key that is
+    not split) changes the work, never the result."""
     cols = [cols] if isinstance(cols, str) else cols
     parts = [F.struct(F.lit(c).alias("k"), qcol(c).cast("string").alias("v")) for c in cols]
     vals = (df.select(F.explode(F.array(*parts)).alias("s")).select("s.k", "s.v")
-            .filter(F.col("v").isNotNull()).distinct())
-    toks = _tokens(vals)
-    freq = toks.groupBy("k", "tok").agg(F.count(F.lit(1)).alias("f"))
-    ranked = toks.join(freq, ["k", "tok"]).withColumn(
-        "r", F.row_number().over(Window.partitionBy("k", "v").orderBy("f", "tok")))
-    lens = vals.withColumn("L", F.length("v"))
-    t = float(cutoff)
-    # Shared characters a partner needs; the margin keeps rounding from asking for one too many.
-    need = F.ceil(F.col("L") * (t / (2 - t)) - 1e-9)
-    prefix = ranked.join(lens, ["k", "v"]).filter(F.col("r") <= F.col("L") - need + 1).select("k", "v", "tok", "L")
-    a = prefix.select("k", F.col("v").alias("word"), "tok", F.col("L").alias("Lw"))
-    b = prefix.select("k", F.col("v").alias("x"), "tok", F.col("L").alias("Lx"))
-    cand = (a.join(b, ["k", "tok"]).filter(F.col("word") != F.col("x"))
-            .filter(2.0 * F.least("Lw", "Lx") / (F.col("Lw") + F.col("Lx")) >= t)
-            .select("k", "word", "x").distinct())
+            .filter(F.length("v") > 0).distinct())
+    t, q = float(cutoff), gram_size(cutoff)
+    ensure_checkpoint_dir(df.sparkSession)
+    cand = checkpointed(close_pairs(gram_table(vals, t, q), t, q, crowded))
     scored = cand.withColumn("score", sequence_ratio(F.col("x"), F.col("word"))).filter(F.col("score") >= t)
     w = Window.partitionBy("k", "word").orderBy(F.col("score").desc(), F.col("x").desc())
     top = scored.withColumn("rk", F.row_number().over(w)).filter(F.col("rk") <= n - 1)

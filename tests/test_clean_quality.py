@@ -3,6 +3,7 @@ duplicates, aliases, near-identical categories, tied modes)."""
 from __future__ import annotations
 
 import difflib
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from ledgerlens.operators import clean as C
 from ledgerlens.operators import filters as B
 from ledgerlens.operators import profile as P
 from ledgerlens.operators import quality as Q
+from ledgerlens.operators import similar
 from ledgerlens.operators.similar import similar_values
 
 DIRTY = [
@@ -87,6 +89,45 @@ def test_similar_values_match_difflib(spark, cutoff):
     assert got == _brute_groups(words, cutoff)
 
 
+@pytest.mark.parametrize("cutoff,crowded", [(0.6, 2), (0.85, 2)])
+def test_close_pairs_miss_no_match(spark, cutoff, crowded):
+    """Every pair that reaches the cutoff is a candidate, however early crowded keys are split."""
+    rng = random.Random(int(cutoff * 100) + crowded)
+    base = ["".join(rng.choices("ab01", k=rng.randrange(1, 14))) for _ in range(40)] + [f"SKU-{i:06d}" for i in range(0, 3000, 37)]
+    words = set(base)
+    for w in base:  # variants by one to three changes
+        for _ in range(rng.randrange(1, 4)):
+            i = rng.randrange(len(w) + 1)
+            w = w[:i] + rng.choice(["", "a", "7", "é"]) + w[i + rng.randrange(2):]
+        words.add(w)
+    words = sorted(w for w in words if w)
+    df = spark.createDataFrame([("c", w) for w in words], "k string, v string")
+    q = similar.gram_size(cutoff)
+    table = similar.gram_table(df, cutoff, q)
+    got = {(r.word, r.x) for r in similar.close_pairs(table, cutoff, q, crowded).collect()}
+    want = {(a, b) for a in words for b in words if a != b and difflib.SequenceMatcher(None, b, a).ratio() >= cutoff}
+    assert want <= got and all((b, a) in got for a, b in got)
+    groups = [r["members"] for r in similar_values(df, "v", cutoff, crowded=crowded).orderBy("leader").collect()]
+    assert groups == _brute_groups(words, cutoff)
+
+
+def test_candidates_follow_the_matches_not_the_alphabet(spark):
+    """Random codes over ten digits: the pairs that meet grow with the codes, and the pairs that get a ratio are few."""
+    met = []
+    for n in (2_000, 8_000):
+        rng = random.Random(n)
+        codes = rng.sample(range(10 ** 9, 10 ** 10), n)
+        codes += [c + 10 ** rng.randrange(9) for c in codes[: n // 10]]  # one digit changed, carries aside
+        df = spark.createDataFrame([("c", str(c)) for c in set(codes)], "k string, v string")
+        q = similar.gram_size(0.85)
+        table = similar.gram_table(df, 0.85, q)
+        met.append(similar.candidate_pairs(table, 0.85, q).count())
+    close = similar.close_pairs(table, 0.85, q).withColumn("r", similar.sequence_ratio("x", "word"))
+    given, right = close.agg(F.count("r"), F.count(F.when(F.col("r") >= 0.85, 1))).first()
+    assert right >= 2 * (n // 10) * 0.8 and given <= 8 * right
+    assert met[1] <= 8 * met[0] and met[1] <= 100 * n  # the shared rare characters of old: 0.4 n * n
+
+
 def test_validate_and_score(spark, dirty):
     df = C.coerce_numeric(dirty, ["original_price", "revenue"])
     roles = {"original_price": "Measure", "revenue": "Measure", "category": "Dimension", "city": "Dimension"}
