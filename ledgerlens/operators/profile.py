@@ -1,7 +1,8 @@
 """Profiling operators (D01-D05, D17-D19, D23) built on one *column catalogue*.
 
-``column_catalogue`` profiles every column of every table with ONE wide aggregation per table
-(counts, exact distinct counts, min/max/mean/negatives), unpivoted to one row per
+``column_catalogue`` profiles every column of every table with one wide aggregation per table (counts,
+min/max/mean/negatives) and exact distinct counts of each column by itself; ``decided_catalogue`` replaces
+these by sketches wherever these settle the decisions. Both are unpivoted to one row per
 (table, column). Role detection, id/date detection and validation then run as column
 expressions over that catalogue, so they work the same for one upload or a lake of tables.
 """
@@ -10,11 +11,16 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.expr import is_float, is_numeric, is_temporal, nan_to_null, parse_dates, qcol, safe_div
+from ..functions.expr import is_float, is_numeric, is_temporal, parse_dates, qcol, safe_div
+from ..session import checkpointed
+from .distinct import CARRIERS, carrier, exact_counts, sketched, tagged_values, undecided
+
+#: Tables per long of a mask.
+MASK_BITS = 62
 
 # Name hints used by the detectors.
 DATE_NAME_HINTS = ["date", "time", "created", "updated", "timestamp"]
@@ -45,22 +51,19 @@ def _missing(f: T.StructField):
     return c.isNull() | F.isnan(c) if is_float(f.dataType) else c.isNull()
 
 
-def _table_catalogue(name: str, df: DataFrame, approx: bool = False) -> DataFrame:
+def _table_catalogue(name: str, df: DataFrame, sketch: bool) -> DataFrame:
+    """The plain statistics of every column in one pass, with a sketched distinct count if asked for."""
     fields = df.schema.fields
-    # Two one-row aggregations: the plain statistics in one pass, the exact distinct counts in
-    # another. Mixing them makes Spark carry every plain aggregate through the Expand that
-    # exact multi-column distinct counting needs (about twice slower than two passes).
     plain = [F.count(F.lit(1)).alias("_rows")]
-    distinct = []
     for i, f in enumerate(fields):
-        c = nan_to_null(qcol(f.name)) if is_float(f.dataType) else qcol(f.name)
+        c = qcol(f.name)
         plain.append(F.count(F.when(_missing(f), 1)).alias(f"m{i}"))
-        distinct.append((F.approx_count_distinct(c) if approx else F.countDistinct(c)).alias(f"u{i}"))
+        if sketch:
+            plain.append(sketched(df, f.name).alias(f"u{i}"))
         if kind_of(f.dataType) == "numeric":
             v = c.cast("double")
             plain += [F.min(v).alias(f"lo{i}"), F.max(v).alias(f"hi{i}"), F.avg(v).alias(f"av{i}"),
                       F.count(F.when(v < 0, 1)).alias(f"ng{i}")]
-    wide = df.agg(*plain).crossJoin(F.broadcast(df.agg(*distinct)))
     null_d = F.lit(None).cast("double")
     null_l = F.lit(None).cast("long")
     structs = []
@@ -69,25 +72,52 @@ def _table_catalogue(name: str, df: DataFrame, approx: bool = False) -> DataFram
         structs.append(F.struct(
             F.lit(i).alias("position"), F.lit(f.name).alias("column"),
             F.lit(f.dataType.simpleString()).alias("dtype"), F.lit(kind_of(f.dataType)).alias("kind"),
-            F.col(f"m{i}").cast("long").alias("missing"), F.col(f"u{i}").cast("long").alias("unique"),
+            F.col(f"m{i}").cast("long").alias("missing"), (F.col(f"u{i}") if sketch else null_l).alias("unique"),
             (F.col(f"lo{i}") if num else null_d).alias("min"), (F.col(f"hi{i}") if num else null_d).alias("max"),
             (F.col(f"av{i}") if num else null_d).alias("mean"),
             (F.col(f"ng{i}").cast("long") if num else null_l).alias("negative_count")))
-    return wide.select(F.lit(name).alias("table"), F.col("_rows").cast("long").alias("rows"),
-                       F.explode(F.array(*structs)).alias("s")).select(
+    return df.agg(*plain).select(F.lit(name).alias("table"), F.col("_rows").cast("long").alias("rows"),
+                                 F.explode(F.array(*structs)).alias("s")).select(
         "table", "s.position", "s.column", "s.dtype", "s.kind", "rows", "s.missing", "s.unique",
         "s.min", "s.max", "s.mean", "s.negative_count")
 
 
-def column_catalogue(tables: dict[str, DataFrame], approx: bool = False) -> DataFrame:
-    """Per column dtype, missing (null or NaN), missing %, distinct count (exact unless
-    ``approx``), constant flag, and for numerics min / max / mean / negative count."""
-    parts = [_table_catalogue(n, df, approx) for n, df in tables.items()]
-    cat = reduce(lambda a, b: a.unionByName(b), parts)
+def _finished(cat: DataFrame) -> DataFrame:
     return (cat.withColumn("missing_pct", safe_div(F.col("missing") * 100.0, F.col("rows")))
             .withColumn("constant", F.col("unique") <= 1))
 
 
+def _with_counts(cat: DataFrame, counts: DataFrame) -> DataFrame:
+    """The catalogue with the counts given (one row per column) in place of its own."""
+    joined = cat.join(F.broadcast(counts.withColumnRenamed("unique", "_exact")), ["table", "position"], "left")
+    order = [F.coalesce("_exact", "unique", F.lit(0)).cast("long").alias("unique") if c == "unique" else F.col(c) for c in cat.columns]
+    return joined.select(*order)
+
+
+def column_catalogue(tables: dict[str, DataFrame], approx: bool = False) -> DataFrame:
+    """Per column dtype, missing (null or NaN), missing %, distinct count (exact, or sketched in the same pass with
+    ``approx``), constant flag, and for numerics min / max / mean / negative count. One pass per table for the plain
+    statistics and a pruned scan per column for the exact counts."""
+    cat = reduce(lambda a, b: a.unionByName(b), [_table_catalogue(n, df, approx) for n, df in tables.items()])
+    return _finished(cat if approx else _with_counts(cat, exact_counts(tables)))
+
+
+def decision_thresholds(rows: int) -> list[float]:
+    """Distinct counts at which a decision about a column of so many rows turns: constant, few values (D05), half or
+    nearly all of the rows (D04, D05)."""
+    return [1, max(10, int(rows * 0.02)), rows * 0.5, rows * 0.9]
+
+
+def decided_catalogue(tables: dict[str, DataFrame]) -> DataFrame:
+    """The catalogue for detections and roles: one pass per table with sketched distinct counts; columns whose sketch
+    lies too close to a threshold are counted exactly. ``unique`` is an estimate elsewhere, and every decision
+    (``constant``, D04, D05) is that of the exact catalogue."""
+    cat = checkpointed(reduce(lambda a, b: a.unionByName(b), [_table_catalogue(n, df, True) for n, df in tables.items()]))
+    rows = cat.select("table", "column", "rows", "unique").collect()  # one row per column
+    open_columns = [(r.table, r.column) for r in rows if undecided(r.unique, decision_thresholds(r.rows))]
+    return _finished(_with_counts(cat, exact_counts(tables, open_columns)) if open_columns else cat)
+
+
 profile_columns = column_catalogue
 
 
@@ -151,7 +181,7 @@ def classify_roles(catalogue: DataFrame) -> DataFrame:
 def role_confidence(roles: DataFrame) -> DataFrame:
     """Per table, share of columns with a role other than Unclassified (2 dp)."""
     return roles.groupBy("table").agg(
-        F.round(F.avg((F.col("role") != "Unclassified").cast("double")), 2).alias("confidence"))
+        F.bround(F.avg((F.col("role") != "Unclassified").cast("double")), 2).alias("confidence"))
 
 
 def profile_table(df: DataFrame, name: str = "data", catalogue: DataFrame | None = None,
@@ -179,9 +209,9 @@ def profile_table(df: DataFrame, name: str = "data", catalogue: DataFrame | None
     dup = F.col("rows") - F.col("_distinct")
     return j.select(
         F.col("rows"), F.lit(ncols).alias("columns"), F.col("missing_total"),
-        F.round(F.col("missing_total") * 100.0 / cells, 2).alias("missing_pct"),
+        F.bround(F.col("missing_total") * 100.0 / cells, 2).alias("missing_pct"),
         dup.alias("duplicate_rows"),
-        F.round(dup * 100.0 / F.greatest(F.col("rows"), F.lit(1)), 2).alias("duplicate_pct"),
+        F.bround(dup * 100.0 / F.greatest(F.col("rows"), F.lit(1)), 2).alias("duplicate_pct"),
         "numeric_columns", "categorical_columns", "date_columns", "id_columns")
 
 
@@ -217,7 +247,7 @@ def report_quality(df: DataFrame) -> DataFrame:
     completeness = 1 - missing / cells
     uniqueness = 1 - safe_div(dup, F.col("rows"))
     validity = (1 - safe_div(bad, F.greatest(F.col("rows") * len(numeric), F.lit(1)))) if numeric else F.lit(1.0)
-    score = F.round(F.greatest(F.lit(0.0), F.least(F.lit(100.0), (completeness * 0.45 + uniqueness * 0.30
+    score = F.bround(F.greatest(F.lit(0.0), F.least(F.lit(100.0), (completeness * 0.45 + uniqueness * 0.30
                                                                   + validity * 0.25) * 100)))
     return j.select(
         score.cast("int").alias("score"), F.col("rows").alias("total_records"),
@@ -230,29 +260,47 @@ def report_quality(df: DataFrame) -> DataFrame:
 def discover_relationships(tables: dict[str, DataFrame], roles: DataFrame) -> DataFrame:
     """Same column name in two tables with the Identifier role in the first (table order)
     -> foreign-key candidate, with value-overlap evidence: share of the first table's distinct
-    values found in the second (a semi join per candidate)."""
+    values found in the second.
+
+    Every table is read once: its cells of the columns in question become (column name, value, bit of the table), one
+    aggregation ors the bits of each value, and the counts per bit mask answer all pairs of tables."""
     names = list(tables)
     cols = {n: set(df.columns) for n, df in tables.items()}
     ident = {(r["table"], r["column"]) for r in
              roles.filter(F.col("role") == "Identifier").select("table", "column").collect()}
-    rows = []
-    for i, a in enumerate(names):
-        for b in names[i + 1:]:
-            for c in sorted(cols[a] & cols[b]):
-                if (a, c) in ident:
-                    ka = tables[a].select(qcol(c).alias("k")).filter(F.col("k").isNotNull()).distinct()
-                    kb = tables[b].select(qcol(c).alias("k")).filter(F.col("k").isNotNull()).distinct()
-                    ev = ka.agg(F.count(F.lit(1)).alias("distinct_a")).crossJoin(
-                        ka.join(kb, "k", "left_semi").agg(F.count(F.lit(1)).alias("matched")))
-                    rows.append(ev.select(F.lit(a).alias("table_a"), F.lit(c).alias("column_a"),
-                                          F.lit(b).alias("table_b"), F.lit(c).alias("column_b"),
-                                          F.lit("foreign_key_candidate").alias("type"), "distinct_a", "matched"))
-    if not rows:
-        spark = next(iter(tables.values())).sparkSession
+    pairs = [(a, b, c) for i, a in enumerate(names) for b in names[i + 1:] for c in sorted(cols[a] & cols[b]) if (a, c) in ident]
+    spark = next(iter(tables.values())).sparkSession
+    if not pairs:
         return spark.createDataFrame([], "table_a string, column_a string, table_b string, column_b string, "
                                          "type string, distinct_a long, matched long, overlap double")
-    out = reduce(lambda x, y: x.unionByName(y), rows)
-    return out.withColumn("overlap", safe_div(F.col("matched"), F.col("distinct_a")))
+    asked = sorted({c for *_, c in pairs})
+    kinds = {c: {carrier(tables[n], c) for n in names if c in cols[n]} for c in asked}
+    common = {c: next(iter(k)) if len(k) == 1 else "real" if k == {"whole", "real"} else "text" for c, k in kinds.items()}
+    words = [f"m{i}" for i in range(-(-len(names) // MASK_BITS))]  # a mask of as many longs as the tables need
+    cells = []
+    for t, name in enumerate(names):
+        own = [c for c in asked if c in cols[name]]
+        if own:
+            bits = [F.lit(1 << t % MASK_BITS if t // MASK_BITS == i else 0).cast("long").alias(w) for i, w in enumerate(words)]
+            cells.append(tagged_values(tables[name], {c: [F.lit(c).alias("column_a")] for c in own}, common).select("*", *bits))
+    held = reduce(lambda x, y: x.unionByName(y), cells).groupBy("column_a", *CARRIERS).agg(
+        *[F.bit_or(w).alias(w) for w in words])
+    masks = held.groupBy("column_a", *words).agg(F.count(F.lit(1)).alias("n"))
+
+    def has(t: Column) -> Column:
+        word = F.element_at(F.array(*words), (F.floor(t / MASK_BITS) + 1).cast("int"))
+        return F.getbit(word, (t % MASK_BITS).cast("int")) == 1
+
+    number = {n: i for i, n in enumerate(names)}
+    wanted = spark.createDataFrame([(a, c, b, c, number[a], number[b]) for a, b, c in pairs],
+                                   "table_a string, column_a string, table_b string, column_b string, _a int, _b int")
+    found = F.broadcast(wanted).join(masks, "column_a", "left")  # one row per pair asked for
+    first = F.when(has(F.col("_a")), F.col("n"))
+    both = F.when(has(F.col("_a")) & has(F.col("_b")), F.col("n"))
+    out = found.groupBy("table_a", "column_a", "table_b", "column_b").agg(
+        F.coalesce(F.sum(first), F.lit(0)).alias("distinct_a"), F.coalesce(F.sum(both), F.lit(0)).alias("matched"))
+    return out.select("table_a", "column_a", "table_b", "column_b", F.lit("foreign_key_candidate").alias("type"), "distinct_a",
+                      "matched", safe_div(F.col("matched"), F.col("distinct_a")).alias("overlap"))
 
 
 def derived_metrics(df: DataFrame) -> DataFrame:

@@ -91,7 +91,7 @@ def d01_profile_table_orders(spark, d):
 def _roles(spark, d):
     tabs = lake(spark, d)
     dates = {t: P.detect_date_columns(df) for t, df in tabs.items()}
-    return P.classify_roles(P.with_detections(P.column_catalogue(tabs), dates))
+    return P.classify_roles(P.with_detections(P.decided_catalogue(tabs), dates))
 
 
 _ROLE_SQL = f"""
@@ -249,11 +249,24 @@ def d18_report_quality(spark, d):
     return rnd(P.report_quality(s), "missing_pct", "duplicate_pct")
 
 
-@register("d19_discover_relationships")
+def _relationships_sql() -> str:
+    """Every pair of tables with a column name in common whose first table has it as identifier."""
+    named = {t: {lake_name(c): c for c, _ in cols} for t, cols in LAKE_SCHEMA.items()}
+    pairs = [(a, b, c) for i, a in enumerate(LAKE) for b in LAKE[i + 1:] for c in sorted(named[a].keys() & named[b].keys())]
+    parts = [f"""SELECT '{a}' AS table_a, '{c}' AS column_a, '{b}' AS table_b, '{c}' AS column_b, 'foreign_key_candidate' AS type,
+  (SELECT count(DISTINCT {named[a][c]}) FROM {a}) AS distinct_a,
+  (SELECT count(DISTINCT {named[a][c]}) FROM {a} WHERE {named[a][c]} IN (SELECT {named[b][c]} FROM {b})) AS matched
+WHERE EXISTS (SELECT 1 FROM roles WHERE "table" = '{a}' AND "column" = '{c}' AND role = 'Identifier')""" for a, b, c in pairs]
+    body = "\nUNION ALL\n".join(parts)
+    return f"""WITH roles AS ({_ROLE_SQL}), found AS ({body})
+SELECT *, CASE WHEN distinct_a > 0 THEN matched * 1.0 / distinct_a END AS overlap FROM found"""
+
+
+@register("d19_discover_relationships", _relationships_sql(), with_sales=False)
 def d19_discover_relationships(spark, d):
     tabs = lake(spark, d)
     dates = {t: P.detect_date_columns(df) for t, df in tabs.items()}
-    roles = P.classify_roles(P.with_detections(P.column_catalogue(tabs), dates))
+    roles = P.classify_roles(P.with_detections(P.decided_catalogue(tabs), dates))
     return P.discover_relationships(tabs, roles)
 
 

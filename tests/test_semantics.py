@@ -4,6 +4,7 @@ from __future__ import annotations
 import difflib
 
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerlens.operators import profile as P
 from ledgerlens.operators import semantics as S
@@ -86,3 +87,43 @@ def test_plan_eda(spark):
     plan = S.plan_eda(df)
     assert plan["target_col"] == "satisfaction"
     assert plan["categorical_cols"] == ["klass"] and plan["numeric_cols"] == ["score"]
+
+
+def test_sketched_decisions_are_those_of_exact_counts(spark):
+    """Counts at, just below and just above every threshold; the sketch alone would miss some."""
+    n = 4000
+    cols = {f"code_{k}": F.col("id") % k for k in (1, 2, 9, 10, 11, 79, 80, 81, 1999, 2000, 2001, 3599, 3600, 3601, 4000)}
+    df = spark.range(n).select(*[v.alias(c) for c, v in cols.items()],
+                               *[v.cast("string").alias(f"t_{c}") for c, v in cols.items()],
+                               F.when(F.col("id") % 3 == 0, float("nan")).otherwise(F.col("id") / 7.0).alias("real"),
+                               F.lit(None).cast("string").alias("none"))
+    exact = P.column_catalogue({"t": df})
+    assert {r["column"]: r["unique"] for r in exact.collect() if r["column"].startswith("code_")} == {
+        c: int(c.split("_")[1]) for c in cols}
+    def roles(cat):
+        return sorted((r["column"], r["role"], r["constant"], r["is_id"]) for r in P.classify_roles(P.with_detections(cat, {})).collect())
+    assert roles(P.decided_catalogue({"t": df})) == roles(exact)
+
+
+def test_plan_and_schema_use_exact_counts_near_a_threshold(spark):
+    df = spark.range(5000).select((F.col("id") % 6).cast("string").alias("six"), (F.col("id") % 7).cast("string").alias("seven"),
+                                  (F.col("id") % 10).cast("string").alias("ten"), (F.col("id") % 11).cast("string").alias("eleven"),
+                                  (F.col("id") % 2500).cast("string").alias("half"), (F.col("id") % 2501).cast("string").alias("more"),
+                                  (F.col("id") % 4499).alias("a"), (F.col("id") % 4500).alias("b"))
+    plan = S.plan_eda(df)
+    assert plan["target_col"] == "six" and plan["categorical_cols"] == ["seven", "ten"] and plan["numeric_cols"] == ["a"]
+    mixed = df.select(F.concat(F.lit("x"), "half").alias("half"), F.concat(F.lit("x"), "more").alias("more"))
+    assert S.detect_report_schema(mixed)["dimension_extra"] == ["half"]
+
+
+def test_relationships_from_masks_of_many_tables(spark):
+    """Sixty-five tables need two words of a mask; types differ; nulls and NaN never match."""
+    tables = {f"t{i:02d}": spark.range(i % 5, 60 + i).select(F.col("id").cast(["long", "int", "double"][i % 3]).alias("key_id"))
+              for i in range(65)}
+    tables["t66"] = spark.createDataFrame([("1",), (None,), ("x",)], "other_id string")
+    roles = spark.createDataFrame([(n, c, "Identifier" if n in ("t00", "t63") else "Measure") for n, df in tables.items()
+                                   for c in df.columns], "table string, column string, role string")
+    got = {(r.table_a, r.table_b): (r.distinct_a, r.matched) for r in P.discover_relationships(tables, roles).collect()}
+    assert len(got) == 65 and got[("t63", "t64")] == (120, 119)
+    for i in range(1, 65):
+        assert got[("t00", f"t{i:02d}")] == (60, 60 - i % 5)
