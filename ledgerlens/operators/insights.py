@@ -220,10 +220,12 @@ def boxplot_insights(stats: DataFrame) -> DataFrame:
                         var.alias("variability"), "outlier_count", "outlier_pct", "q1", "q3")
 
 
-def persona_insights(df: DataFrame, roles: dict[str, str], persona: str = "Manager") -> DataFrame:
+def persona_insights(df: DataFrame, roles: dict[str, str], persona: str = "Manager", max_measures: int | None = None,
+                     max_dimensions: int | None = None) -> DataFrame:
     """Manager (first measure total, leader of the first dimension with share, third-ranked
     group), HR (salary mean / top department / tenure / attrition mode) and Analyst (per measure
-    mean, median, std, range; strongest pair; distinct counts) facts."""
+    mean, median, std, range; strongest pair; distinct counts) facts; ``max_measures`` and ``max_dimensions`` limit the
+    columns that an Analyst gets facts of (default: all)."""
     from .aggregate import top_n
     from .stats import describe_measure, strongest_pair
     spark = df.sparkSession
@@ -239,7 +241,8 @@ def persona_insights(df: DataFrame, roles: dict[str, str], persona: str = "Manag
                  F.format_string("%d rows x %d columns; %d measures, %d dimensions, %d dates.", F.col("n"),
                                  F.lit(len(df.columns)), F.lit(len(measures)), F.lit(len(dims)), F.lit(len(dates))))
             .alias("f")).select("f.*"))
-        for i, m in enumerate(measures[:3]):
+        shown = measures[:max_measures]
+        for i, m in enumerate(shown):
             d = describe_measure(df, m).crossJoin(df.agg(F.min(qcol(m)).cast("double").alias("lo"),
                                                          F.max(qcol(m)).cast("double").alias("hi"),
                                                          F.stddev_samp(qcol(m)).alias("sd")))
@@ -249,12 +252,12 @@ def persona_insights(df: DataFrame, roles: dict[str, str], persona: str = "Manag
                 fact(2 + i, "max", m, F.col("hi"), "", ""))).alias("f")).select("f.*"))
         if len(measures) >= 2:
             sp = strongest_pair(df, measures, min_cols=2)
-            parts.append(sp.select(fact(5, "strongest_pair", F.concat_ws(" <-> ", "x", "y"), F.round("r", 2), "r",
+            parts.append(sp.select(fact(2 + len(shown), "strongest_pair", F.concat_ws(" <-> ", "x", "y"), F.round("r", 2), "r",
                                         F.format_string("Strongest correlation: %s <-> %s (r=%.2f).", F.col("x"),
                                                         F.col("y"), F.col("r"))).alias("f")).select("f.*"))
-        for d in dims[:2]:
+        for d in dims[:max_dimensions]:
             parts.append(df.agg(F.countDistinct(qcol(d)).alias("u")).select(
-                fact(6, "distinct_values", d, F.col("u"), "count", "").alias("f")).select("f.*"))
+                fact(3 + len(shown), "distinct_values", d, F.col("u"), "count", "").alias("f")).select("f.*"))
     elif persona == "HR":
         low = {c.lower(): c for c in df.columns}
         def find(*kws):

@@ -57,7 +57,7 @@ def days_of_cover(df: DataFrame, stock: DataFrame, product: str = "product", ord
     j = vel.join(stock.select(F.col(stock.columns[0]).alias(product), F.col(stock.columns[1]).alias("stock_left")),
                  product, "left")
     daily = F.greatest(F.lit(1), F.floor(F.col("velocity") * DAILY_SALES_FACTOR).cast("long"))
-    cover = F.round(F.col("stock_left") / daily, 1)
+    cover = F.bround(F.col("stock_left") / daily, 1)
     risk = F.when(cover < 1, "CRITICAL").when(cover < 2, "LOW").otherwise("OK")
     action = F.when(cover < 1, "ORDER NOW").when(cover < 2, "Plan Reorder").otherwise("Sufficient")
     return j.select(product, "velocity", "stock_left", daily.alias("daily_sales"), cover.alias("days_cover"),

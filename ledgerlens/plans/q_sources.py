@@ -133,8 +133,9 @@ FROM events GROUP BY 1, 2, 3
 def s01_stream_windowed_kpis(spark, d):
     ev = read_table(spark, d, "events")
     stream = L.stream_parquet(spark, d, ev.schema, glob="events.parquet")
-    out = L.run_to_table(L.windowed_kpis(stream, "ts", "value", "event_type", "1 day", "1 hour"), "kpis",
-                         output_mode="complete")
+    hist = L.run_to_table(L.windowed_kpis(stream, "ts", "value", "event_type", "1 day", "1 hour"), "kpis",
+                          output_mode="update")
+    out = L.latest_per_key(hist, ["window_start", "window_end", "event_type"])
     return out.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"),
                       F.col("window_end").cast("timestamp_ntz").alias("window_end"), "event_type", "events",
                       F.round("value_sum", 4).alias("value_sum"), F.round("value_avg", 6).alias("value_avg"),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -40,7 +41,7 @@ def ensure_checkpoint_dir(spark: SparkSession, fallback: str = "/tmp/ledgerlens-
     folder of this machine, a cluster without the setting is an error."""
     cur = spark.conf.get("spark.checkpoint.dir", None)
     if not cur:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         cur = fallback
         spark.conf.set("spark.checkpoint.dir", cur)

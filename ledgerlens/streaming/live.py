@@ -35,15 +35,17 @@ def _event_time(events: DataFrame, ts: str) -> DataFrame:
 
 
 def windowed_kpis(events: DataFrame, ts: str = "ts", value: str = "value", key: str | None = "event_type",
-                  window: str = "1 day", watermark: str = "1 hour") -> DataFrame:
-    """Per tumbling window (and key): event count, value sum / mean / max and distinct users
-    (approximate: exact distinct counts are not supported in streaming aggregations)."""
+                  window: str = "1 day", watermark: str = "1 hour", user: str | None = None) -> DataFrame:
+    """Per tumbling window (and key): event count, value sum / mean / max and, if ``user`` names a column, its distinct
+    values by a sketch that merges across batches (exact distinct counts are not supported in streaming
+    aggregations). In update and append mode the watermark drops the state of windows that have closed."""
     w = _event_time(events, ts).withWatermark(ts, watermark)
     keys = [F.window(ts, window).alias("w")] + ([F.col(key)] if key else [])
     g = w.groupBy(*keys).agg(F.count(F.lit(1)).alias("events"), F.sum(value).alias("value_sum"),
-                             F.avg(value).alias("value_avg"), F.max(value).alias("value_max"))
+                             F.avg(value).alias("value_avg"), F.max(value).alias("value_max"),
+                             *([F.approx_count_distinct(user, 0.02).alias("users")] if user else []))
     return g.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"),
-                    *([F.col(key)] if key else []), "events", "value_sum", "value_avg", "value_max")
+                    *([F.col(key)] if key else []), "events", "value_sum", "value_avg", "value_max", *(["users"] if user else []))
 
 
 def windowed_sla(events: DataFrame, ts: str, duration: str, promise: float = 10.0, grace: float = 2.0,

@@ -154,10 +154,13 @@ def test_validation_lists_its_issues(spark):
     trend = spark.createDataFrame([(1, 2.0)], "month int, value double")
     out = report.validate_metrics(dict(kpis=kpis, rankings=ranks, trend=trend, quality=quality), ("regions", "top_products"))
     assert sorted(out) == ["issues", "kpis", "quality", "rankings"]
-    assert [r.level for r in out["issues"].collect()] == ["warning", "info", "info"]
+    assert [tuple(r) for r in out["issues"].collect()] == [
+        ("warning", "kpi_not_finite", "revenue"), ("info", "ranking_empty", "top_products"), ("info", "trend_short", None)]
+    payload = json.loads(report.metrics_payload(out | {"raw": trend}))
+    assert sorted(payload) == ["issues", "kpis", "quality", "rankings"] and payload["kpis"][1]["previous"] is None
     assert {r.metric: r.current for r in out["kpis"].collect()} == {"revenue": 0.0, "orders": 2.0}
     empty = spark.createDataFrame([], "Revenue double, City string")
-    assert [tuple(r) for r in report.business_report(empty)["issues"].collect()] == [("error", "Dataset has zero rows.")]
+    assert [tuple(r) for r in report.business_report(empty)["issues"].collect()] == [("error", "no_rows", None)]
 
 
 def test_engine_result_and_long_form_sections(spark):
@@ -193,8 +196,26 @@ def test_correlation_matrix_one_aggregation(spark):
     assert plan.count("FileScan parquet") == 1 and plan.count("HashAggregate") == 2
 
 
-def test_catalogue_two_passes_per_table(spark):
+def test_catalogue_scans_without_expanding(spark):
     from ledgerlens.operators import profile as P
     o = spark.read.parquet(f"{SF_SMALL}/orders.parquet")
     plan = _final_plan(P.column_catalogue({"orders": o}))
-    assert plan.count("FileScan parquet") == 2 and "Expand" in plan
+    assert plan.count("FileScan parquet") == 1 + len(o.columns) and "Expand" not in plan  # a pruned scan per column
+    plan = _final_plan(P._table_catalogue("orders", o, True))
+    assert plan.count("FileScan parquet") == 1 and "Expand" not in plan
+
+
+def test_stream_counts_users_and_drops_closed_windows(spark, tmp_path):
+    """Users of a window by a mergeable sketch over several batches; append mode emits closed windows only."""
+    from ledgerlens.streaming import live
+    rows = spark.range(3000).select(F.timestamp_seconds(F.col("id") * 60).alias("ts"), F.col("id").cast("double").alias("value"),
+                                    (F.col("id") % 500).alias("user_id"))
+    for day in range(3):  # files in the order of their times
+        rows.filter(F.floor(F.unix_timestamp("ts") / 86400) == day).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = live.stream_parquet(spark, str(tmp_path / "in"), rows.schema, max_files_per_trigger=1)
+    kpis = live.windowed_kpis(stream, "ts", "value", None, "1 day", "1 hour", user="user_id")
+    latest = live.latest_per_key(live.run_to_table(kpis, "users"), ["window_start", "window_end"]).orderBy("window_start").collect()
+    assert [r.events for r in latest] == [1440, 1440, 120]
+    assert all(abs(r.users - n) <= 0.1 * n for r, n in zip(latest, (500, 500, 120)))
+    closed = live.run_to_table(kpis, "closed", output_mode="append").orderBy("window_start").collect()
+    assert [r.events for r in closed] == [1440, 1440]
