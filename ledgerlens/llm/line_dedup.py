@@ -15,9 +15,9 @@ The first occurrence of a class, by document id and position, stays; the others
   beside the shared segment is cut into k + 1 segments again, so that pairs must share two of
   them, and their letter counts must differ by at most 2k in all, which k edits cannot exceed.
 
-Line texts are not shuffled but for repeated lines and candidates. Both are picked out during the scan by a
-bitmap of fixed size over the digests wanted; false positives only cost time, as exact joins
-follow.
+Line texts are not shuffled but for repeated lines and candidates, probes only where they hit a segment, documents
+only where lines go. All are picked out during the scan by a bitmap of bounded size over the hashes wanted; false
+positives only cost time, as exact joins follow.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .components import components
 from .tables import salt_count, salted_lookup, stage
 
-BITMAP_BITS = 1 << 26  # 8 MB as a broadcast table, whatever the size of the data
+BITMAP_BITS = 1 << 28  # 32 bits of bitmap take 8 bytes of a broadcast table: at most 64 MB, whatever the size of the data
 COUNTED = ("abcdefghijklm", "nopqrstuvwxyz")  # letters counted in crowded buckets, modulo 16
 
 
@@ -43,22 +43,32 @@ def lines_of(docs: DataFrame, least: int) -> DataFrame:
     return out.withColumn("h", F.xxhash64("line")).withColumn("id", F.unhex(F.md5("line")))
 
 
-def _bitmap(keys: DataFrame) -> DataFrame:
-    """One row per occupied bucket, at most BITMAP_BITS / 32768 rows of 4096 bytes."""
-    slot = F.pmod(F.col("h"), F.lit(BITMAP_BITS)) + 1
-    return keys.select(F.bitmap_bucket_number(slot).alias("bucket"), F.bitmap_bit_position(slot).alias("bit")).groupBy(
+def _bitmap(keys: DataFrame, bits: int) -> DataFrame:
+    """(bucket, words) per occupied bucket of 32768 bits, at most bits / 32768 rows; words: 1024 numbers of 32 bits each."""
+    slot = F.col("h").bitwiseAND(F.lit(bits - 1))
+    maps = keys.select(F.shiftright(slot, 15).alias("bucket"), slot.bitwiseAND(F.lit(32767)).alias("bit")).groupBy(
         "bucket").agg(F.bitmap_construct_agg("bit").alias("map"))
+    word = F.transform(F.sequence(F.lit(0), F.lit(1023)),
+                       lambda i: F.conv(F.hex(F.substring("map", i * 4 + 1, F.lit(4))), 16, 10).cast("long"))
+    return maps.select("bucket", word.alias("words"))
 
 
-def _marked(rows: DataFrame, keys: DataFrame) -> DataFrame:
-    """``rows`` with ``wanted``: false for certain if the row's ``h`` is not among the keys."""
-    slot = F.pmod(F.col("h"), F.lit(BITMAP_BITS)) + 1
-    bit = F.bitmap_bit_position(slot)
-    byte = F.conv(F.hex(F.substring("map", (F.shiftright(bit, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    mask = F.element_at(F.array(*[F.lit(1 << i) for i in range(8)]), (bit % 8 + 1).cast("int"))
+def bitmap_bits(keys: int) -> int:
+    """A power of two of 16 bits a key or more, from 2 ** 20 to BITMAP_BITS."""
+    return min(BITMAP_BITS, 1 << max(20, (16 * keys - 1).bit_length()))
+
+
+def _marked(rows: DataFrame, keys: DataFrame, by: str = "h") -> DataFrame:
+    """``rows`` with ``wanted``: false for certain if the row's ``by`` is not among the ``h`` of ``keys`` (a written table)."""
+    bits = bitmap_bits(keys.count())
+    slot = F.col(by).bitwiseAND(F.lit(bits - 1))
+    at = slot.bitwiseAND(F.lit(32767))
+    # Words are big-endian, the bits of a byte are numbered from its lowest.
+    place = (24 - F.shiftright(at.bitwiseAND(F.lit(31)), 3) * 8 + at.bitwiseAND(F.lit(7))).cast("int")
     # The broadcast side is bounded by BITMAP_BITS.
-    joined = rows.withColumn("bucket", F.bitmap_bucket_number(slot)).join(F.broadcast(_bitmap(keys)), "bucket", "left")
-    return joined.withColumn("wanted", F.coalesce(byte.bitwiseAND(mask) > 0, F.lit(False))).drop("bucket", "map")
+    joined = rows.withColumn("bucket", F.shiftright(slot, 15)).join(F.broadcast(_bitmap(keys, bits)), "bucket", "left")
+    word = F.get("words", F.shiftright(at, 5).cast("int"))
+    return joined.withColumn("wanted", F.coalesce(F.getbit(word, place) == 1, F.lit(False))).drop("bucket", "words")
 
 
 def _segment(m: Column, i: int, k: int) -> tuple[Column, Column]:
@@ -162,7 +172,9 @@ def _pairs(texts: DataFrame, k: int, crowded: int) -> DataFrame:
     own = _keys(line, n, k, range(1), True)
     probes = _keys(line, n, k, range(k + 1), False)
     index = stage(texts.select("h", F.explode(own["key"]).alias("key")), "line-index")
+    # Most probes hit no segment of any line: these go before they are shuffled.
     probe = texts.select("h", F.explode(probes["key"]).alias("key"))
+    probe = _marked(probe, index.select(F.col("key").alias("h")), "key").filter("wanted").select("h", "key")
     full = stage(index.groupBy("key").count().filter(F.col("count") > crowded).select("key"), "crowded-segments")
     open_index = index.join(full, "key", "left_anti")
     # A probe into a crowded bucket meets one row that stands for the bucket, and is noted with b null.
@@ -177,7 +189,7 @@ def _pairs(texts: DataFrame, k: int, crowded: int) -> DataFrame:
         return found
     # Lines that stand in a crowded bucket or probe one, cut again beside the shared segment.
     inside = index.join(full, "key", "left_semi").select("h")
-    some = inside.unionByName(met.filter("b is null").select(F.col("a").alias("h"))).distinct()
+    some = stage(inside.unionByName(met.filter("b is null").select(F.col("a").alias("h"))).distinct(), "crowded-ends")
     lines = stage(_marked(texts, some).filter("wanted").select("h", "n", "line").join(some, "h", "left_semi"), "crowded-lines")
 
     def finer(first: Column, deltas: range, second_own: bool) -> DataFrame:
@@ -213,7 +225,7 @@ def line_links(lines: DataFrame, repeated: DataFrame, k: int, crowded: int) -> D
     """(u, v) digests of different lines at most k edits apart, all of them."""
     texts = _distinct_texts(lines, repeated)
     pairs = stage(_pairs(texts, k, crowded), "line-pairs")
-    ends = pairs.select(F.col("a").alias("h")).unionByName(pairs.select(F.col("b").alias("h"))).distinct()
+    ends = stage(pairs.select(F.col("a").alias("h")).unionByName(pairs.select(F.col("b").alias("h"))).distinct(), "line-ends")
     bodies = _marked(texts, ends).filter("wanted").select("h", "n", "line").join(ends, "h", "left_semi")
     bodies = stage(bodies.withColumn("id", F.unhex(F.md5("line"))).withColumns(
         {f"c{i}": _letter_counts(F.col("line"), F.col("n"), x) for i, x in enumerate(COUNTED)}), "candidate-lines")
@@ -275,11 +287,16 @@ def deduplicate_lines(docs: DataFrame, k: int = 2, min_chars: int = 40, crowded:
         (F.col("doc") != F.col("keep_doc")) | (F.col("pos") != F.col("keep_pos")))
     per_doc = gone.groupBy("doc", "version").agg(
         F.collect_set("pos").alias("gone"), F.array_sort(F.collect_set("keep_doc")).alias("kept_in"))
+    per_doc = stage(per_doc, "removed-lines")
     # The row as one value: its columns can have any name.
     row, text = F.col("row"), F.col("row.text")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("doc"),
                        F.xxhash64(F.coalesce("text", F.lit(""))).alias("version"))
-    rows = rows.join(per_doc, ["doc", "version"], "left").withColumn("parts", F.split(text, "\n"))
+    # Only documents that can lose lines are shuffled, the others pass through.
+    rows = _marked(rows.withColumn("_key", F.xxhash64("doc", "version")), per_doc.select(F.xxhash64("doc", "version").alias("h")), "_key")
+    joined = rows.filter("wanted").join(per_doc, ["doc", "version"], "left")
+    untouched = rows.filter("not wanted").withColumns({c: F.lit(None).cast(per_doc.schema[c].dataType) for c in ("gone", "kept_in")})
+    rows = joined.unionByName(untouched).withColumn("parts", F.split(text, "\n"))
     # Both as columns of their own: inside a lambda an expression would be evaluated for every line.
     stay = F.array_except(F.sequence(F.lit(0), F.size("parts") - 1), "gone")
     rows = rows.withColumn("stay", stay)
