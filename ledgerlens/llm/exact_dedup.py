@@ -1,11 +1,12 @@
 """Exact document deduplication by content sort (DataFrame functions only).
 
-Sampled splitters range-partition the normalised bytes, an external sort places equal texts next
-to each other, and comparing neighbours over their full bytes forms the groups. The splitters
-compare the first bytes, the SHA-256 of the whole text and a salt, so that what is sampled per
-row is small however long the texts are, and so that a text that a third of all rows share is dealt
-over many ranges. The part of a group in one range is compared byte by byte; parts of one text in
-several ranges, at most one per salt, are stitched by the SHA-256 of the whole text.
+1. Texts that very many rows share are found by counting 64-bit hashes, reduced within tasks. Their rows become a few
+   entries each (best row and count per salt) before their text is shuffled; every other row is an entry.
+2. Entries are range-partitioned by their first normalised bytes; where very many texts begin alike, the splitters tell
+   them apart by the digest of the whole. Splitters are sampled from these short keys, however long the texts are.
+3. An external sort by the whole normalised bytes places equal entries side by side, and neighbours are compared over
+   the full bytes. Equal texts have equal keys, so no group spans two ranges. The best row of a group stays.
+4. The rows of the very frequent texts take over the group of their entries.
 """
 
 from __future__ import annotations
@@ -13,9 +14,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .tables import salt_of, stage
+from .tables import salt_count, stage
 
-HEAD_BYTES = 8
+#: Bytes that the splitters compare.
+HEAD_BYTES = 64
+#: No text is very frequent with fewer rows.
+FREQUENT = 64
+#: Entries that a very frequent text is reduced to, at most.
+ENTRIES = 16
 WHITESPACE = (" ", "\t", "\n", "\x0b", "\x0c", "\r")
 
 
@@ -27,33 +33,57 @@ def normalised(text: str | Column) -> Column:
     return out
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _better(n: str, ident: str) -> Column:
+    """A value that is smaller the better the row: most code points, then the smallest id, null last."""
+    return F.struct((-F.col(n)).alias("n"), F.col(ident).isNull().alias("none"), F.col(ident).alias("id"))
+
+
+def frequent_hashes(keyed: DataFrame, rows: int, least: int) -> DataFrame:
+    """Hashes that more rows have than half a partition's share, ``least`` at least: not more than 2 a partition."""
+    most = max(least, rows // (2 * salt_count(keyed.sparkSession)))
+    return stage(keyed.groupBy("h").count().filter(F.col("count") > most).select("h"), "frequent-texts")
+
+
+def sorted_groups(entries: DataFrame) -> DataFrame:
+    """``entries`` (id, n, size, norm, sha) with keep_n, keep_id, group_size and the ``place`` in their group, without norm:
+    range partition, sort and comparison of neighbours."""
+    equal = Window.partitionBy("head", "norm", "sha")  # in this order: sorted and compared by bytes, the digest last
+    best = equal.orderBy(F.desc("n"), F.asc_nulls_last("id"))
+    keyed = entries.withColumn("head", F.substring(F.col("norm").cast("binary"), 1, HEAD_BYTES))
+    return keyed.repartitionByRange("head", "sha").select(
+        *[c for c in entries.columns if c != "norm"], F.first("n").over(best).alias("keep_n"),
+        F.first("id").over(best).alias("keep_id"), F.sum("size").over(equal).alias("group_size"),
+        F.row_number().over(best).alias("place"))
+
+
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", frequent: int = FREQUENT) -> DataFrame:
     """One row per input row: (id, keep_id, group_size, kept, text_sha256).
 
     Of equal texts the row with the most code points in the original text, then the smallest id,
     stays. Null texts are empty texts, and all empty texts are one group. A null id sorts after
     all others. Of rows repeated with the same id and text exactly one is kept. An empty table
-    gives an empty result; further columns are ignored, whatever their names."""
-    spark = docs.sparkSession
-    ident = F.col(f"`{id_col}`")
+    gives an empty result; further columns are ignored, whatever their names. ``frequent`` changes the work, never the
+    result."""
     text = F.col(f"`{text_col}`")
-    keyed = docs.select(ident.alias("id"), F.char_length(F.coalesce(text, F.lit(""))).alias("n"),
-                        normalised(text).alias("norm"))
-    keyed = keyed.select(
-        "id", "n", "norm", F.sha2(F.col("norm").cast("binary"), 256).alias("sha"),
-        F.substring(F.col("norm").cast("binary"), 1, HEAD_BYTES).alias("head"), salt_of(spark, "id").alias("salt"))
-    equal = Window.partitionBy("head", "sha", "salt", "norm")
-    best_first = equal.orderBy(F.desc("n"), F.asc_nulls_last("id"))
-    local = keyed.repartitionByRange("head", "sha", "salt").select(
-        "id", "n", "sha", "salt", F.row_number().over(best_first).alias("place"),
-        F.count(F.lit(1)).over(equal).alias("size"))
-    local = stage(local, "content-sort")
-    parts = Window.partitionBy("sha")
-    part_first = parts.orderBy(F.desc("n"), F.asc_nulls_last("id"), "salt")
-    whole = local.filter("place = 1").select(
-        "sha", "salt", F.first("id").over(part_first).alias("keep_id"),
-        F.first("salt").over(part_first).alias("keep_salt"), F.sum("size").over(parts).alias("group_size"))
-    return local.join(whole, ["sha", "salt"]).select(
-        F.col("id").alias(id_col), "keep_id", "group_size",
-        ((F.col("place") == 1) & (F.col("salt") == F.col("keep_salt"))).alias("kept"),
-        F.col("sha").alias("text_sha256"))
+    keyed = docs.select(F.col(f"`{id_col}`").alias("id"), F.char_length(F.coalesce(text, F.lit(""))).alias("n"),
+                        normalised(text).alias("norm")).withColumn("h", F.xxhash64("norm"))
+    sha = F.sha2(F.col("norm").cast("binary"), 256).alias("sha")
+    often = F.broadcast(frequent_hashes(keyed, docs.count(), frequent))  # at most 2 rows a partition
+    single = keyed.join(often, "h", "left_anti").select(
+        "id", "n", F.lit(1).cast("long").alias("size"), "norm", sha, F.lit(False).alias("many"))
+    # Rows of the frequent texts, without the texts.
+    crowd = stage(keyed.join(often, "h").select("id", "n", sha, F.monotonically_increasing_id().alias("row")), "frequent-rows")
+    salt = F.pmod(F.xxhash64("id"), F.lit(ENTRIES))
+    reduced = keyed.join(often, "h").groupBy("norm", salt.alias("salt")).agg(
+        F.min(_better("n", "id")).alias("best"), F.count(F.lit(1)).alias("size"))
+    reduced = reduced.select(F.col("best.id").alias("id"), (-F.col("best.n")).alias("n"), "size", "norm", sha, F.lit(True).alias("many"))
+    groups = stage(sorted_groups(single.unionByName(reduced)), "content-sort")
+    few = groups.filter("not many").select("id", "keep_id", "group_size", (F.col("place") == 1).alias("kept"), "sha")
+    heads = groups.filter("many and place = 1").select("sha", "keep_id", "keep_n", "group_size")  # one row a frequent text
+    named = crowd.join(F.broadcast(heads), "sha")
+    best = F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("n") == F.col("keep_n"))
+    stays = named.filter(best).groupBy("sha").agg(F.min("row").alias("stay"))
+    many = named.join(F.broadcast(stays), "sha").select(
+        "id", "keep_id", "group_size", (F.col("row") == F.col("stay")).alias("kept"), "sha")
+    return few.unionByName(many).select(
+        F.col("id").alias(id_col), "keep_id", "group_size", "kept", F.col("sha").alias("text_sha256"))

@@ -39,9 +39,10 @@ def groups_of(pairs, nodes):
     return {n: find(n) for n in nodes}
 
 
-def test_exact_groups_awkward(spark):
+@pytest.mark.parametrize("frequent", [64, 1])
+def test_exact_groups_awkward(spark, frequent):
     rows = {}
-    for r in exact_dedup.exact_groups(docs(spark, AWKWARD)).collect():
+    for r in exact_dedup.exact_groups(docs(spark, AWKWARD), frequent=frequent).collect():
         rows.setdefault(r.doc_id, []).append(r)
     strip = str.maketrans("", "", " \t\n\x0b\x0c\r")
     for i, t in AWKWARD:
@@ -217,7 +218,24 @@ def test_operators_stay_native(spark):
         assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
 
 
-def test_exact_dedup_sorts_ranges_without_another_text_shuffle(spark):
-    out = spark.createDataFrame([(1, "a")], "doc_id long, text string")
-    keyed = out.select("doc_id", exact_dedup.normalised("text").alias("n"))
-    assert np.array_equal([r.n for r in keyed.collect()], ["a"])
+def test_exact_groups_come_from_neighbours_in_one_range_sort(spark):
+    """Every group, also one of many rows, is one stretch of the sort; its text is not dealt by a digest or a hash."""
+    texts = [f"{'same beginning ' * 9}{i % 700}" for i in range(1500)] + ["hot"] * 900
+    entries = spark.createDataFrame([(i, len(t), 1, t, hashlib.sha256(t.encode()).hexdigest()) for i, t in enumerate(texts)],
+                                    "id long, n int, size long, norm string, sha string").repartition(6)
+    out = exact_dedup.sorted_groups(entries)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("rangepartitioning(head") == 1 and "hashpartitioning" not in plan
+    first = {r.keep_id: r.group_size for r in out.filter("place = 1").collect()}
+    assert len(first) == 701 and first[1500] == 900 and first[0] == 3
+    whole = exact_dedup.exact_groups(entries.select(F.col("id").alias("doc_id"), F.col("norm").alias("text")), frequent=2)
+    got = {(r.keep_id, r.group_size) for r in whole.filter("kept").collect()}
+    assert got == set(first.items()) and whole.count() == 2400
+    hot = exact_dedup.stage  # the frequent text itself is at most ENTRIES entries
+    sizes = []
+    try:
+        exact_dedup.stage = lambda df, name: sizes.append((name, df.count())) or hot(df, name)
+        exact_dedup.exact_groups(entries.select(F.col("id").alias("doc_id"), F.col("norm").alias("text"))).count()
+    finally:
+        exact_dedup.stage = hot
+    assert dict(sizes)["content-sort"] <= 1500 + exact_dedup.ENTRIES and dict(sizes)["frequent-rows"] == 900
