@@ -15,8 +15,8 @@ The first occurrence of a class, by document id and position, stays; the others
   beside the shared segment is cut into k + 1 segments again, so that pairs must share two of
   them, and their letter counts must differ by at most 2k in all, which k edits cannot exceed.
 
-Line texts are not shuffled but for repeated lines and candidates, probes only where they hit a segment, documents
-only where lines go. All are picked out during the scan by a bitmap of bounded size over the hashes wanted; false
+Different lines are written once, tightly compressed, as several steps read them. Line texts are not shuffled but for
+repeated lines and candidates, probes only where they hit a segment, documents only where lines go. All are picked out during the scan by a bitmap of bounded size over the hashes wanted; false
 positives only cost time, as exact joins follow.
 """
 
@@ -54,8 +54,8 @@ def _bitmap(keys: DataFrame, bits: int) -> DataFrame:
 
 
 def bitmap_bits(keys: int) -> int:
-    """A power of two of 16 bits a key or more, from 2 ** 20 to BITMAP_BITS."""
-    return min(BITMAP_BITS, 1 << max(20, (16 * keys - 1).bit_length()))
+    """A power of two of 8 bits a key or more, from 2 ** 20 to BITMAP_BITS."""
+    return min(BITMAP_BITS, 1 << max(20, (8 * keys - 1).bit_length()))
 
 
 def _marked(rows: DataFrame, keys: DataFrame, by: str = "h") -> DataFrame:
@@ -223,7 +223,7 @@ def _same(index: DataFrame, close: Column) -> DataFrame:
 
 def line_links(lines: DataFrame, repeated: DataFrame, k: int, crowded: int) -> DataFrame:
     """(u, v) digests of different lines at most k edits apart, all of them."""
-    texts = _distinct_texts(lines, repeated)
+    texts = stage(_distinct_texts(lines, repeated), "line-texts", "zstd")
     pairs = stage(_pairs(texts, k, crowded), "line-pairs")
     ends = stage(pairs.select(F.col("a").alias("h")).unionByName(pairs.select(F.col("b").alias("h"))).distinct(), "line-ends")
     bodies = _marked(texts, ends).filter("wanted").select("h", "n", "line").join(ends, "h", "left_semi")

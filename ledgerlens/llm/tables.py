@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from ..session import materialize
+from ..session import materialize, scratch_path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,10 +19,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
+def stage(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and read it back: later steps start there,
-    also after an executor is lost."""
-    return materialize(df, f"llm-{name}")
+    also after an executor is lost. ``compression`` is the codec, by default the session's."""
+    if compression is None:
+        return materialize(df, f"llm-{name}")
+    path = scratch_path(df.sparkSession, f"llm-{name}")
+    df.write.option("compression", compression).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def salt_count(spark: SparkSession) -> int:
