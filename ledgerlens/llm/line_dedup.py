@@ -257,18 +257,21 @@ def line_classes(docs: DataFrame, k: int = 2, min_chars: int = 40, crowded: int
     lines = lines_of(docs, least)
     places = stage(lines.select("doc", "version", "pos", "n", "h", "id"), "lines")
     nodes = stage(places.groupBy("id").agg(
-        F.first("h").alias("h"), F.first("n").alias("n"), F.min(F.struct("doc", "pos")).alias("least"),
+        F.first("h").alias("h"), F.first("n").alias("n"), F.min("doc").alias("least"),
         F.count(F.lit(1)).alias("times")), "distinct-lines")
     long = F.col("n") >= min_chars
     links = line_links(lines.filter(long), nodes.filter(long & (F.col("times") > 1)).select("h"), k, crowded)
     roots = components(links)
-    rooted = nodes.join(roots, nodes["id"] == roots["node"], "left").select(
-        "id", "least", "times", F.coalesce("root", "id").alias("root"))
-    repeated = rooted.groupBy("root").agg(F.min("least").alias("keep"), F.sum("times").alias("times")).filter("times > 1")
-    keep = rooted.select("id", "root").join(repeated, "root").select(
-        "id", F.col("keep.doc").alias("keep_doc"), F.col("keep.pos").alias("keep_pos"))
-    return salted_lookup(places.select("doc", "version", "pos", "n", "id"), keep, "id", "doc").filter(
-        F.col("keep_doc").isNotNull()).select("doc", "version", "pos", "n", "keep_doc", "keep_pos")
+    # A line that stands once and has no link is no class.
+    rooted = nodes.join(roots, nodes["id"] == roots["node"], "left").filter("times > 1 or root is not null").select(
+        "id", "h", "least", "times", F.coalesce("root", "id").alias("root"))
+    repeated = rooted.groupBy("root").agg(F.min("least").alias("keep_doc"), F.sum("times").alias("times")).filter("times > 1")
+    keep = stage(rooted.select("id", "h", "root").join(repeated.select("root", "keep_doc"), "root"), "repeated-classes")
+    found = _marked(places, keep.select("h")).filter("wanted").select("doc", "version", "pos", "n", "id")
+    found = salted_lookup(found, keep.select("id", "root", "keep_doc"), "id", "doc").filter(F.col("keep_doc").isNotNull())
+    found = stage(found.select("doc", "version", "pos", "n", "root", "keep_doc"), "repeated-places")
+    first = found.filter(F.col("doc") == F.col("keep_doc")).groupBy("root").agg(F.min("pos").alias("keep_pos"))
+    return salted_lookup(found, first, "root", "doc").select("doc", "version", "pos", "n", "keep_doc", "keep_pos")
 
 
 def deduplicate_lines(docs: DataFrame, k: int = 2, min_chars: int = 40, crowded: int = 16,
