@@ -128,9 +128,27 @@ def i08_compare_named(spark, d):
     return I.compare(sales(spark, d), "category", "small", "ECONOMY", aliases={"small": "SMALL"})
 
 
-@register("i09_recommendations")
+@register("i09_recommendations", """
+WITH city AS (SELECT city AS key, CAST(sum(revenue) AS DOUBLE) AS revenue, CAST(sum(orders) AS DOUBLE) AS orders FROM sales
+              WHERE city IS NOT NULL GROUP BY city),
+category AS (SELECT category AS key, avg(CAST(margin_pct AS DOUBLE)) AS margin FROM sales WHERE category IS NOT NULL GROUP BY category),
+discount AS (SELECT CAST(discount AS VARCHAR) AS key, CAST(sum(revenue) AS DOUBLE) / count(revenue) AS revenue FROM sales
+             WHERE discount IS NOT NULL GROUP BY discount),
+promo AS (SELECT promo AS key, CAST(sum(revenue) AS DOUBLE) / count(revenue) AS revenue FROM sales GROUP BY promo),
+lift AS (SELECT CASE WHEN n.revenue > 0 THEN (y.revenue - n.revenue) / n.revenue * 100 ELSE 0 END AS v
+         FROM promo y, promo n WHERE y.key = 'Yes' AND n.key = 'No'),
+facts AS (
+SELECT 1 AS rank, 'investigate_city' AS fact, (SELECT key FROM city ORDER BY revenue, key DESC LIMIT 1) AS subject, CAST(NULL AS DOUBLE) AS value, '' AS unit
+WHERE (SELECT count(*) FROM city) > 1
+UNION ALL SELECT 2, 'review_margin_category', (SELECT key FROM category ORDER BY margin, key DESC LIMIT 1), NULL, ''
+WHERE (SELECT count(*) FROM category) > 1
+UNION ALL SELECT 3, 'standardize_discount', key, CAST(key AS DOUBLE), 'pct' FROM (SELECT key FROM discount ORDER BY revenue DESC, key LIMIT 1)
+UNION ALL SELECT 4, 'low_value_city', (SELECT key FROM city WHERE orders <> 0 ORDER BY revenue / orders, key LIMIT 1), NULL, ''
+UNION ALL SELECT 5, 'expand_promo', 'Yes', v, 'pct' FROM lift WHERE v > 5)
+SELECT rank, fact, subject, round(value, 6) AS value, unit FROM facts
+""")
 def i09_recommendations(spark, d):
-    return I.recommendations(sales(spark, d))
+    return rnd(I.recommendations(sales(spark, d)).drop("sentence"), "value")
 
 
 @register("i10_persona_manager")
@@ -208,9 +226,21 @@ def i14_highlights(spark, d):
     return I.highlights(I.report_kpis(s), I.report_rankings(s))
 
 
-@register("i16_boxplot_insights_price")
+@register("i16_boxplot_insights_price", """
+WITH b AS (SELECT CAST(current_price AS DOUBLE) AS v FROM sales WHERE current_price IS NOT NULL),
+s AS (SELECT count(v) AS n, avg(v) AS mean, skewness(v) AS skew, quantile_cont(v, 0.25) AS q1, quantile_cont(v, 0.5) AS median,
+             quantile_cont(v, 0.75) AS q3 FROM b),
+o AS (SELECT count(*) AS outlier_count FROM b, s WHERE v < q1 - 1.5 * (q3 - q1) OR v > q3 + 1.5 * (q3 - q1)),
+r AS (SELECT *, CASE WHEN mean <> 0 THEN (q3 - q1) / mean * 100 ELSE 0 END AS ratio FROM s, o)
+SELECT round(median, 6) AS median, round(skew, 6) AS skew,
+       CASE WHEN skew > 0.3 THEN 'positively skewed (right-tailed)' WHEN skew < -0.3 THEN 'negatively skewed (left-tailed)'
+            ELSE 'fairly symmetric' END AS skew_word,
+       round(ratio, 6) AS iqr_to_mean_pct, CASE WHEN ratio > 60 THEN 'high' WHEN ratio > 25 THEN 'moderate' ELSE 'low' END AS variability,
+       outlier_count, round(outlier_count * 100.0 / n, 6) AS outlier_pct, round(q1, 6) AS q1, round(q3, 6) AS q3 FROM r
+""")
 def i16_boxplot_insights_price(spark, d):
-    return I.boxplot_insights(boxplot_stats(sales(spark, d), "current_price"))
+    return rnd(I.boxplot_insights(boxplot_stats(sales(spark, d), "current_price")), "median", "skew", "iqr_to_mean_pct",
+               "outlier_pct", "q1", "q3")
 
 
 @register("j01_sla_stats_events", """
@@ -225,9 +255,18 @@ def j01_sla_stats_events(spark, d):
     return rnd(J.sla_stats(table(spark, d, "events"), "value", 10.0, 2.0), "avg", "on_time_pct", "p50", "p90")
 
 
-@register("j01_sla_histogram_events")
+@register("j01_sla_histogram_events", """
+WITH b AS (SELECT CAST(value AS DOUBLE) AS v FROM events WHERE value IS NOT NULL AND NOT isnan(value)),
+r AS (SELECT min(v) AS lo, max(v) AS hi FROM b),
+c AS (SELECT CASE WHEN hi = lo THEN 0 ELSE least(CAST(floor((v - lo) / ((hi - lo) / 12)) AS INTEGER), 11) END AS bin,
+             count(*) AS count FROM b, r GROUP BY 1),
+s AS (SELECT CAST(unnest(range(0, 12)) AS INTEGER) AS bin),
+e AS (SELECT s.bin, lo + s.bin * ((hi - lo) / 12) AS bin_start, CASE WHEN s.bin = 11 THEN hi ELSE lo + (s.bin + 1) * ((hi - lo) / 12) END AS bin_end,
+             coalesce(c.count, 0) AS count FROM s CROSS JOIN r LEFT JOIN c ON s.bin = c.bin)
+SELECT bin, round(bin_start, 6) AS bin_start, round(bin_end, 6) AS bin_end, count, round((bin_start + bin_end) / 2, 6) AS center FROM e
+""", with_sales=False)
 def j01_sla_histogram_events(spark, d):
-    return J.sla_histogram(table(spark, d, "events"), "value", 12)
+    return rnd(J.sla_histogram(table(spark, d, "events"), "value", 12), "bin_start", "bin_end", "center")
 
 
 @register("j02_days_of_cover", """

@@ -157,7 +157,29 @@ def d08_capabilities(spark, d):
     return S.evaluate_capabilities(_sem(spark, d))
 
 
-@register("d09_detect_domain")
+def _names_sql(tables: dict[str, list[str]]) -> str:
+    """The column names of some tables as rows (table, position, column)."""
+    rows = ", ".join(f"('{t}', {i}, '{c}')" for t, cols in tables.items() for i, c in enumerate(cols))
+    return f"""(SELECT * FROM (VALUES {rows}) v("table", position, "column"))"""
+
+
+def _domain_sql() -> str:
+    names = _names_sql({t: [lake_name(c) for c, _ in cols] for t, cols in LAKE_SCHEMA.items()})
+    words = ", ".join(f"({i}, '{d}', '{k}', {weight})" for i, (d, (strong, own)) in enumerate(S.DOMAIN_SIGNATURES.items())
+                      for weight, keys in ((2, strong), (1, own)) for k in keys)
+    return f"""
+WITH names AS (SELECT "table", string_agg(lower("column"), ' ' ORDER BY position) AS cols FROM {names} GROUP BY "table"
+               UNION ALL SELECT 'sales', lower(array_to_string([column_name FOR column_name IN (
+                   SELECT list(column_name) FROM (DESCRIBE sales))], ' '))),
+words AS (SELECT * FROM (VALUES {words}) v(di, domain, word, weight)),
+scores AS (SELECT "table", di, domain, sum(CASE WHEN contains(cols, word) THEN weight ELSE 0 END) * 1.0::DOUBLE / sum(weight) AS score
+           FROM names, words GROUP BY "table", di, domain),
+best AS (SELECT * FROM scores QUALIFY row_number() OVER (PARTITION BY "table" ORDER BY score DESC, di) = 1)
+SELECT "table", CASE WHEN score > 0 AND score >= {S.DOMAIN_MIN_CONFIDENCE} THEN domain ELSE 'general_business' END AS domain,
+       round_even(least(score, 1.0), 2) AS confidence FROM best"""
+
+
+@register("d09_detect_domain", _domain_sql())
 def d09_detect_domain(spark, d):
     tabs = dict(lake(spark, d))
     tabs["sales"] = sales(spark, d)
@@ -208,7 +230,20 @@ def d14_trust_score(spark, d):
     return Q.trust_score(Q.quality_findings(df), comp["can_import"], comp["required_missing"])
 
 
-@register("d15_compatibility")
+def _compatibility_sql() -> str:
+    optional = Q.OPTIONAL_DELIVERY_COLS + Q.OPTIONAL_OPERATIONS_COLS + ["Influencer Active"]
+    expected = ", ".join(f"('{c}', '{kind}', {start + i})" for kind, start, cols in (
+        ("required", 0, Q.REQUIRED_COLUMNS), ("optional", 100, optional)) for i, c in enumerate(cols))
+    return f"""
+WITH names AS (SELECT "table", "column" FROM {_names_sql({"sales_reference": list(_REF_ROLES)})}
+               UNION ALL SELECT 'sales', unnest((SELECT list(column_name) FROM (DESCRIBE sales)))),
+tables AS (SELECT DISTINCT "table" FROM names), expected AS (SELECT * FROM (VALUES {expected}) v(expected, kind, ord)),
+grid AS (SELECT t."table", e.*, EXISTS (SELECT 1 FROM names n WHERE n."table" = t."table" AND n."column" = e.expected) AS detected
+         FROM tables t, expected e)
+SELECT *, min(CASE WHEN kind = 'required' THEN detected::INTEGER END) OVER (PARTITION BY "table") = 1 AS can_import FROM grid"""
+
+
+@register("d15_compatibility", _compatibility_sql())
 def d15_compatibility(spark, d):
     tabs = {"sales_reference": _reference_named(spark, d), "sales": sales(spark, d)}
     return Q.compatibility_table(P.column_catalogue(tabs))
