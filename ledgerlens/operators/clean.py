@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.expr import is_float, is_numeric, is_temporal, nan_to_null, parse_dates, qcol
+from ..session import checkpointed
 from ._common import SALES, SalesCols, one_row
 from .aggregate import add_price_tier
-from .quantiles import median_row
+from .fills import Fills, fill_facts, present
 
 
 # ---------------------------------------------------------------- K06 - K08
@@ -53,59 +54,46 @@ def coerce_numeric(df: DataFrame, cols: list[str]) -> DataFrame:
                         else qcol(c).cast("double")).alias(c) if c in todo else qcol(c) for c in df.columns])
 
 
-def impute_median(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
-    """Fill missing (null / NaN) numeric values with the column's exact interpolated median;
-    all medians come from one distributed sort (``exact_quantiles``). An integer or decimal
-    column with missing values becomes double, as its median may lie between two values."""
-    cols = cols if cols is not None else [f.name for f in df.schema.fields if is_numeric(f.dataType)]
-    if not cols:
+def impute(df: DataFrame, numeric: list[str], text: list[str], trim: bool = True, facts: Fills | None = None) -> DataFrame:
+    """C03 and C04 together: missing (null / NaN) values of ``numeric`` become the column's exact interpolated
+    median, those of ``text`` its mode (ties -> smallest), then texts are trimmed. All values come from the two
+    scans of ``fill_facts`` (or from ``facts``, made before). A column without any value stays empty. An
+    integer or decimal column with missing values becomes double, as its median may lie between two values."""
+    if not numeric and not text:
         return df
-    med = median_row(df, cols).select(*[F.col(c).alias(f"_med_{i}") for i, c in enumerate(cols)])
-    j = df.crossJoin(one_row(med))
-    idx = {c: i for i, c in enumerate(cols)}
-    whole = [f.name for f in df.schema.fields if f.name in idx and not is_float(f.dataType)]
-    some = df.agg(*[F.coalesce(F.max(qcol(c).isNull()), F.lit(False)) for c in whole]).first() if whole else ()
-    widened = {c for c, missing in zip(whole, some) if missing}
+    facts = facts or fill_facts(df, numeric, text)
     out = []
     for f in df.schema.fields:
-        if f.name in idx:
-            v = nan_to_null(qcol(f.name)) if is_float(f.dataType) else qcol(f.name)
-            kind = T.DoubleType() if f.name in widened else f.dataType
-            out.append(F.coalesce(v.cast(kind), F.col(f"_med_{idx[f.name]}").cast(kind)).alias(f.name))
-        else:
-            out.append(qcol(f.name))
-    return j.select(*out)
+        v = qcol(f.name)
+        if f.name in numeric:
+            kind = f.dataType if is_float(f.dataType) or not facts.missing[f.name] else T.DoubleType()
+            v = present(df, f.name).cast(kind)
+            if f.name in facts.medians:
+                v = F.coalesce(v, F.lit(facts.medians[f.name]).cast(kind))
+        elif f.name in text:
+            if f.name in facts.modes:
+                v = F.coalesce(v, F.lit(facts.modes[f.name]))
+            v = F.trim(v) if trim else v
+        out.append(v.alias(f.name))
+    return df.select(*out)
+
 
+def numeric_columns(df: DataFrame) -> list[str]:
+    return [f.name for f in df.schema.fields if is_numeric(f.dataType)]
 
-def modes(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Most frequent non-null value per column (ties -> smallest), one row per column.
 
-    Two-stage distributed aggregation: count per (column, value), then ``min_by`` over
-    (-count, value) per column; no task holds a whole column's value map.
-    """
-    parts = [F.struct(F.lit(c).alias("k"), qcol(c).cast("string").alias("v")) for c in cols]
-    long = df.select(F.explode(F.array(*parts)).alias("s")).select("s.k", "s.v").filter(F.col("v").isNotNull())
-    cnt = long.groupBy("k", "v").agg(F.count(F.lit(1)).alias("n"))
-    return cnt.groupBy("k").agg(F.min_by("v", F.struct(-F.col("n"), F.col("v"))).alias("mode"))
+def text_columns(df: DataFrame) -> list[str]:
+    return [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
+
+
+def impute_median(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
+    """``impute`` for numeric columns (all by default)."""
+    return impute(df, cols if cols is not None else numeric_columns(df), [])
 
 
 def impute_mode(df: DataFrame, cols: list[str] | None = None, trim: bool = True) -> DataFrame:
-    """Fill missing text values with the column mode (ties -> smallest), then trim."""
-    cols = cols if cols is not None else [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
-    if not cols:
-        return df
-    m = modes(df, cols)
-    wide = m.agg(*[F.max(F.when(F.col("k") == c, F.col("mode"))).alias(f"_mode_{i}") for i, c in enumerate(cols)])
-    j = df.crossJoin(one_row(wide))
-    idx = {c: i for i, c in enumerate(cols)}
-    out = []
-    for c in df.columns:
-        if c in idx:
-            v = F.coalesce(qcol(c), F.col(f"_mode_{idx[c]}"))
-            out.append((F.trim(v) if trim else v).alias(c))
-        else:
-            out.append(qcol(c))
-    return j.select(*out)
+    """``impute`` for text columns (all by default)."""
+    return impute(df, [], cols if cols is not None else text_columns(df), trim)
 
 
 # ---------------------------------------------------------------- C05 - C09
@@ -176,8 +164,7 @@ def clean_sales(df: DataFrame, cols: SalesCols = SALES, alias_map: dict[str, str
     out = drop_empty_rows(trim_column_names(df))
     numeric = [c for c in (k.original, k.price, k.discount, k.orders, k.revenue) if c in out.columns]
     out = coerce_numeric(out, numeric)
-    out = impute_median(out)
-    out = impute_mode(out)
+    out = impute(out, numeric_columns(out), text_columns(out))
     if k.city in out.columns:
         out, _ = standardize_aliases(out, k.city, alias_map)
     out = add_profit(out, k.price, k.original, k.orders, k.profit)
@@ -220,35 +207,25 @@ def clean_by_role(df: DataFrame, roles: dict[str, str]) -> tuple[DataFrame, Data
     spark = df.sparkSession
     log: list[tuple[str, str | None, int]] = []
     before = df.count()
-    out = dedupe(df)
-    after = out.count()
-    if before != after:
-        log.append(("removed_duplicates", None, before - after))
-    out = trim_column_names(out)
+    out = trim_column_names(checkpointed(dedupe(df)))  # made once, read by the scans below
     roles = {k.strip(): v for k, v in roles.items()}
-    empty = empty_columns(out)
-    if empty:
-        out = out.drop(*empty)
-        log += [("dropped_empty_column", c, 0) for c in empty]
     types = dict(out.dtypes)
-    measures = [c for c, r in roles.items() if r == "Measure" and c in out.columns
-                and is_numeric(out.schema[c].dataType)]
-    dims = [c for c, r in roles.items() if r == "Dimension" and c in out.columns and types[c] == "string"]
-    dates = [c for c, r in roles.items() if r == "Date" and c in out.columns]
-    miss_cols = measures + dims
-    if miss_cols:
-        miss = out.agg(*[F.count(F.when(qcol(c).isNull() | (F.isnan(qcol(c)) if is_float(out.schema[c].dataType)
-                                                              else F.lit(False)), 1)).alias(c)
-                         for c in miss_cols]).first()
-        log += [("imputed_median", c, miss[c]) for c in measures if miss[c]]
-        log += [("filled_mode", c, miss[c]) for c in dims if miss[c]]
-        if measures:
-            out = impute_median(out, measures)
-        if dims:
-            out = impute_mode(out, dims, trim=True)
-    if dates:
-        out, rep = standardize_dates(out, [c for c in dates if not is_temporal(out.schema[c].dataType)] or dates)
-        log += [("parsed_dates", r["column"], r["newly_null"]) for r in rep.collect() if r["newly_null"]]
+    having = {role: [c for c, r in roles.items() if r == role and c in types] for role in ("Measure", "Dimension", "Date")}
+    measures = [c for c in having["Measure"] if is_numeric(out.schema[c].dataType)]
+    dims = [c for c in having["Dimension"] if types[c] == "string"]
+    dates = [c for c in having["Date"] if not is_temporal(out.schema[c].dataType)] or having["Date"]
+    parsed = {c: parse_dates(qcol(c), out.schema[c].dataType) for c in dates}
+    facts = fill_facts(out, measures, dims, count=out.columns,
+                       extra={c: qcol(c).isNotNull() & p.isNull() for c, p in parsed.items()})
+    if before != facts.rows:
+        log.append(("removed_duplicates", None, before - facts.rows))
+    empty = [c for c in out.columns if facts.missing[c] == facts.rows]
+    log += [("dropped_empty_column", c, 0) for c in empty]
+    log += [("imputed_median", c, facts.missing[c]) for c in measures if facts.missing[c] and c not in empty]
+    log += [("filled_mode", c, facts.missing[c]) for c in dims if facts.missing[c] and c not in empty]
+    out = impute(out, measures, dims, True, facts)
+    out = out.select(*[parsed[c].alias(c) if c in parsed else qcol(c) for c in out.columns if c not in empty])
+    log += [("parsed_dates", c, n) for c, n in facts.extra.items() if n]
     if not log:
         log.append(("no_changes", None, 0))
     return out, spark.createDataFrame(log, "step string, column string, count long")
@@ -284,8 +261,7 @@ def apply_fixes(df: DataFrame, selected: set[str], colmap: dict[str, str] | None
         if pairs:
             log.append(("city_std", ", ".join(pairs)))
     if "fill_missing" in selected:
-        out = impute_median(out)
-        out = impute_mode(out, trim=False)
+        out = impute(out, numeric_columns(out), text_columns(out), trim=False)
         log.append(("fill_missing", "median for numeric, most-common for text"))
     for sid in sorted(s for s in selected if s.startswith("cat_std::")):
         leader = sid.split("::", 1)[1]

@@ -36,7 +36,7 @@ def _long(df: DataFrame, cols: list[str], by: str | None) -> DataFrame:
             .filter(F.col("v").isNotNull() & ~F.isnan("v")))
 
 
-def _pick(rows: DataFrame, targets: DataFrame, keys: list[str]) -> DataFrame:
+def pick_ranks(rows: DataFrame, targets: DataFrame, keys: list[str]) -> DataFrame:
     """Exact order statistics of ``rows`` (keys..., v, c: how often; v null: below the bracket).
     ``targets`` has keys..., lo, hi, frac with 0-based ranks per key group (``keys`` ends with "p");
     returns keys..., value (null if the bracket missed)."""
@@ -80,12 +80,12 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float], by: str
     inside = F.when(F.col("v") >= F.col("b_lo"), F.col("v")).alias("v")
     counts = j.select(*gkeys, "p", inside).groupBy(*gkeys, "p", "v").agg(F.count(F.lit(1)).alias("c"))
     wanted = targets.select(*gkeys, "p", "lo", "hi", "frac")
-    res = checkpointed(_pick(counts, wanted, gkeys + ["p"]))  # one row per (column[, group], p)
+    res = checkpointed(pick_ranks(counts, wanted, gkeys + ["p"]))  # one row per (column[, group], p)
     missed = res.filter(F.col("value").isNull())
     if not missed.isEmpty():
         again = wanted.join(missed.select(*gkeys, "p"), gkeys + ["p"], "left_semi")
         rows = long.join(again.select(*gkeys, "p"), gkeys).groupBy(*gkeys, "p", "v").agg(F.count(F.lit(1)).alias("c"))
-        res = res.filter(F.col("value").isNotNull()).unionByName(_pick(rows, again, gkeys + ["p"]))
+        res = res.filter(F.col("value").isNotNull()).unionByName(pick_ranks(rows, again, gkeys + ["p"]))
     out = res.select(F.col("k").alias("column"), "p", *(["_g"] if by else []), "value")
     return out.withColumnRenamed("_g", by) if by else out
 
