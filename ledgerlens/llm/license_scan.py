@@ -24,20 +24,21 @@ PHRASES = (
     ("mit license", "mit"),
 )
 
-#: Notices searched with errors: (label, words).
+#: Notices searched with errors: (label, words[, exact]). ``exact`` are words that tell the notice from its
+#: neighbours, which are fewer edits away than the notice may be off; a variant must have them unedited.
 NOTICES = (
     ("gpl", "gnu general public license"),
-    ("gpl-3", "licensed under the gnu general public license version 3"),
-    ("lgpl", "gnu lesser general public license"),
+    ("gpl-3", "licensed under the gnu general public license version 3", "3"),
+    ("lgpl", "gnu lesser general public license", "lesser"),
     ("apache", "licensed under the apache license"),
-    ("apache-2", "licensed under the apache license version 2 0"),
-    ("mit", "released under the mit license"),
+    ("apache-2", "licensed under the apache license version 2 0", "2"),
+    ("mit", "released under the mit license", "mit"),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy"),
     ("bsd", "redistribution and use in source and binary forms with or without modification"),
-    ("mpl-2", "subject to the terms of the mozilla public license"),
+    ("mpl-2", "subject to the terms of the mozilla public license", "mozilla"),
     ("cc-by", "licensed under a creative commons attribution"),
-    ("cc-by-nc", "licensed under cc by nc 4 0"),
-    ("cc-by-sa", "licensed under cc by sa 4 0"),
+    ("cc-by-nc", "licensed under cc by nc 4 0", "nc"),
+    ("cc-by-sa", "licensed under cc by sa 4 0", "sa"),
     ("public-domain", "released into the public domain"),
     ("all-rights-reserved", "all rights reserved"),
 )
@@ -52,18 +53,22 @@ class Notice:
     label: str
     words: bytes
     edits: int
+    exact: bytes  # words that every variant has, or none
     seeds: tuple[tuple[int, bytes], ...]  # (offset in the notice, exact piece)
+    grams: tuple[bytes, ...]  # its trigrams; an edit changes at most three
+    least: int  # so many of them stand in every variant
     first: regex.Pattern  # any variant, from the left
     best: regex.Pattern  # the variant with the fewest edits
 
     @staticmethod
-    def of(label: str, words: str) -> Notice:
+    def of(label: str, words: str, exact: str = "") -> Notice:
         raw = words.encode()
         edits = max(1, len(raw) // 10)
         cuts = [len(raw) * i // (edits + 1) for i in range(edits + 2)]
         seeds = tuple((a, raw[a:b]) for a, b in zip(cuts, cuts[1:]))
+        grams = tuple(raw[i:i + 3] for i in range(len(raw) - 2))
         fuzzy = rb"(?<![^ ])(?:%s){e<=%d}(?![^ ])" % (regex.escape(raw, literal_spaces=True), edits)
-        return Notice(label, raw, edits, seeds, regex.compile(fuzzy), regex.compile(rb"(?b)" + fuzzy))
+        return Notice(label, raw, edits, exact.encode(), seeds, grams, len(grams) - 3 * edits, regex.compile(fuzzy), regex.compile(rb"(?b)" + fuzzy))
 
 
 def normalised(text: str | None) -> bytes:
@@ -134,14 +139,29 @@ def _variants(words: bytes, notice: Notice, a: int, b: int) -> list[tuple[int, i
     return out
 
 
+def _has(words: bytes, exact: bytes, a: int, b: int) -> bool:
+    """Whether whole words stand in a stretch of whole words."""
+    return not exact or b" " + exact + b" " in b" " + words[a:b].strip() + b" "
+
+
+def _enough(window: bytes, notice: Notice) -> bool:
+    """Whether as many trigrams of the notice stand in a stretch as any variant keeps."""
+    return notice.least <= 0 or sum(g in window for g in notice.grams) >= notice.least
+
+
 def notice_spans(words: bytes, notice: Notice) -> list[tuple[int, int, int]]:
-    """(start byte, end byte, edits) of the notice's variants, in order and without overlaps."""
+    """(start byte, end byte, edits) of the notice's variants, in order and without overlaps. Of overlapping
+    ones the best counts, and only if it has the notice's exact words; windows without these, or with fewer of the notice's trigrams than
+    every variant has, aren't searched."""
     out, end = [], 0
     for a, b in _windows(words, notice):
         # Whole words at both ends, so that the pattern sees the true neighbours.
         a = max(words.rfind(b" ", 0, max(a, end)) + 1 if a else 0, end)
-        found = _variants(words, notice, a, _word_end(words, b))
-        out += found
+        b = _word_end(words, b)
+        if not _has(words, notice.exact, a, b) or not _enough(words[a:b], notice):
+            continue
+        found = _variants(words, notice, a, b)
+        out += [f for f in found if _has(words, notice.exact, f[0], f[1])]
         end = found[-1][1] + 1 if found else end
     return out
 
@@ -158,7 +178,7 @@ def _scan(text: str | None, phrases: list[tuple[bytes, str]], notices: list[Noti
                 base.add(label)
     found = []
     for notice in notices:
-        if any(seed in words for _, seed in notice.seeds):
+        if notice.exact in words and any(seed in words for _, seed in notice.seeds):
             for a, b, edits in notice_spans(words, notice):
                 first = words.count(b" ", 0, a)
                 found.append((notice.label, first, first + words.count(b" ", a, b) + 1, edits,
@@ -186,7 +206,7 @@ def scan(docs: DataFrame, phrases: tuple = PHRASES, notices: tuple = NOTICES, id
     empty table gives an empty result; further columns are ignored."""
     def make():
         exact = [(p.encode(), label) for p, label in phrases]
-        fuzzy = [Notice.of(label, words) for label, words in notices]
+        fuzzy = [Notice.of(*n) for n in notices]
         return lambda text: _scan(text, exact, fuzzy)
 
     columns = ("n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, "

@@ -8,6 +8,7 @@ call with its result is serialised as canonical JSON (keys sorted, no spaces, UT
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -32,8 +33,56 @@ SCHEMAS = {
 }
 
 
+#: Levels of arrays and objects that arguments may have: all Python versions read and write these.
+DEEPEST = 500
+
+
+def _depth(text: str) -> int:
+    """Levels of brackets outside strings."""
+    deepest = level = 0
+    for b in re.findall(r"[][{}]", re.sub(r'"(?:[^"\\]|\\.)*"', "", text)):
+        level += 1 if b in "[{" else -1
+        deepest = max(deepest, level)
+    return deepest
+
+
+def parsed(text: str | None) -> tuple[object, list[str]]:
+    """(value, problems) of a JSON text; null is null. Whatever Python or Arrow can't hold is a problem with a null
+    value: no JSON, numbers out of range, more than ``DEEPEST`` levels, unpaired surrogates. Of a
+    repeated key the last value counts. A whole number is an integer however it is written (2.0 is 2)."""
+    repeated: list[str] = []
+
+    def pairs(items: list) -> dict:
+        out = dict(items)
+        if len(out) < len(items):
+            repeated.append("$: repeated key")
+        return out
+
+    def number(digits: str) -> int | float:
+        value = float(digits)
+        return int(value) if value.is_integer() and abs(value) < 2 ** 53 else value
+
+    def constant(name: str):
+        raise json.JSONDecodeError("not a JSON value", name, 0)
+
+    if text is None:
+        return None, []
+    if text.count("[") + text.count("{") > DEEPEST and _depth(text) > DEEPEST:
+        return None, ["$: nested too deeply"]
+    try:
+        value = json.loads(text, object_pairs_hook=pairs, parse_float=number, parse_constant=constant)
+        canonical(value).encode()
+    except json.JSONDecodeError:
+        return None, ["$: not JSON"]
+    except UnicodeEncodeError:
+        return None, ["$: unpaired surrogate"]
+    except ValueError:
+        return None, ["$: number out of range"]
+    return value, repeated[:1]
+
+
 def canonical(value) -> str:
-    """JSON with sorted keys, no spaces and plain Unicode: one text for equal values."""
+    """JSON with sorted keys, no spaces and plain Unicode: one text for equal values of ``parsed``."""
     return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
 
 
@@ -44,7 +93,7 @@ def violations(value, schema: dict, at: str = "$") -> list[str]:
     kind = schema.get("type")
     number = isinstance(value, (int, float)) and not isinstance(value, bool)
     if kind == "integer":
-        right = number and float(value).is_integer()
+        right = number and (isinstance(value, int) or value.is_integer())
     elif kind == "number":
         right = number
     else:
@@ -144,16 +193,12 @@ def _serialised(rows: DataFrame, schemas: dict) -> DataFrame:
         problems = [f"uses {u}: no such call" for u in r["unknown"] or []]
         arguments = None
         if r["status"] != "orphan":
-            try:
-                arguments = json.loads(r["arguments"]) if r["arguments"] is not None else None
-                canonical(arguments)
-            except ValueError:
-                arguments, problems = None, problems + ["$: not JSON"]
-            else:
-                if r["name"] in schemas:
-                    problems += violations(arguments, schemas[r["name"]])
-                else:
-                    problems.append("no such tool")
+            arguments, unreadable = parsed(r["arguments"])
+            problems += unreadable
+            if r["name"] not in schemas:
+                problems.append("no such tool")
+            elif unreadable in ([], ["$: repeated key"]):
+                problems += violations(arguments, schemas[r["name"]])
         record = {"conversation": r["conv_id"], "id": r["call_id"], "name": r["name"], "arguments": arguments,
                   "uses": r["uses"] or [], "result": r["content"], "status": r["status"]}
         return {k: r[k] for k in ("conv_id", "call_id", "turn", "wave", "status", "name", "n_results")} | {

@@ -131,3 +131,60 @@ def test_pipeline_takes_awkward_documents(spark):
         for _, step in corpus_pipeline.STAGES:
             frame = step(spark, frame, SF_SMALL)
         frame.collect()
+
+
+@pytest.mark.parametrize("text, problem", [
+    ("[" * 100_000 + "]" * 100_000, "$: nested too deeply"), ('{"a":' * 50_000 + "1" + "}" * 50_000, "$: nested too deeply"),
+    ("1" * 5000, "$: number out of range"), ("1e999", "$: number out of range"), ('"\\ud800"', "$: unpaired surrogate"),
+    ('{"\\udfff": 1}', "$: unpaired surrogate"), ("NaN", "$: not JSON"), ("", "$: not JSON"), ("{", "$: not JSON")])
+def test_arguments_that_cannot_be_held(text, problem):
+    assert tool_calls.parsed(text) == (None, [problem])
+
+
+def test_arguments_with_one_text_for_equal_values():
+    assert tool_calls.parsed(None) == (None, [])
+    assert tool_calls.parsed('{"b": 2.0, "a": -0.0, "c": 1e3, "d": 0.5}') == ({"b": 2, "a": 0, "c": 1000, "d": 0.5}, [])
+    assert tool_calls.canonical(tool_calls.parsed('{"b": 2.0, "a": 1}')[0]) == '{"a":1,"b":2}'
+    assert tool_calls.parsed('{"x": {"a": 1, "a": 2}}') == ({"x": {"a": 2}}, ["$: repeated key"])
+    assert tool_calls.violations(int("7" * 400), {"type": "integer", "minimum": 1}) == []
+
+
+def test_awkward_arguments_do_not_end_the_job(spark):
+    texts = ["[" * 5000 + "]" * 5000, "9" * 6000, '{"query":"\\ud800"}', '{"query":"a","query":"b"}', '{"query":"ok","limit":2.0}',
+             None, '{"query":"' + "x" * 300_000 + '"}', '{"query":"n","limit":' + "9" * 400 + "}"]
+    calls = spark.createDataFrame([(1, i, f"c{i}", "search", t, []) for i, t in enumerate(texts)],
+                                  "conv_id long, turn int, call_id string, name string, arguments string, uses array<string>")
+    results = spark.createDataFrame([], "conv_id long, turn int, call_id string, content string")
+    got = [r for r in tool_calls.link(calls, results).orderBy("turn").collect()]
+    assert [r.problems for r in got] == [
+        ["$: nested too deeply"], ["$: number out of range"], ["$: unpaired surrogate"], ["$: repeated key"], [], ["$: not object"],
+        [], ["$.limit: above 50"]]
+    assert '"limit":2,' in got[4].canonical and got[4].valid
+
+
+def test_query_validity_and_canonical_text_against_brute_force(spark):
+    """Arguments judged by rules written out for the three tools, records rebuilt key by key."""
+    import json
+    rules = {
+        "search": lambda a: set(a) <= {"query", "limit"} and len(a.get("query", "")) >= 1 and 1 <= a.get("limit", 1) <= 50,
+        "lookup": lambda a: {"key", "exact"} <= set(a) <= {"key", "exact", "fields"} and isinstance(a["exact"], bool),
+        "measure": lambda a: {"text", "unit"} <= set(a) and a["unit"] in ("chars", "words"),
+    }
+    calls, results = tool_calls.calls_of(spark.read.parquet(f"{SF_SMALL}/conversations.parquet"))
+    asked = {(r.conv_id, r.call_id): r for r in calls.collect()}
+    answer = {(r.conv_id, r.call_id): r.content for r in results.collect()}
+    seen = 0
+    for r in tool_calls.link(calls, results).collect():
+        call = asked.get((r.conv_id, r.call_id))
+        record = json.loads(r.canonical)
+        assert r.canonical == json.dumps(record, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+        assert record["result"] == answer.get((r.conv_id, r.call_id)) and record["status"] == r.status
+        if call is None:
+            assert r.status == "orphan" and not r.valid and record["arguments"] is None
+            continue
+        arguments = json.loads(call.arguments)
+        there = all((r.conv_id, u) in asked for u in call.uses)
+        assert r.valid == (rules[call.name](arguments) and there) and bool(r.problems) == (not r.valid)
+        assert record["arguments"] == arguments and record["uses"] == sorted(set(call.uses))
+        seen += 1
+    assert seen == len(asked) > 0

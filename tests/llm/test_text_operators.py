@@ -206,3 +206,20 @@ def test_neighbours_against_brute_force(spark, blocks):
     df = spark.createDataFrame([(p,) for p in prints], "fp long")
     found = sorted((r.q, r.fp) for r in fingerprints.neighbours(df.select(F.col("fp").alias("q")), df, 3, blocks).collect())
     assert found == sorted((a, b) for a in prints for b in prints if (a ^ b).bit_count() <= 3)
+
+
+@pytest.mark.parametrize("text, labels", [
+    ("Licensed under CC BY-NC 4.0", "cc-by,cc-by-nc"), ("Licensed under CC BY-SA 4.0", "cc-by,cc-by-sa"),
+    ("Licensed under CC BY-ND 4.0", "cc-by"), ("Licensd under CC BY-NC 4.0", "cc-by,cc-by-nc"),
+    ("Licensed under CC BY-NC 4.0. Licensed under CC BY-SA 4.0.", "cc-by,cc-by-nc,cc-by-sa"),
+    ("Licensed under the GNU General Public License version 2", "gpl"),
+    ("Licensed under the GNU General Public License, version 3", "gpl,gpl-3"),
+    ("Licenced under the GNU Generl Public License, version 3", "gpl,gpl-3"),
+    ("Licensed under the Apache License, Version 1.1", "apache"), ("Licensed under the Apache License, Version 2.0", "apache,apache-2"),
+    ("released under the BSD license", ""), ("released under the ISC license", ""), ("released under the X11 license", ""),
+    ("relased under the MIT license", "mit"), ("the GNU Lesser General Public License", "lgpl"),
+    ("subject to the terms of the Eclipse Public License", ""), ("subject to the term of the Mozilla Public License", "mpl-2")])
+def test_license_labels_of_neighbours(text, labels):
+    phrases = [(p.encode(), label) for p, label in license_scan.PHRASES]
+    notices = [license_scan.Notice.of(*n) for n in license_scan.NOTICES]
+    assert license_scan._scan("Intro. " + text + " and more words", phrases, notices)[5] == labels
