@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..session import scratch_path
 from ..sources import readers as R
+from ..sources.json_arrays import write_json_arrays
 from ..sources.registry import DatasetRegistry
 from ..streaming import live as L
 from .catalog import register, table
@@ -33,6 +34,17 @@ def a01_tsv_sniffed(spark, d):
     return back.groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("c_acctbal"), 2).alias("total"))
 
 
+@register("a02_json_array_roundtrip", """
+SELECT o_orderstatus, o_orderpriority AS "detail.priority", count(*) AS n, sum(o_orderkey) AS keys FROM orders GROUP BY 1, 2
+""", with_sales=False)
+def a02_json_array_roundtrip(spark, d):
+    path = scratch_path(spark, "orders-json")
+    write_json_arrays(table(spark, d, "orders").select(
+        "o_orderkey", "o_orderstatus", F.struct(F.col("o_orderpriority").alias("priority"), F.lit('{"]').alias("note")).alias("detail")), path)
+    back = R.read_json(spark, path)
+    return back.groupBy("o_orderstatus", "`detail.priority`").agg(F.count(F.lit(1)).alias("n"), F.sum("o_orderkey").alias("keys"))
+
+
 @register("a03_jsonl_nested_roundtrip", """
 SELECT c_mktsegment AS segment, c_nationkey AS "account.nation", count(*) AS n FROM customer GROUP BY 1, 2
 """, with_sales=False)
@@ -109,6 +121,19 @@ def a11_registry_roundtrip(spark, d):
         .select("name", "source", "rows", "trust_score", "status", "versions")
 
 
+@register("a12_export_filtered_csv", """
+SELECT city, category, count(*) AS n, round(sum(revenue), 2) AS revenue FROM sales WHERE promo = 'Yes' GROUP BY 1, 2
+""")
+def a12_export_filtered_csv(spark, d):
+    from ..operators.filters import filter_sales
+    from .sales_view import sales
+    chosen = filter_sales(sales(spark, d), promo="Yes").select("order_id", "city", "category", "revenue")
+    back = R.read_delimited(spark, R.write_csv(chosen, scratch_path(spark, "filtered-csv")),
+                            schema="order_id long, city string, category string, revenue decimal(38,6)")
+    return back.groupBy("city", "category").agg(F.count(F.lit(1)).alias("n"),
+                                                F.round(F.sum("revenue").cast("double"), 2).alias("revenue"))
+
+
 @register("a13_export_report_tables")
 def a13_export_report_tables(spark, d):
     from ..operators.aggregate import revenue_by

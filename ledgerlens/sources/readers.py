@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .json_arrays import array_lines, first_character
+
 # File-extension categories.
 STRUCTURED_EXTENSIONS = {"csv", "tsv", "xlsx", "xls", "xlsm", "parquet", "ods"}
 SEMI_STRUCTURED_EXTENSIONS = {"json", "jsonl", "xml"}
@@ -119,12 +121,14 @@ def flatten(df: DataFrame, sep: str = ".") -> DataFrame:
 def read_json(spark: SparkSession, path: str) -> DataFrame:
     """A top-level array -> one row per element; an object -> the rows of its first field
     that is a non-empty list of objects, else the object as one row; nested objects flattened to
-    ``a.b``, arrays kept."""
-    raw = spark.read.option("multiLine", True).json(path)
-    if "_corrupt_record" in raw.columns and len(raw.columns) == 1:
+    ``a.b``, arrays kept. An array of objects is split between tasks however large one file is
+    (``json_arrays``); an object is read by one task."""
+    kind = first_character(spark, path)
+    lines = array_lines(spark, path) if kind == "[" else None
+    raw = spark.read.json(lines) if lines else spark.read.option("multiLine", True).json(path)
+    if "_corrupt_record" in raw.columns and (lines or len(raw.columns) == 1):
         raise UnsupportedFormatError("JSON top level is not an object or array that can be flattened into a table.")
-    head = _head_text(spark, path, 64).lstrip()
-    if head.startswith("{"):
+    if kind == "{":
         for f in raw.schema.fields:
             if isinstance(f.dataType, T.ArrayType) and isinstance(f.dataType.elementType, T.StructType):
                 rows = raw.select(F.explode(F.col(f"`{f.name}`")).alias("_r")).select("_r.*")
