@@ -150,6 +150,26 @@ def a13_export_report_tables(spark, d):
     return out
 
 
+@register("a13_export_contents", """
+SELECT 'Regional' AS "table", region AS key, round(CAST(sum(revenue) AS DOUBLE), 2) AS revenue, 1 AS n
+FROM sales WHERE region IS NOT NULL GROUP BY region
+UNION ALL SELECT 'Categories', category, round(CAST(sum(revenue) AS DOUBLE), 2), 1 FROM sales WHERE category IS NOT NULL GROUP BY category
+UNION ALL SELECT 'Raw Data', product, round(CAST(sum(revenue) AS DOUBLE), 2), count(*) FROM sales GROUP BY product
+""")
+def a13_export_contents(spark, d):
+    """The exported tables read back: keys, sums and the whole raw data by product."""
+    from ..operators.aggregate import revenue_by
+    from .sales_view import sales
+    s = sales(spark, d)
+    paths = R.export_report_tables({"Regional": revenue_by(s, "region"), "Categories": revenue_by(s, "category"),
+                                    "Raw Data": s.select("order_id", "product", "revenue")},
+                                   scratch_path(spark, "report-export"))
+    keys = {"Regional": "region", "Categories": "category", "Raw Data": "product"}
+    parts = [spark.read.parquet(p).groupBy(F.lit(n).alias("table"), F.col(keys[n]).alias("key"))
+             .agg(F.round(F.sum("revenue").cast("double"), 2).alias("revenue"), F.count(F.lit(1)).alias("n")) for n, p in paths.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 @register("s01_stream_windowed_kpis", """
 SELECT date_trunc('day', ts) AS window_start, date_trunc('day', ts) + INTERVAL 1 DAY AS window_end, event_type,
        count(*) AS events, round(sum(value), 4) AS value_sum, round(avg(value), 6) AS value_avg, max(value) AS value_max
