@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expr import is_float, nan_to_null, qcol
 from ..session import materialize
-from .quantiles import DEFAULT_ACCURACY, median_row, pick_ranks
+from .quantiles import DEFAULT_ACCURACY, _pick, median_row
 
 LISTED = 100
 TRACKED = 10000
@@ -103,7 +103,7 @@ def _second_scan(df: DataFrame, out: Fills, known: dict, number: dict, items: di
         ranks = [(c, 0.5, floor((known[c] - 1) / 2), ceil((known[c] - 1) / 2), (known[c] - 1) / 2 % 1.0) for c in number]
         targets = df.sparkSession.createDataFrame(ranks, "k string, p double, lo long, hi long, frac double")
         rows = counts.filter(F.col("k").isin(list(number))).select("k", F.lit(0.5).alias("p"), "v", "c")
-        out.medians = {r["k"]: r["value"] for r in pick_ranks(rows, targets, ["k", "p"]).collect() if r["value"] is not None}
+        out.medians = {r["k"]: r["value"] for r in _pick(rows, targets, ["k", "p"]).collect() if r["value"] is not None}
         missed = [c for c in number if c not in out.medians]  # a bracket that doesn't hold its ranks
         if missed:
             out.medians |= median_row(df, missed).first().asDict()
