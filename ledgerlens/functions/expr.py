@@ -142,12 +142,25 @@ DATE_FORMATS_DAY_FIRST = [
 ]
 
 
+#: What each part of a layout can look like: at least every text that the layout itself accepts there.
+_SHAPES = {"yyyy": r"[+-]?\d{4,}", "MMM": r"\D+", "MM": r"\d{2}", "dd": r"\d{2}", "HH": r"\d{2}", "mm": r"\d{2}",
+           "ss": r"\d{2}", "'T'": r"\D"}
+
+
+def _shape(layout: str) -> str | None:
+    """A regular expression that every text of the date layout matches; None if the layout has parts not listed."""
+    parts = re.findall(r"([A-Za-z])(\1*)|('[^']*')|([-/:, ])|(.)", layout)
+    found = [re.escape(mark) if mark else _SHAPES.get(first + more or quoted) for first, more, quoted, mark, _ in parts]
+    return None if None in found else "".join(found)
+
+
 def parse_dates(x, dtype: T.DataType | None = None, dayfirst: bool = False,
                 formats: list[str] | None = None) -> Column:
     """Mixed-format parse to timestamp; anything unparseable -> null.
 
     Timestamps pass through; strings are trimmed and tried against an ordered format list with
-    ``try_to_timestamp`` so ANSI mode never raises.
+    ``try_to_timestamp`` so ANSI mode never raises. A parse that fails costs far more than a look at the text, so a
+    layout is tried only on texts of its shape.
     """
     col = c(x)
     if dtype is not None and is_temporal(dtype):
@@ -156,8 +169,27 @@ def parse_dates(x, dtype: T.DataType | None = None, dayfirst: bool = False,
         return F.lit(None).cast("timestamp")
     fmts = formats or (DATE_FORMATS_DAY_FIRST if dayfirst else DATE_FORMATS_MONTH_FIRST)
     s = F.trim(col.cast("string"))
-    attempts = [F.try_to_timestamp(s, F.lit(f)) for f in fmts]
-    return F.coalesce(*attempts)
+    shapes = {f: _shape(f) for f in fmts}
+    attempts = [F.when(s.rlike(f"^{shapes[f]}\\z"), F.try_to_timestamp(s, F.lit(f))) if shapes[f]
+                else F.try_to_timestamp(s, F.lit(f)) for f in fmts]
+    parsed = F.coalesce(*attempts)
+    if None in shapes.values():
+        return parsed
+    return F.when(s.rlike(f"^(?:{'|'.join(dict.fromkeys(shapes.values()))})\\z"), parsed)
+
+
+# ---------------------------------------------------------------- numbers
+
+#: The texts that a cast to double accepts (the grammar of Java's Double.valueOf, and Spark's names of the special values).
+NUMBER_TEXT = (r"^[\x00-\x20]*[+-]?(?:(?i:nan|inf|infinity)|(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?[fFdD]?"
+               r"|0[xX](?:[0-9a-fA-F]+\.?|[0-9a-fA-F]*\.[0-9a-fA-F]+)[pP][+-]?\d+[fFdD]?)[\x00-\x20]*\z")
+
+
+def to_number(x) -> Column:
+    """Text to double, null if it is none; only texts that look like a number are cast, as a cast that fails costs far
+    more than a look."""
+    s = c(x).cast("string")
+    return F.when(s.rlike(NUMBER_TEXT), s.try_cast("double"))
 
 
 # ---------------------------------------------------------------- text
