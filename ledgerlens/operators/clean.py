@@ -272,15 +272,16 @@ def apply_fixes(df: DataFrame, selected: set[str], colmap: dict[str, str] | None
     return out, spark.createDataFrame(log or [("none", "no fixes selected")], "fix string, detail string")
 
 
-def cleaning_summary(raw: DataFrame, clean: DataFrame) -> DataFrame:
+def cleaning_summary(raw: DataFrame, clean: DataFrame, distinct: DataFrame | None = None) -> DataFrame:
     """C17: rows / columns before, rows after, duplicate rows of the raw table and missing count
-    per raw column (> 0 only) with its type, long form (one row per column)."""
+    per raw column (> 0 only) with its type, long form (one row per column). ``distinct``: the raw
+    table's distinct rows, where made before."""
     fields = raw.schema.fields
     aggs = [F.count(F.lit(1)).alias("_rows")] + [
         F.count(F.when(qcol(f.name).isNull() | (F.isnan(qcol(f.name)) if is_float(f.dataType) else F.lit(False)), 1))
         .alias(f"_m{i}") for i, f in enumerate(fields)]
     one = raw.agg(*aggs)
-    distinct_rows = raw.dropDuplicates().agg(F.count(F.lit(1)).alias("_distinct"))
+    distinct_rows = (raw.dropDuplicates() if distinct is None else distinct).agg(F.count(F.lit(1)).alias("_distinct"))
     after = clean.agg(F.count(F.lit(1)).alias("rows_after"))
     structs = [F.struct(F.lit(f.name).alias("column"), F.lit(f.dataType.simpleString()).alias("dtype"),
                         F.col(f"_m{i}").alias("missing")) for i, f in enumerate(fields)]
