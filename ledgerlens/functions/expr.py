@@ -175,7 +175,10 @@ def parse_dates(x, dtype: T.DataType | None = None, dayfirst: bool = False,
     parsed = F.coalesce(*attempts)
     if None in shapes.values():
         return parsed
-    return F.when(s.rlike(f"^(?:{'|'.join(dict.fromkeys(shapes.values()))})\\z"), parsed)
+    fits = s.rlike(f"^(?:{'|'.join(dict.fromkeys(shapes.values()))})\\z")
+    if all("yyyy" in f for f in fmts):
+        fits = s.rlike(r"\d{4}") & fits
+    return F.when(fits, parsed)
 
 
 # ---------------------------------------------------------------- numbers
