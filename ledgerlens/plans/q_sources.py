@@ -128,7 +128,7 @@ def a12_export_filtered_csv(spark, d):
     from ..operators.filters import filter_sales
     from .sales_view import sales
     chosen = filter_sales(sales(spark, d), promo="Yes").select("order_id", "city", "category", "revenue")
-    back = R.read_delimited(spark, R.write_csv(chosen, scratch_path(spark, "filtered-csv")),
+    back = R.read_delimited(spark, R.write_csv(chosen, scratch_path(spark, "filtered-csv"), compression="gzip"),
                             schema="order_id long, city string, category string, revenue decimal(38,6)")
     return back.groupBy("city", "category").agg(F.count(F.lit(1)).alias("n"),
                                                 F.round(F.sum("revenue").cast("double"), 2).alias("revenue"))

@@ -207,9 +207,9 @@ def append_dataset(base: DataFrame, new: DataFrame) -> DataFrame:
     return base.unionByName(new, allowMissingColumns=True)
 
 
-def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> str:
-    """CSV with a header row (one part file per partition, written in parallel)."""
-    df.write.mode(mode).option("header", True).csv(path)
+def write_csv(df: DataFrame, path: str, mode: str = "overwrite", compression: str = "none") -> str:
+    """CSV with a header row (one part file per partition, written in parallel), its files compressed if asked for."""
+    df.write.mode(mode).option("header", True).option("compression", compression).csv(path)
     return path
 
 
