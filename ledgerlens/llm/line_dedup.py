@@ -7,8 +7,9 @@ The first occurrence of a class, by document id and position, stays; the others
 
 * Equal lines are one node (their 128-bit digest); copies are counted, never paired.
 * Every line is cut into k + 1 segments. k edits leave one segment untouched, so a line within k
-  edits contains it, shifted by a few places: each line probes the segment indexes of its own
-  length and of the k shorter ones with the substrings at those places only.
+  edits contains it, shifted by a few places: each line probes the segment index with the substrings at those places only.
+  Lines of nearly one length are cut alike, the last segment counted from the end, so that most places
+  are those of a line's own segments, and only the shorter length next to a boundary is probed besides.
 * Candidates are verified with a banded bit-parallel automaton over the whole lines: bit d of
   word e says that diagonal d of the band can be reached with e edits.
 * In buckets with more than ``crowded`` different lines (variants of one line) what is left of a line
@@ -71,11 +72,11 @@ def _marked(rows: DataFrame, keys: DataFrame, by: str = "h") -> DataFrame:
     return joined.withColumn("wanted", F.coalesce(F.getbit(word, place) == 1, F.lit(False))).drop("bucket", "words")
 
 
-def _segment(m: Column, i: int, k: int) -> tuple[Column, Column]:
+def _segment(m: Column, i: Column, k: int) -> tuple[Column, Column]:
     """(start from 0, length) of segment i of a string of length m cut into k + 1."""
     base = F.floor(m / (k + 1)).cast("int")
-    longer = (k + 1 - m % (k + 1)).cast("int")  # segments from here on have one code point more
-    return base * i + F.greatest(F.lit(0), F.lit(i) - longer), base + (F.lit(i) >= longer).cast("int")
+    longer = (F.lit(k + 1) - m % (k + 1)).cast("int")  # segments from here on have one code point more
+    return base * i + F.greatest(F.lit(0), i - longer), base + (i >= longer).cast("int")
 
 
 def _shifts(i: int, delta: int, k: int) -> range:
@@ -83,21 +84,71 @@ def _shifts(i: int, delta: int, k: int) -> range:
     return range(max(-i, delta - (k - i)), min(i, delta + (k - i)) + 1)
 
 
-def _keys(line: Column, n: Column, k: int, deltas: range, own: bool) -> Column:
-    """Array of (key, i, at, len): hashes of a line's own segments, or of its probes into the
-    indexes of other lines (its own segments left out)."""
-    out = []
-    for delta in deltas:
-        m = n - delta
-        for i in range(k + 1):
-            start, length = _segment(m, i, k)
-            for shift in [0] if own else _shifts(i, delta, k):
-                if not own and delta == 0 and shift == 0:
-                    continue
-                at = start + shift
-                out.append(F.struct(F.xxhash64(m, F.lit(i), F.substring(line, at + 1, length)).alias("key"),
-                                    at.cast("int").alias("at"), length.cast("int").alias("len")))
-    return F.array(*out)
+def _explode(rows: DataFrame, names: tuple, values: list[tuple]) -> DataFrame:
+    """``rows`` once per tuple of ``values``, with these in the struct ``_s``."""
+    return rows.withColumn("_s", F.explode(F.array(*[F.struct(*[F.lit(v).alias(c) for c, v in zip(names, x)]) for x in values])))
+
+
+def _part(text: str) -> Column:
+    """The ``len`` code points of the column ``text`` from ``at`` on, as UTF-8. In ASCII texts (``_bytes`` is not null there) no
+    walk along the text is needed."""
+    at, length = F.col("at") + 1, F.col("len")
+    return F.coalesce(F.substring("_bytes", at, length), F.substring(text, at, length).cast("binary"))
+
+
+def _with_bytes(rows: DataFrame, text: str, n: str) -> DataFrame:
+    return rows.withColumn("_bytes", F.when(F.octet_length(text) == F.col(n), F.col(text).cast("binary")))
+
+
+def _common_length(n: Column) -> Column:
+    """The length that lines of n code points are cut at: steps of 4, from 64 on of 16."""
+    return (n - n % F.when(n < 64, 4).otherwise(16)).cast("int")
+
+
+def _line_shifts(k: int) -> list[tuple[int, int]]:
+    """(segment, shift) at which a line of at least the same length can hold a segment of another, with the last one's
+    counted from the end.
+
+    Up to 3 edits between lines of one length hold one insertion and one deletion at most, so all segments
+    that moved went the same way, seen from either line: as both probe, those to the right suffice."""
+    found = {(i, shift) for i in range(k) for delta in range(k + 1) for shift in _shifts(i, delta, k)
+             if delta or shift >= 0 or k > 3}
+    found |= {(k, shift - delta) for delta in range(k + 1) for shift in _shifts(k, delta, k)}
+    return sorted(found)
+
+
+def _line_keys(rows: DataFrame, k: int, own: bool) -> DataFrame:
+    """``rows`` (with line, n) once per key of the line's own segments, or per probe into the index of other
+    lines' segments (its own left out), with ``key``, ``at`` and ``len``."""
+    n, shift, i = F.col("n"), F.col("_s.shift"), F.col("_s.i")
+    if own:
+        cuts = [(0, i, 0) for i in range(k + 1)]
+    else:
+        cuts = [(delta, *x) for delta in range(k + 1) for x in _line_shifts(k) if delta or x[1]]
+    out = _explode(_with_bytes(rows, "line", "n"), ("delta", "i", "shift"), cuts)
+    m = _common_length(n - F.col("_s.delta"))
+    out = out.withColumn("_m", m)
+    if not own:  # shorter lines that are cut at another length
+        out = out.filter((F.col("_s.delta") == 0) | (F.col("_m") != _common_length(n - F.col("_s.delta") + 1)))
+    length = F.floor(F.col("_m") / (k + 1)).cast("int")
+    start = F.when(i == k, n - length).otherwise(length * i) + shift
+    out = out.withColumns({"at": start.cast("int"), "len": length})
+    return out.withColumn("key", F.xxhash64("_m", i, _part("line"))).drop("_bytes", "_s", "_m")
+
+
+def _rest_keys(rows: DataFrame, k: int, own: bool) -> DataFrame:
+    """``rows`` (with rest, left) once per segment of the rest of a line, or per probe into the index of such
+    segments of rests up to k shorter (its own left out), with ``cut``, a hash of the segment."""
+    if own:
+        cuts = [(0, i, 0) for i in range(k + 1)]
+    else:
+        cuts = [(delta, i, shift) for delta in range(k + 1) for i in range(k + 1) for shift in _shifts(i, delta, k)
+                if delta or shift]
+    out = _explode(_with_bytes(rows, "rest", "left"), ("delta", "i", "shift"), cuts)
+    m, i = F.col("left") - F.col("_s.delta"), F.col("_s.i")
+    start, length = _segment(m, i, k)
+    out = out.withColumns({"at": (start + F.col("_s.shift")).cast("int"), "len": length.cast("int")})
+    return out.withColumn("cut", F.xxhash64(m, i, _part("rest"))).drop("_bytes", "_s", "at", "len")
 
 
 def within_edits(x: Column, y: Column, k: int) -> Column:
@@ -159,8 +210,8 @@ def _count_distance(a: Column, b: Column, letters: str) -> Column:
 def _distinct_texts(lines: DataFrame, repeated: DataFrame) -> DataFrame:
     """(h, n, line) once per different line: lines that are certainly single straight from the
     scan, the others through an aggregation that keeps one of each before and after the shuffle."""
-    marked = _marked(lines.select("id", "h", "n", "line"), repeated)
-    several = marked.filter("wanted").groupBy("id").agg(
+    marked = _marked(lines.select("h", "n", "line"), repeated)
+    several = marked.filter("wanted").withColumn("id", F.unhex(F.md5("line"))).groupBy("id").agg(
         F.first("h").alias("h"), F.first("n").alias("n"), F.first("line").alias("line"))
     single = marked.filter("not wanted").select("h", "n", "line")
     return single.unionByName(stage(several.select("h", "n", "line"), "repeated-lines"))
@@ -169,21 +220,22 @@ def _distinct_texts(lines: DataFrame, repeated: DataFrame) -> DataFrame:
 def _pairs(texts: DataFrame, k: int, crowded: int) -> DataFrame:
     """Distinct candidate pairs (a, b) of line digests, a < b."""
     line, n = F.col("line"), F.col("n")
-    own = _keys(line, n, k, range(1), True)
-    probes = _keys(line, n, k, range(k + 1), False)
-    index = stage(texts.select("h", F.explode(own["key"]).alias("key")), "line-index")
+    index = stage(_line_keys(texts, k, True).select("h", "n", "key"), "line-index")
     # Most probes hit no segment of any line: these go before they are shuffled.
-    probe = texts.select("h", F.explode(probes["key"]).alias("key"))
-    probe = _marked(probe, index.select(F.col("key").alias("h")), "key").filter("wanted").select("h", "key")
+    probe = _line_keys(texts, k, False).select("h", "n", "key")
+    probe = _marked(probe, index.select(F.col("key").alias("h")), "key").filter("wanted").select("h", "n", "key")
     full = stage(index.groupBy("key").count().filter(F.col("count") > crowded).select("key"), "crowded-segments")
     open_index = index.join(full, "key", "left_anti")
     # A probe into a crowded bucket meets one row that stands for the bucket, and is noted with b null.
-    buckets = open_index.unionByName(full.select(F.lit(None).cast("long").alias("h"), "key")).alias("i")
+    buckets = open_index.select("h", "n", "key").unionByName(
+        full.select(F.lit(None).cast("long").alias("h"), F.lit(None).cast("int").alias("n"), "key")).alias("i")
     p = probe.alias("p")
-    met = p.join(buckets, (F.col("p.key") == F.col("i.key")) & (F.col("i.h").isNull() | (F.col("p.h") != F.col("i.h")))).select(
+    like = F.abs(F.col("p.n") - F.col("i.n")) <= k
+    met = p.join(buckets, (F.col("p.key") == F.col("i.key")) & (
+        F.col("i.h").isNull() | ((F.col("p.h") != F.col("i.h")) & like))).select(
         F.when(F.col("i.h").isNull(), F.col("p.h")).otherwise(F.least("p.h", "i.h")).alias("a"),
         F.when(F.col("i.h").isNotNull(), F.greatest("p.h", "i.h")).alias("b"))
-    met = stage(met.unionByName(_same(open_index, F.lit(True))).distinct(), "line-candidates")
+    met = stage(met.unionByName(_same(open_index, like)).distinct(), "line-candidates")
     found = met.filter("b is not null")
     if full.isEmpty():
         return found
@@ -192,20 +244,17 @@ def _pairs(texts: DataFrame, k: int, crowded: int) -> DataFrame:
     some = stage(inside.unionByName(met.filter("b is null").select(F.col("a").alias("h"))).distinct(), "crowded-ends")
     lines = stage(_marked(texts, some).filter("wanted").select("h", "n", "line").join(some, "h", "left_semi"), "crowded-lines")
 
-    def finer(first: Column, deltas: range, second_own: bool) -> DataFrame:
+    def finer(first_own: bool, second_own: bool) -> DataFrame:
         """Keys of a shared segment together with a segment of the rest of the line."""
-        held = lines.select("h", "n", "line", F.explode(first).alias("s")).select(
-            "h", "n", "line", "s.key", "s.at", "s.len").join(full, "key")
+        held = _line_keys(lines.select("h", "n", "line"), k, first_own).join(full, "key")
         rest = F.concat(F.substring(line, F.lit(1), F.col("at")), F.substring(line, F.col("at") + F.col("len") + 1, n))
         held = held.select("h", "key", rest.alias("rest"), (n - F.col("len")).alias("left"),
                            *[_letter_counts(line, n, x).alias(f"c{i}") for i, x in enumerate(COUNTED)])
-        again = F.explode(_keys(F.col("rest"), F.col("left"), k, deltas, second_own)).alias("s")
-        return held.select("h", "c0", "c1", "key", again).select("h", "c0", "c1", F.xxhash64("key", "s.key").alias("key"))
+        return _rest_keys(held, k, second_own).select("h", "c0", "c1", F.xxhash64("key", "cut").alias("key"))
 
     # A line's own segments meet as before; a shifted probe may leave a rest of equal length.
-    base = finer(own, range(1), True)
-    other = finer(own, range(k + 1), False).unionByName(finer(probes, range(1), True)).unionByName(
-        finer(probes, range(k + 1), False))
+    base = finer(True, True)
+    other = finer(True, False).unionByName(finer(False, True)).unionByName(finer(False, False))
     close = F.lit(0)
     for i, letters in enumerate(COUNTED):
         close = close + _count_distance(F.col(f"p.c{i}"), F.col(f"i.c{i}"), letters)

@@ -239,3 +239,29 @@ def test_exact_groups_come_from_neighbours_in_one_range_sort(spark):
     finally:
         exact_dedup.stage = hot
     assert dict(sizes)["content-sort"] <= 1500 + exact_dedup.ENTRIES and dict(sizes)["frequent-rows"] == 900
+
+
+def variants(rng, lengths, alphabets, k):
+    """(table of different lines, pairs of them at most k edits apart): variants of random lines, which are far from each other."""
+    families = [[base] + [changed(rng, base, rng.randint(1, k)) for _ in range(5)] for n in lengths for alphabet in alphabets
+                for base in ["".join(rng.choice(alphabet) for _ in range(n))]]
+    families = [sorted({x for x in f if len(x) >= 18}) for f in families]
+    number = {x: i for i, x in enumerate(sorted({x for f in families for x in f}))}
+    near = {tuple(sorted((number[a], number[b]))) for f in families for a, b in combinations(f, 2) if distance(a, b) <= k}
+    return [(i, len(x), x) for x, i in number.items()], near
+
+
+@pytest.mark.parametrize("k", [1, 2, 3])
+def test_line_dedup_makes_few_probes_and_misses_no_pair(spark, k):
+    lengths = [20, 23, 24, 25, 33, 47, 48, 62, 63, 64, 65, 66, 79, 80, 81, 82]
+    rows, near = variants(random.Random(k), lengths, ("abcdefgh", "abcdéß日𝄞"), k)
+    texts = spark.createDataFrame(rows, "h long, n int, line string").repartition(4)
+    own, probes = ([(r.h, r.key) for r in line_dedup._line_keys(texts, k, kind).collect()] for kind in (True, False))
+    if k == 2:
+        assert len(probes) < 5 * len(rows)  # nine a line before
+    holders, met = {}, set()
+    for h, key in own:
+        holders.setdefault(key, set()).add(h)
+    for h, key in own + probes:
+        met |= {tuple(sorted((h, other))) for other in holders.get(key, ())}
+    assert len(near) > 100 and near <= met
