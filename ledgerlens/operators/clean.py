@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.expr import is_float, is_numeric, is_temporal, nan_to_null, parse_dates, qcol
-from ..session import checkpointed
+from ..session import written
 from ._common import SALES, SalesCols, one_row
 from .aggregate import add_price_tier
 from .fills import Fills, fill_facts, present
@@ -207,7 +207,7 @@ def clean_by_role(df: DataFrame, roles: dict[str, str]) -> tuple[DataFrame, Data
     spark = df.sparkSession
     log: list[tuple[str, str | None, int]] = []
     before = df.count()
-    out = trim_column_names(checkpointed(dedupe(df)))  # made once, read by the scans below
+    out = trim_column_names(written(dedupe(df)))  # made once, read by the scans below
     roles = {k.strip(): v for k, v in roles.items()}
     types = dict(out.dtypes)
     having = {role: [c for c, r in roles.items() if r == role and c in types] for role in ("Measure", "Dimension", "Date")}

@@ -97,7 +97,8 @@ def _second_scan(df: DataFrame, out: Fills, known: dict, number: dict, items: di
                                 F.struct(F.lit(c).alias("k"), no_number, qcol(c).cast("string").alias("s"))))
     counts = None
     if parts:
-        hits = df.select(F.explode(F.filter(F.array(*parts), lambda x: x.isNotNull())).alias("h")).select("h.*")
+        # Filtered as rows: a function over an array is not compiled.
+        hits = df.select(F.explode(F.array(*parts)).alias("h")).filter("h is not null").select("h.*")
         counts = materialize(hits.groupBy("k", "v", "s").agg(F.count(F.lit(1)).alias("c")), "fill-counts")
     if number:
         ranks = [(c, 0.5, floor((known[c] - 1) / 2), ceil((known[c] - 1) / 2), (known[c] - 1) / 2 % 1.0) for c in number]

@@ -77,3 +77,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
     ``spark.checkpoint.dir`` when the context has none yet); never a local checkpoint."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def written(df: DataFrame, name: str = "stage") -> DataFrame:
+    """``df`` as a columnar copy in the shared checkpoint folder, whatever its columns are called: later scans
+    read only the columns they need. Types that Parquet can't hold are checkpointed as rows."""
+    kinds = df.schema.simpleString()
+    if not df.columns or "void" in kinds or "interval" in kinds:
+        return checkpointed(df)
+    return materialize(df.toDF(*[f"c{i}" for i in range(len(df.columns))]), name).toDF(*df.columns)

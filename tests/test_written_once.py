@@ -5,6 +5,7 @@ from __future__ import annotations
 from conftest import SF_SMALL
 from pyspark.sql import functions as F
 
+from ledgerlens.operators import clean as C
 from ledgerlens.plans import report as RP
 from ledgerlens.plans import sales_view as V
 from ledgerlens.sources import readers as R
@@ -47,3 +48,23 @@ def test_a_compressed_export_is_smaller_and_reads_back_whole(spark, tmp_path):
         assert back.exceptAll(rows).isEmpty() and back.count() == 20_000
         size[kind] = sum(f.stat().st_size for f in (tmp_path / kind).glob("part-*"))
     assert size["gzip"] < size["none"] / 3
+
+
+def test_rows_to_clean_by_role_are_copied_by_column(spark):
+    rows = [(f"p{i % 40}", "Paris" if i % 3 else None, i % 5 or None, f"2024-01-{i % 28 + 1:02d}") for i in range(400)]
+    raw = spark.createDataFrame(rows, "`a, b` string, `A` string, ` a` int, day string")
+    roles = {"A": "Dimension", "a": "Measure", "day": "Date"}
+    with_void = raw.withColumn("gap", F.lit(None))
+    for df, names in ((raw, ["a, b", "A", "a", "day"]), (with_void, ["a, b", "A", "a", "day"])):
+        spark.conf.set("spark.sql.caseSensitive", "true")
+        try:
+            out, log = C.clean_by_role(df, roles)
+            got = {(r.step, r.column): r["count"] for r in log.collect()}
+            assert out.columns == names and out.filter("`a` is null or `A` is null or day is null").isEmpty()
+            plan = out._jdf.queryExecution().optimizedPlan().toString()
+        finally:
+            spark.conf.unset("spark.sql.caseSensitive")
+        distinct = set(rows)
+        assert got[("imputed_median", "a")] == sum(r[2] is None for r in distinct)
+        assert got[("filled_mode", "A")] == sum(r[1] is None for r in distinct)
+        assert ("parquet" in plan) == (df is raw)
