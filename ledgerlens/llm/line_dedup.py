@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .components import components
 from .tables import salt_count, salted_lookup, stage
 
-BITMAP_BITS = 1 << 28  # 32 bits of bitmap take 8 bytes of a broadcast table: at most 64 MB, whatever the size of the data
+BITMAP_BITS = 1 << 28  # 64 bits of bitmap take 8 bytes of a broadcast table: at most 32 MB, whatever the size of the data
 COUNTED = ("abcdefghijklm", "nopqrstuvwxyz")  # letters counted in crowded buckets, modulo 16
 
 
@@ -45,12 +45,14 @@ def lines_of(docs: DataFrame, least: int) -> DataFrame:
 
 
 def _bitmap(keys: DataFrame, bits: int) -> DataFrame:
-    """(bucket, words) per occupied bucket of 32768 bits, at most bits / 32768 rows; words: 1024 numbers of 32 bits each."""
+    """(bucket, words) per occupied bucket of 32768 bits, at most bits / 32768 rows; words: 512 numbers of 64 bits each.
+
+    Words are full: the driver builds the broadcast table in arrays that double, so a bit unused costs it several."""
     slot = F.col("h").bitwiseAND(F.lit(bits - 1))
     maps = keys.select(F.shiftright(slot, 15).alias("bucket"), slot.bitwiseAND(F.lit(32767)).alias("bit")).groupBy(
         "bucket").agg(F.bitmap_construct_agg("bit").alias("map"))
-    word = F.transform(F.sequence(F.lit(0), F.lit(1023)),
-                       lambda i: F.conv(F.hex(F.substring("map", i * 4 + 1, F.lit(4))), 16, 10).cast("long"))
+    word = F.transform(F.sequence(F.lit(0), F.lit(511)),  # to base -10: as a signed number
+                       lambda i: F.conv(F.hex(F.substring("map", i * 8 + 1, F.lit(8))), 16, -10).cast("long"))
     return maps.select("bucket", word.alias("words"))
 
 
@@ -65,10 +67,10 @@ def _marked(rows: DataFrame, keys: DataFrame, by: str = "h") -> DataFrame:
     slot = F.col(by).bitwiseAND(F.lit(bits - 1))
     at = slot.bitwiseAND(F.lit(32767))
     # Words are big-endian, the bits of a byte are numbered from its lowest.
-    place = (24 - F.shiftright(at.bitwiseAND(F.lit(31)), 3) * 8 + at.bitwiseAND(F.lit(7))).cast("int")
+    place = (56 - F.shiftright(at.bitwiseAND(F.lit(63)), 3) * 8 + at.bitwiseAND(F.lit(7))).cast("int")
     # The broadcast side is bounded by BITMAP_BITS.
     joined = rows.withColumn("bucket", F.shiftright(slot, 15)).join(F.broadcast(_bitmap(keys, bits)), "bucket", "left")
-    word = F.get("words", F.shiftright(at, 5).cast("int"))
+    word = F.get("words", F.shiftright(at, 6).cast("int"))
     return joined.withColumn("wanted", F.coalesce(F.getbit(word, place) == 1, F.lit(False))).drop("bucket", "words")
 
 

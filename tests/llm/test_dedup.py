@@ -265,3 +265,20 @@ def test_line_dedup_makes_few_probes_and_misses_no_pair(spark, k):
     for h, key in own + probes:
         met |= {tuple(sorted((h, other))) for other in holders.get(key, ())}
     assert len(near) > 100 and near <= met
+
+
+def test_bitmap_words_are_full_and_exact(spark):
+    """Every bit of a broadcast word is used, the sign bit too: the driver holds 8 bytes for 64 bits."""
+    bits = 1 << 16
+    rng = random.Random(3)
+    wanted = {*range(0, 64), 32767, 32768, bits - 1, *(rng.randrange(bits) for _ in range(500))}
+    keys = spark.createDataFrame([(h - (bits if h % 2 else 0),) for h in wanted], "h long")
+    found = line_dedup._bitmap(keys, bits).collect()
+    assert len(found) == 2 and {len(r["words"]) for r in found} == {32768 // 64}
+    assert sum(bin(w & (1 << 64) - 1).count("1") for r in found for w in r["words"]) == len(wanted)
+    full = line_dedup.bitmap_bits(len(wanted))
+    rows = spark.range(0, bits + 4096).select(F.col("id").alias("h")).unionByName(keys)
+    slots = {h % full for h in (r["h"] for r in keys.collect())}
+    marked = line_dedup._marked(rows, keys).collect()
+    assert len(marked) == bits + 4096 + len(wanted)
+    assert all(r["wanted"] == (r["h"] % full in slots) for r in marked)
