@@ -276,7 +276,7 @@ def line_links(lines: DataFrame, repeated: DataFrame, k: int, crowded: int) -> D
     """(u, v) digests of different lines at most k edits apart, all of them."""
     texts = stage(_distinct_texts(lines, repeated), "line-texts", "zstd")
     pairs = stage(_pairs(texts, k, crowded), "line-pairs")
-    ends = stage(pairs.select(F.col("a").alias("h")).unionByName(pairs.select(F.col("b").alias("h"))).distinct(), "line-ends")
+    ends = stage(pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct(), "line-ends")
     bodies = _marked(texts, ends).filter("wanted").select("h", "n", "line").join(ends, "h", "left_semi")
     bodies = stage(bodies.withColumn("id", F.unhex(F.md5("line"))).withColumns(
         {f"c{i}": _letter_counts(F.col("line"), F.col("n"), x) for i, x in enumerate(COUNTED)}), "candidate-lines")
@@ -313,11 +313,12 @@ def line_classes(docs: DataFrame, k: int = 2, min_chars: int = 40, crowded: int
     long = F.col("n") >= min_chars
     links = line_links(lines.filter(long), nodes.filter(long & (F.col("times") > 1)).select("h"), k, crowded)
     roots = components(links)
-    # A line that stands once and has no link is no class.
-    rooted = nodes.join(roots, nodes["id"] == roots["node"], "left").filter("times > 1 or root is not null").select(
+    # A line that stands once and has no link is no class. Classes meet lines by merge joins: a broadcast is built in the driver.
+    rooted = nodes.join(roots.hint("merge"), nodes["id"] == roots["node"], "left").filter("times > 1 or root is not null").select(
         "id", "h", "least", "times", F.coalesce("root", "id").alias("root"))
     repeated = rooted.groupBy("root").agg(F.min("least").alias("keep_doc"), F.sum("times").alias("times")).filter("times > 1")
-    keep = stage(rooted.select("id", "h", "root").join(repeated.select("root", "keep_doc"), "root"), "repeated-classes")
+    keep = stage(rooted.select("id", "h", "root").join(
+        repeated.select("root", "keep_doc").hint("merge"), "root"), "repeated-classes")
     found = _marked(places, keep.select("h")).filter("wanted").select("doc", "version", "pos", "n", "id")
     found = salted_lookup(found, keep.select("id", "root", "keep_doc"), "id", "doc").filter(F.col("keep_doc").isNotNull())
     found = stage(found.select("doc", "version", "pos", "n", "root", "keep_doc"), "repeated-places")

@@ -119,10 +119,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 3, segments
     prints = stage(fingerprints(docs, shingle, id_col, text_col), "fingerprints")
     nodes = stage(prints.groupBy("fp").agg(F.min("id").alias("least")), "distinct-fingerprints")
     roots = components(links(nodes.select("fp"), radius, segments, heavy))
-    rooted = nodes.join(roots, nodes["fp"] == roots["node"], "left").select(
+    # Merge joins as in line dedup: a broadcast is built in the driver.
+    rooted = nodes.join(roots.hint("merge"), nodes["fp"] == roots["node"], "left").select(
         "fp", "least", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = rooted.select("fp", "root").join(least, "root").select("fp", "component_id")
+    classes = rooted.select("fp", "root").join(least.hint("merge"), "root").select("fp", "component_id")
     return salted_lookup(prints, classes, "fp", "id").select(F.col("id").alias(id_col), "fp", "component_id")
 
 

@@ -119,6 +119,36 @@ def test_components_of_a_long_chain(spark):
     assert out.count() == 301 and out.agg(F.max("root")).first()[0] == 0
 
 
+def test_components_of_small_tables_broadcast_nothing(spark, monkeypatch):
+    """Each round's joins would be broadcasts built in the driver, as the sides are small; stars need no round."""
+    rng = random.Random(5)
+    pairs = [(rng.randrange(400), rng.randrange(400)) for _ in range(300)] + [(7, 7), (3, 3)]
+    plans, written = [], []
+
+    def watched(df, name, *more):
+        out = components_stage(df, name, *more)
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        written.append(name)
+        return out
+
+    components_stage = components.stage
+    monkeypatch.setattr(components, "stage", watched)
+    # Written, so that the planner knows how small they are; ids as the operators' (digests, numbers).
+    links = components_stage(spark.createDataFrame([(f"{a:03}".encode(), f"{b:03}".encode()) for a, b in pairs], "u binary, v binary"), "t")
+    got = {(bytes(r["node"]), bytes(r["root"])) for r in components.components(links).collect()}
+    ends = {x for a, b in pairs if a != b for x in (a, b)}
+    expected = groups_of([(a, b) for a, b in pairs if a != b], ends)
+    least = {}
+    for n, g in expected.items():
+        least[g] = min(n, least.get(g, n))
+    assert got == {(f"{n:03}".encode(), f"{least[g]:03}".encode()) for n, g in expected.items()}
+    assert len(written) > 2 and not any("Broadcast" in p for p in plans) and any("SortMergeJoin" in p for p in plans)
+    written.clear()
+    stars = spark.createDataFrame([(0, 5), (5, 0), (0, 6), (8, 1), (1, 9), (4, 4)], "u long, v long")
+    assert {tuple(r) for r in components.components(stars).collect()} == {(0, 0), (5, 0), (6, 0), (1, 1), (8, 1), (9, 1)}
+    assert len(written) == 1
+
+
 def distance(a, b):
     last = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
